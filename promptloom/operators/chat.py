@@ -92,8 +92,12 @@ def chunk_delta(
     The last word of a snapshot may be unfinished and is held back until a
     later snapshot or the end of the stream, where ``flush`` has what is left.
     """
-    words = F.split(strip(F.col("text")), " ", -1)
-    counted = chunks.withColumn("_words", words).withColumn("_now", F.size("_words") - 1)
+    # words are counted and cut by position; no list of words is ever built
+    text = F.col("_text")
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    counted = chunks.select(*stream, seq, strip(F.col("text")).alias("_text")).withColumn(
+        "_now", spaces
+    )
     shown = running(
         counted,
         stream,
@@ -108,20 +112,16 @@ def chunk_delta(
     last = chunks.groupBy(*stream).agg(F.max(seq).alias("_last"))
     marked = join_spread(shown, last, list(stream), "inner", [*stream, seq], rows_per_task)
 
-    def words_from(start: Column, stop: Column) -> Column:
-        return F.array_join(
-            F.slice(F.col("_words"), start + 1, F.greatest(stop - start, F.lit(0))), " "
-        )
-
     pre, now = F.col("_pre"), F.col("_now")
+    # first n words, with the space after them
+    cut = lambda n: F.expr(f"if({n} = 0, 0, length(substring_index(_text, ' ', {n})) + 1)")
+    delta = F.substring(text, cut("_pre") + 1, cut("_now") - cut("_pre"))
+    flush = F.when(pre <= now, F.substring_index(text, " ", -1)).otherwise("")
     return marked.select(
         *stream,
         seq,
-        F.when(now > pre, F.concat(words_from(pre, now), F.lit(" "))).otherwise("").alias("delta"),
-        F.when(
-            F.col(seq) == F.col("_last"),
-            words_from(F.greatest(pre, now), F.size("_words")),
-        ).alias("flush"),
+        F.when(now > pre, delta).otherwise("").alias("delta"),
+        F.when(F.col(seq) == F.col("_last"), flush).alias("flush"),
     )
 
 

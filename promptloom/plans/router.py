@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from promptloom.functions.bind import bind
 from promptloom.operators.generate import Backend
 from promptloom.plans.schedulers import naive
 
@@ -19,15 +20,16 @@ FP_RATIO = 0.7
 FN_RATIO = 0.3
 
 
-def padded_features(
-    words: Column, buckets: int = 1 << 18, length: int = MAX_TOKENS
-) -> tuple[Column, Column]:
+def padded_features(words: Column, buckets: int = 1 << 18, length: int = MAX_TOKENS) -> Column:
     """Token ids (1 to ``buckets``) cut and padded with 0, and the mask."""
-    kept = F.slice(words, 1, length)
-    ids = F.transform(kept, lambda w: (F.pmod(F.crc32(w), F.lit(buckets)) + 1).cast("int"))
-    pad = F.array_repeat(F.lit(0), F.lit(length) - F.size(kept))
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(kept)), pad)
-    return F.concat(ids, pad), mask
+
+    def features(kept: Column) -> Column:
+        ids = F.transform(kept, lambda w: (F.pmod(F.crc32(w), F.lit(buckets)) + 1).cast("int"))
+        pad = F.array_repeat(F.lit(0), F.lit(length) - F.size(kept))
+        mask = F.concat(F.array_repeat(F.lit(1), F.size(kept)), pad)
+        return F.struct(F.concat(ids, pad).alias("input_ids"), mask.alias("attention_mask"))
+
+    return bind(F.slice(words, 1, length), features)
 
 
 def request_words(request: Column) -> Column:

@@ -43,6 +43,18 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deal_if_few_splits(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a table over all cores if its files give fewer splits.
+
+    Such a table is at most one split per core, so what is shuffled is small;
+    any larger table is scanned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast when a bounded count shows that ``df`` is small.
 

@@ -2,77 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from promptloom.operators.chat import admit_message
+from promptloom.operators.skew import ROWS_PER_TASK, join_spread
+
+LOADS = "ip LONG, slot LONG, first_load LONG, last_load LONG"
 
-_GATED = "event_id LONG, ip LONG, ts TIMESTAMP, text STRING, flagged BOOLEAN, n_messages INT, active BOOLEAN"
-_STATE = "first_here LONG, last_before LONG"
 
+def loads_by_slot(events: DataFrame, length: int) -> DataFrame:
+    """First and last page load per ip and slot of ``length`` microseconds."""
+    at = F.unix_micros("ts")
+    return (
+        events.where("is_load")
+        .groupBy("ip", F.floor(at / length).cast("long").alias("slot"))
+        .agg(F.min(at).alias("first_load"), F.max(at).alias("last_load"))
+    )
 
-def gate_stream(events: DataFrame, seconds: int, delay: str) -> DataFrame:
-    """Messages with ``active``: a page load of the ip at most ``seconds`` ago.
 
-    ``events`` has ``event_id, ip, ts, is_load, text, flagged, n_messages``.
-    Time is cut into slots of one session length, and slot and ip make the
-    group, so one busy ip is many small groups. Within a slot the first load
-    opens the session to the end of the slot; from the slot before only its
-    latest load can still count. Those two times are the whole state.
+def gate(
+    messages: DataFrame, loads: DataFrame, length: int, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Add ``active``: a load at most ``length`` microseconds before the message.
+
+    A slot is as long as a session. A load earlier in the message's own slot
+    cannot have expired; of the slot before, only the last load may reach that
+    far. So two lookups by ip and slot replace any comparison of pairs.
     """
-    length = seconds * 1_000_000
-    micros = F.unix_micros("ts")
-    slot = F.floor(micros / length).cast("long")
-    # a load counts in its own slot and the next one
-    slots = F.when(F.col("is_load"), F.array(slot, slot + 1)).otherwise(F.array(slot))
-    keyed = events.withWatermark("ts", delay).select(
-        "*", micros.alias("at"), slot.alias("own_slot"), F.explode(slots).alias("slot")
-    )
+    at = F.unix_micros("ts")
+    slot = F.floor(at / length).cast("long")
+    own = loads.select("ip", "slot", "first_load")
+    before = loads.select("ip", (F.col("slot") + 1).alias("slot"), "last_load")
+    row = ["event_id"]
+    found = messages.withColumns({"_at": at, "slot": slot})
+    found = join_spread(found, own, ["ip", "slot"], "left", row, rows_per_task)
+    found = join_spread(found, before, ["ip", "slot"], "left", row, rows_per_task)
+    opened: Column = F.col("first_load") <= F.col("_at")
+    reaches = F.col("last_load") + length >= F.col("_at")
+    active = F.coalesce(opened, F.lit(False)) | F.coalesce(reaches, F.lit(False))
+    return found.withColumn("active", active).drop("_at", "slot", "first_load", "last_load")
 
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        slot_number = int(key[1])
-        here, before = state.get if state.exists else (None, None)
-        messages = []
-        for frame in frames:
-            loads = frame[frame["is_load"]]
-            own = loads.loc[loads["own_slot"] == slot_number, "at"]
-            earlier = loads.loc[loads["own_slot"] < slot_number, "at"]
-            if len(own):
-                here = int(own.min()) if here is None else min(here, int(own.min()))
-            if len(earlier):
-                before = int(earlier.max()) if before is None else max(before, int(earlier.max()))
-            messages.append(frame[~frame["is_load"]])
-        state.update((here, before))
-        end = (slot_number + 2) * length // 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        for frame in messages:
-            active = pd.Series(False, index=frame.index)
-            if here is not None:
-                active |= frame["at"] >= here
-            if before is not None:
-                active |= frame["at"] <= before + length
-            columns = ["event_id", "ip", "ts", "text", "flagged", "n_messages"]
-            yield frame[columns].assign(active=active)
-
-    return keyed.groupBy("ip", "slot").applyInPandasWithState(
-        step, _GATED, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
 
+def admit_batch(
+    batch: DataFrame,
+    carried: DataFrame | None,
+    seconds: int,
+    delay_seconds: int,
+    turn_limit: int,
+    char_limit: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Decisions on the messages of a batch, and the loads to carry on.
 
-def admit_stream(
-    events: DataFrame, seconds: int, delay: str, turn_limit: int, char_limit: int
-) -> DataFrame:
-    """Decision on every message of the stream and the text that goes on."""
-    gated = gate_stream(events, seconds, delay)
+    ``carried`` holds the loads of earlier batches by ip and slot. Slots that no
+    message up to ``delay_seconds`` late can still look at are dropped, so what
+    is carried is bounded by the ips of that time.
+    """
+    length = seconds * 1_000_000
+    loads = loads_by_slot(batch, length)
+    if carried is not None:
+        loads = (
+            loads.unionByName(carried)
+            .groupBy("ip", "slot")
+            .agg(F.min("first_load").alias("first_load"), F.max("last_load").alias("last_load"))
+        )
+    gated = gate(batch.where(~F.col("is_load")), loads, length)
     decision, text = admit_message(
         F.col("text"),
         F.col("active"),
@@ -81,4 +75,45 @@ def admit_stream(
         turn_limit,
         char_limit,
     )
-    return gated.select("event_id", "ip", decision.alias("decision"), text.alias("text"))
+    decisions = gated.select("event_id", "ip", decision.alias("decision"), text.alias("text"))
+    latest = batch.agg(F.max(F.unix_micros("ts")).alias("at")).first()["at"]
+    if latest is None:
+        return decisions, loads
+    oldest = (latest - delay_seconds * 1_000_000) // length - 1
+    return decisions, loads.where(F.col("slot") >= oldest)
+
+
+def admit_stream(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    seconds: int,
+    delay_seconds: int,
+    turn_limit: int,
+    char_limit: int,
+) -> None:
+    """Decide on every message of the stream that is there now.
+
+    ``events`` has ``event_id, ip, ts, is_load, text, flagged, n_messages``. A
+    batch is decided by plain joins. Its decisions and the loads it carries on
+    belong to its number and are overwritten if it is tried again, so every
+    message is decided once.
+    """
+    spark = events.sparkSession
+    state = f"{checkpoint}/loads"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        carried = spark.read.schema(LOADS).parquet(f"{state}/{batch_id - 1}") if batch_id else None
+        decisions, loads = admit_batch(
+            batch, carried, seconds, delay_seconds, turn_limit, char_limit
+        )
+        decisions.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        loads.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+
+    (
+        events.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{checkpoint}/stream")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )

@@ -108,17 +108,21 @@ def q_session_gate(spark, sf_dir):
     SELECT event_id, ip, decision, CASE WHEN decision = 'accepted' THEN left(text, {CHAR_LIMIT}) END AS text FROM d""",
 )
 def q_admit_stream(spark, sf_dir):
-    stream = _events(_stream(spark, sf_dir, "events"))
-    admitted = admit_stream(stream, SESSION_SECONDS, "1 hour", TURN_LIMIT, CHAR_LIMIT)
-    return result_of(spark, admitted, "admitted")
+    stream = _events(_stream(spark, sf_dir, "events", "event_id"))
+    path = scratch_path(spark, "admitted")
+    admit_stream(
+        stream, path, f"{path}-checkpoint", SESSION_SECONDS, 3600, TURN_LIMIT, CHAR_LIMIT
+    )
+    return spark.read.parquet(path).drop("batch")
 
 
-def _stream(spark, sf_dir, name):
-    """A given table as a stream of files."""
+def _stream(spark, sf_dir, name, key):
+    """A given table as a stream of files, its rows dealt over all tasks."""
     schema = table(spark, sf_dir, name).schema
-    return (
+    stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     )
+    return stream.repartition(key)
 
 
 # ---- snapshots --------------------------------------------------------------
@@ -193,7 +197,7 @@ def q_side_by_side(spark, sf_dir):
     f"WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL}, {PLAIN_CONTENT_SQL} {_NEWLINE_SQL}",
 )
 def q_stream_generate(spark, sf_dir):
-    asked = _stream(spark, sf_dir, "documents").select(
+    asked = _stream(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("request_id"), F.col("text").alias("request")
     )
     answered = schedulers.batch_outline(asked, MODEL, PLAIN_PROMPTS)
@@ -205,7 +209,7 @@ def q_stream_generate(spark, sf_dir):
     f"WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL}, {PLAIN_CONTENT_SQL} {_NEWLINE_SQL}",
 )
 def q_stream_generate_python(spark, sf_dir):
-    asked = _stream(spark, sf_dir, "documents").select(
+    asked = _stream(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("request_id"), F.col("text").alias("request")
     )
     path = scratch_path(spark, "answers")

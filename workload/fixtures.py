@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from promptloom.functions.bind import bind
 from promptloom.operators.generate import ExpressionBackend
 from promptloom.sources.prompts import OutlinePrompts
-from workload.registry import table
+from workload.registry import documents
 
 # ---- requests ---------------------------------------------------------------
 
@@ -22,7 +22,7 @@ REQUESTS_SQL = "requests AS (SELECT doc_id AS request_id, text AS request FROM d
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a question; copies of a document are repeated questions."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"), F.col("text").alias("request")
     )
 
@@ -46,7 +46,7 @@ def multi_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines(F.col("text")),
         lambda l: F.slice(l, F.lit(1), F.size(l) - (1 - F.size(l) % 2)),
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"), odd.alias("messages")
     )
 
@@ -175,7 +175,7 @@ answers_2 AS (SELECT doc_id AS request_id, text AS request, md5(text) || ' ' ||
 def answers(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
     text = F.col("text")
     response = [text, F.concat(F.lit("Second: "), text), F.concat(F.md5(text), F.lit(" "), text)]
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"),
         text.alias("request"),
         response[which].alias("response"),
@@ -210,7 +210,7 @@ def score_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("-2,-2"),
         F.lit(""),
     ]
-    return table(spark, sf_dir, "documents").select("doc_id", _pick(id_ % 8, kinds, text).alias("review"))
+    return documents(spark, sf_dir).select("doc_id", _pick(id_ % 8, kinds, text).alias("review"))
 
 
 def _pick(number: Column, kinds: list[Column], default: Column) -> Column:
@@ -245,7 +245,7 @@ def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Assistant 2 > Assistant 2 > Assistant 0"),
         F.lit("Assistant 1 = Assistant 2 = Assistant 3 = Assistant 1"),
     ]
-    return table(spark, sf_dir, "documents").select("doc_id", _pick(id_ % 8, kinds, text).alias("review"))
+    return documents(spark, sf_dir).select("doc_id", _pick(id_ % 8, kinds, text).alias("review"))
 
 
 def order_sql(review: str, n: int, source: str, keep: str) -> str:
@@ -356,9 +356,10 @@ chunks AS (SELECT request_id, k AS seq,
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a stream of twelve growing snapshots, the last one whole."""
     at = F.explode(F.sequence(F.lit(0), F.lit(N_CHUNKS - 1)))
-    cut = F.ceil(F.size("w") * (F.col("seq") + 1) / N_CHUNKS).cast("int")
+    n_words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    cut = f"int(ceil(n * (seq + 1) / {N_CHUNKS}))"
     return (
-        table(spark, sf_dir, "documents")
-        .select(F.col("doc_id").alias("request_id"), F.split("text", " ", -1).alias("w"), at.alias("seq"))
-        .select("request_id", "seq", F.array_join(F.slice("w", F.lit(1), cut), " ").alias("text"))
+        documents(spark, sf_dir)
+        .select(F.col("doc_id").alias("request_id"), "text", n_words.alias("n"), at.alias("seq"))
+        .select("request_id", "seq", F.expr(f"substring_index(text, ' ', {cut})").alias("text"))
     )

@@ -145,14 +145,14 @@ def q_route_predict(spark, sf_dir):
         (512 - least(n, 512))::INTEGER AS n_padding FROM w""",
 )
 def q_router_features(spark, sf_dir):
-    ids, mask = padded_features(request_words(F.col("request")))
-    rows = requests(spark, sf_dir).select("request_id", ids.alias("ids"), mask.alias("mask"))
+    features = padded_features(request_words(F.col("request")))
+    rows = requests(spark, sf_dir).select("request_id", features.alias("f"))
     return rows.select(
         "request_id",
-        F.size("ids").alias("n_ids"),
-        F.size("mask").alias("n_mask"),
-        F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("n_tokens"),
-        F.size(F.filter("ids", lambda x: x == 0)).alias("n_padding"),
+        F.size("f.input_ids").alias("n_ids"),
+        F.size("f.attention_mask").alias("n_mask"),
+        F.aggregate("f.attention_mask", F.lit(0), lambda s, x: s + x).alias("n_tokens"),
+        F.size(F.filter("f.input_ids", lambda x: x == 0)).alias("n_padding"),
     )
 
 
