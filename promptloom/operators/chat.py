@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import strip, unescape_code
-from promptloom.operators.skew import ROWS_PER_TASK, join_spread, later_of, running
+from promptloom.operators.skew import ROWS_PER_TASK, find_hot_keys, join_spread, later_of, running
 
 
 def history_before_last(
@@ -23,9 +23,8 @@ def history_before_last(
     back with long conversations spread by turn.
     """
     last = turns.groupBy(conversation).agg(F.max(turn).alias("_last"))
-    joined = join_spread(
-        turns, last, [conversation], "inner", [conversation, turn], rows_per_task
-    )
+    hot = find_hot_keys(turns, [conversation], rows_per_task)
+    joined = join_spread(turns, last, [conversation], "inner", [conversation, turn], hot)
     return joined.where(F.col(turn) < F.col("_last")).drop("_last")
 
 
@@ -52,7 +51,7 @@ def session_gate(
         F.max,
         loads,
         later_of,
-        rows_per_task=rows_per_task,
+        find_hot_keys(events, [ip], rows_per_task),
     )
     expires = F.unix_micros(F.col("last_load").cast("timestamp")) + int(seconds * 1_000_000)
     now = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -92,6 +91,7 @@ def chunk_delta(
     The last word of a snapshot may be unfinished and is held back until a
     later snapshot or the end of the stream, where ``flush`` has what is left.
     """
+    hot = find_hot_keys(chunks, stream, rows_per_task)
     # words are counted and cut by position; no list of words is ever built
     text = F.col("_text")
     spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
@@ -106,11 +106,11 @@ def chunk_delta(
         F.max,
         F.col("_now"),
         later_of,
+        hot,
         preceding_only=True,
-        rows_per_task=rows_per_task,
     ).withColumn("_pre", F.coalesce("_pre", F.lit(0)))
     last = chunks.groupBy(*stream).agg(F.max(seq).alias("_last"))
-    marked = join_spread(shown, last, list(stream), "inner", [*stream, seq], rows_per_task)
+    marked = join_spread(shown, last, list(stream), "inner", [*stream, seq], hot)
 
     pre, now = F.col("_pre"), F.col("_now")
     # first n words, with the space after them
@@ -154,7 +154,8 @@ def chunk_sample(
         F.min(F.when(F.col("error_code") != 0, F.col(seq))).alias("_bad"),
         F.max(seq).alias("_last"),
     )
-    joined = join_spread(chunks, ends, list(key), "inner", [*key, seq], rows_per_task)
+    hot = find_hot_keys(chunks, key, rows_per_task)
+    joined = join_spread(chunks, ends, list(key), "inner", [*key, seq], hot)
     at, bad = F.col(seq), F.col("_bad")
     text = strip(F.col("text"))
     final = text
@@ -202,12 +203,13 @@ def side_by_side(
     """
     one = left.select(key, F.col(seq).alias("step"), F.col("text").alias("left_text"))
     two = right.select(key, F.col(seq).alias("step"), F.col("text").alias("right_text"))
+    hot = find_hot_keys(one.select(key).unionByName(two.select(key)), [key], rows_per_task)
     steps = one.join(two, [key, "step"], "full_outer")
     for name, side in (("left_text", one), ("right_text", two)):
         end = side.groupBy(key).agg(
             F.max_by(name, "step").alias("_end"), F.max("step").alias("_ended")
         )
-        steps = join_spread(steps, end, [key], "left", [key, "step"], rows_per_task)
+        steps = join_spread(steps, end, [key], "left", [key, "step"], hot)
         steps = steps.withColumn(
             name, F.when(F.col("step") > F.col("_ended"), F.col("_end")).otherwise(F.col(name))
         ).drop("_end", "_ended")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.bind import bind
-from promptloom.operators.skew import ROWS_PER_TASK, added, join_spread, running
+from promptloom.operators.skew import ROWS_PER_TASK, added, find_hot_keys, join_spread, running
 from promptloom.session import broadcast_if_small
 
 # The questions a list-wise judge can be asked.
@@ -36,7 +36,7 @@ def number_occurrences(
         F.count,
         F.lit(1),
         added,
-        rows_per_task=rows_per_task,
+        find_hot_keys(answers, ["request"], rows_per_task),
     )
 
 
@@ -71,8 +71,7 @@ def align_n_answers(tables: Sequence[DataFrame], key: str = "request_id") -> Dat
     """``key, request, answers`` with one answer per table, in table order.
 
     One shuffle for any number of tables. Every aggregate keeps one value per
-    table and is combined before the shuffle, so the state of a group does not
-    grow with the data. A missing or doubled row, or another request text,
+    table, so the state of a group does not grow with the data. A missing or doubled row, or another request text,
     fails the job.
     """
     n = len(tables)
@@ -83,7 +82,9 @@ def align_n_answers(tables: Sequence[DataFrame], key: str = "request_id") -> Dat
         part = table.select(key, "request", "response", F.lit(i).alias("answer_idx"))
         union = part if union is None else union.unionByName(part)
     here = [F.col("answer_idx") == i for i in range(n)]
-    merged = union.groupBy(key).agg(
+    # keys are unique in every table, so combining before the shuffle would only
+    # sort all rows once more
+    merged = union.repartition(key).groupBy(key).agg(
         F.min("request").alias("request"),
         F.max("request").alias("_other"),
         *[F.count(F.when(here[i], 1)).alias(f"_n{i}") for i in range(n)],
@@ -189,7 +190,8 @@ def template_lookup(
     fallback = known.where(F.col("category") == default).select(
         F.first("prompt").alias("prompt"), F.first("prompt_template").alias("prompt_template")
     ).first()
-    with_category = join_spread(questions, categories, ["request"], "left", row_key, rows_per_task)
+    hot = find_hot_keys(questions, ["request"], rows_per_task)
+    with_category = join_spread(questions, categories, ["request"], "left", row_key, hot)
     checked = with_category.withColumn(
         "category",
         F.when(F.col("category").isNotNull(), F.col("category")).otherwise(

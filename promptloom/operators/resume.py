@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from promptloom.operators.skew import ROWS_PER_TASK, join_spread
+from promptloom.operators.skew import ROWS_PER_TASK, find_hot_keys, join_spread
 
 
 def skip_done(
@@ -21,4 +21,5 @@ def skip_done(
     all go. A text that fills much of ``requests`` is spread by ``row_key``.
     """
     finished = done.select("request").distinct()
-    return join_spread(requests, finished, ["request"], "left_anti", row_key, rows_per_task)
+    hot = find_hot_keys(requests, ["request"], rows_per_task)
+    return join_spread(requests, finished, ["request"], "left_anti", row_key, hot)

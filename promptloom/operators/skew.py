@@ -60,17 +60,17 @@ def join_spread(
     on: Sequence[str],
     how: str,
     row_key: Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
+    hot: HotKeys,
 ) -> DataFrame:
     """Equi join (inner, left, left_semi, left_anti) with hot left keys salted.
 
-    ``row_key`` names left columns that tell the rows of one key apart; the
-    salt is computed from them, so a repeated task yields the same rows. Only
-    the right rows of hot keys are copied, once per salt.
+    ``hot`` holds the hot values of ``on`` in ``left``. ``row_key`` names left
+    columns that tell the rows of one key apart; the salt is computed from
+    them, so a repeated task yields the same rows. Only the right rows of hot
+    keys are copied, once per salt.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"cannot salt a {how} join")
-    hot = find_hot_keys(left, on, rows_per_task)
     if not hot:
         return left.join(right, list(on), how)
     left = left.withColumn("_salt", F.pmod(F.xxhash64(*row_key), hot.n_shares()).cast("int"))
@@ -88,19 +88,18 @@ def running(
     func: Callable[[Column], Column],
     value: Column,
     combine: Callable[[Column, Column], Column],
+    hot: HotKeys,
     preceding_only: bool = False,
     buckets: int = 1024,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Running ``func(value)`` per key in ``order``; ``func`` is a max, min, sum or count.
 
-    Without hot keys this is one window. Rows of a hot key are cut into ranges
+    Without ``hot`` values of ``keys`` this is one window. Rows of a hot key are cut into ranges
     of ``order[0]`` that hold about the same number of rows; each range gets
     the combined value of the ranges before it and a window of its own.
     ``combine(carried, local)`` joins the two; either may be null.
     """
     last = -1 if preceding_only else Window.currentRow
-    hot = find_hot_keys(df, keys, rows_per_task)
     if not hot:
         window = (
             Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)

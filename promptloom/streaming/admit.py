@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.operators.chat import admit_message
-from promptloom.operators.skew import ROWS_PER_TASK, join_spread
+from promptloom.operators.skew import ROWS_PER_TASK, find_hot_keys, join_spread
 
 LOADS = "ip LONG, slot LONG, first_load LONG, last_load LONG"
 
@@ -34,10 +34,10 @@ def gate(
     slot = F.floor(at / length).cast("long")
     own = loads.select("ip", "slot", "first_load")
     before = loads.select("ip", (F.col("slot") + 1).alias("slot"), "last_load")
-    row = ["event_id"]
     found = messages.withColumns({"_at": at, "slot": slot})
-    found = join_spread(found, own, ["ip", "slot"], "left", row, rows_per_task)
-    found = join_spread(found, before, ["ip", "slot"], "left", row, rows_per_task)
+    hot = find_hot_keys(found, ["ip", "slot"], rows_per_task)
+    found = join_spread(found, own, ["ip", "slot"], "left", ["event_id"], hot)
+    found = join_spread(found, before, ["ip", "slot"], "left", ["event_id"], hot)
     opened: Column = F.col("first_load") <= F.col("_at")
     reaches = F.col("last_load") + length >= F.col("_at")
     active = F.coalesce(opened, F.lit(False)) | F.coalesce(reaches, F.lit(False))

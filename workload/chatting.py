@@ -18,7 +18,11 @@ from promptloom.operators.points import explode_points
 from promptloom.plans import schedulers
 from promptloom.session import scratch_path
 from promptloom.streaming.admit import admit_stream
-from promptloom.streaming.reassemble import reassemble_state, reassemble_windows
+from promptloom.streaming.reassemble import (
+    reassemble_sessions,
+    reassemble_state,
+    reassemble_windows,
+)
 from promptloom.streaming.run import drain_batches, drain_to_parquet, result_of
 from workload.evaluating import _NEWLINE_SQL, _summary
 from workload.fixtures import (
@@ -306,7 +310,7 @@ def q_stream_late_points(spark, sf_dir):
     for part in (points.where(~late), clock, clock, points.where(late)):
         part.write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
-        whole = reassemble_state(stream, "1 hour", "1 minute")
+        whole = reassemble_sessions(stream, "1 hour", "1 minute")
         drain_to_parquet(whole, result, f"{result}-checkpoint")
     answered = spark.read.schema(whole.schema).parquet(result).where(F.col("request_id") >= 0)
     return answered.withColumn("response", F.md5("response"))
