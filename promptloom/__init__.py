@@ -1,3 +1,11 @@
 """Batch prompting and answer evaluation as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions of this package travel to Python workers by value, so executors need
+# no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -23,7 +23,7 @@ from promptloom.operators.generate import Call, PythonBackend
 
 def role_layout(system: str) -> Callable[[Column], Column]:
     """Messages as JSON objects ``{"role", "content"}``, one array element each."""
-    return lambda m: F.transform(role_messages(m, F.lit(system)), F.to_json)
+    return lambda m: F.transform(role_messages(m, F.lit(system)), lambda t: F.to_json(t))
 
 
 def chat_layout(template: str) -> Callable[[Column], Column]:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +52,10 @@ def tokenizer_counter(load: Callable[[], Callable[[str], list]]) -> Counter:
 
     For plain text columns; inside a list use a native counter.
     """
-    import pandas as pd
 
-    @F.pandas_udf("int")
-    def count(batches):
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
         for texts in batches:
             yield texts.map(lambda t: None if t is None else len(encode(t))).astype("Int32")
 
-    from collections.abc import Iterator
-
-    count.func.__annotations__.update({"batches": Iterator[pd.Series], "return": Iterator[pd.Series]})
-    return count
+    return F.pandas_udf(count, "int")

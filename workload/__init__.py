@@ -1 +1,7 @@
 """Queries on the given tables, each with an independent SQL twin where one exists."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
