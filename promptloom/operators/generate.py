@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,12 +64,14 @@ def generate(
     params: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``text, time, attempts, error`` to every row.
+    """Replace the messages by ``text, time, attempts, error``.
 
     Rows are dealt over ``partitions`` by the hash of ``spread_by`` (which
     should identify a row), so that the points of one long outline do not all
-    queue in one task. A call that fails for good leaves a null text and its
-    error; it never fails the task.
+    queue in one task. The number is explicit, because calls take longer than
+    the size of their rows tells and adaptive execution would merge them into
+    few tasks. A call that fails for good leaves a null text and its error; it
+    never fails the task.
     """
     if isinstance(backend, ExpressionBackend):
         return df.withColumns(
@@ -79,25 +81,38 @@ def generate(
                 "attempts": F.lit(1),
                 "error": F.lit(None).cast("string"),
             }
+        ).drop(messages)
+    if partitions is None:
+        spark = df.sparkSession
+        partitions = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism,
         )
-    keys = [F.col(c) for c in spread_by]
-    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    schema = T.StructType([*df.schema.fields, *OUTPUT.fields])
-    return dealt.mapInPandas(_runner(backend, messages, params), schema)
+    dealt = df.repartition(partitions, *spread_by)
+    kept = [f for f in df.schema.fields if f.name != messages]
+    schema = T.StructType([*kept, *OUTPUT.fields])
+    return dealt.mapInArrow(_runner(backend, messages, params), schema)
 
 
 def _runner(backend: PythonBackend, messages: str, params: str | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [pa.string(), pa.float64(), pa.int32(), pa.string()]
+    names = OUTPUT.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = backend.open()
         step = backend.batch_rows if backend.batch else 1
-        for frame in frames:
-            asked = [list(m) for m in frame[messages]]
-            settings = [dict(p) for p in frame[params]] if params else [{}] * len(asked)
+        for batch in batches:
+            asked = batch.column(messages).to_pylist()
+            settings = batch.column(params).to_pylist() if params else [{}] * len(asked)
             answers = []
             for at in range(0, len(asked), step):
                 answers += _attempt(backend, call, asked[at : at + step], settings[at : at + step])
-            out = pd.DataFrame(answers, columns=OUTPUT.names, index=frame.index)
-            yield pd.concat([frame, out], axis=1)
+            # the other columns go through untouched
+            kept = [c for c in batch.schema.names if c != messages]
+            columns = [batch.column(c) for c in kept]
+            columns += [pa.array(v, t) for v, t in zip(zip(*answers), types)] if answers else []
+            if answers:
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
     return run
 

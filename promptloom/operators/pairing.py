@@ -198,9 +198,10 @@ def template_lookup(
             F.raise_error(F.concat(F.lit("not in the prompt file: "), F.col("request")))
         ),
     )
+    missing = F.raise_error(F.concat(F.lit("no judge template for category "), F.col("category")))
     return checked.join(broadcast_if_small(known), "category", "left").withColumns(
         {
-            c: F.coalesce(F.col(c), F.lit(fallback[c]).cast("string"))
+            c: F.coalesce(F.col(c), F.lit(fallback[c]).cast("string"), missing)
             for c in ("prompt", "prompt_template")
         }
     )

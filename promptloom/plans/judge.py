@@ -35,7 +35,7 @@ from promptloom.session import materialise
 def _reviewed(df: DataFrame, backend: Backend, spread_by: list[str]) -> DataFrame:
     """Add ``review`` and ``error``; a failed call reads as its sentinel."""
     asked = df.withColumn("asked", as_messages(F.col("evaluation_request")))
-    answered = generate(asked, backend, spread_by, messages="asked").drop("asked", "attempts", "time")
+    answered = generate(asked, backend, spread_by, messages="asked").drop("attempts", "time")
     if not isinstance(backend, ExpressionBackend):
         answered = materialise(answered)
     return answered.withColumn(

@@ -8,7 +8,6 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from promptloom.functions.bind import bind
 from promptloom.operators.generate import Backend
@@ -19,6 +18,8 @@ MAX_TOKENS = 512
 FP_RATIO = 0.7
 FN_RATIO = 0.3
 
+_FEW = 1000
+
 
 def padded_features(words: Column, buckets: int = 1 << 18, length: int = MAX_TOKENS) -> Column:
     """Token ids (1 to ``buckets``) cut and padded with 0, and the mask."""
@@ -58,38 +59,37 @@ def exact_split(
 ) -> DataFrame:
     """Add ``is_train`` to exactly ``int(ratio * n)`` rows, in order of a seeded hash.
 
-    ``key`` is unique. Rows are counted by the first four hex digits of the
-    hash; only the one range of 65,536 in which the boundary falls is ranked.
+    ``key`` is unique, so the hashes are spread evenly. The last training row is
+    found by counting rows under each next four hex digits, at most 65,536
+    counts a round, until few rows share the digits; then one comparison per
+    row tells its side. Nothing is sorted or numbered as a whole.
     """
-    keyed = df.withColumn("_d", _digest(key, seed)).withColumn(
-        "_range", _rank_hash(key, seed, 4)
-    )
-    counts = keyed.groupBy("_range").count()
-    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # at most 65,536 rows
-    steps = counts.withColumn("_upto", F.sum("count").over(so_far))
-    total = steps.agg(F.max("_upto").alias("n")).first()["n"] or 0
-    wanted = int(ratio * total)
-    edge = steps.where(F.col("_upto") >= wanted).orderBy("_range").first()
-    if edge is None:
-        return keyed.withColumn("is_train", F.lit(True)).drop("_d", "_range")
-    missing = wanted - (edge["_upto"] - edge["count"])
-    on_edge = F.col("_range") == edge["_range"]
-    last = (
-        keyed.where(on_edge)
-        .select("_d", key)
-        .orderBy("_d", key)
-        .limit(missing)
-        .agg(F.max(F.struct("_d", key)).alias("last"))
-        .first()["last"]
-    )
-    if missing == 0 or last is None:
-        inside = F.lit(False)
-    else:
-        inside = F.struct("_d", key) <= F.struct(F.lit(last[0]).alias("_d"), F.lit(last[1]).alias(key))
-    return keyed.withColumn(
-        "is_train", (F.col("_range") < edge["_range"]) | (on_edge & inside)
-    ).drop("_d", "_range")
+    keyed = df.select(_digest(key, seed).alias("d"), F.col(key).alias("k"))
+    prefix, missing = "", None
+    while True:
+        digits = F.substring("d", len(prefix) + 1, 4)
+        counts = dict(
+            (r["p"], r["n"])
+            for r in keyed.where(F.col("d").startswith(prefix))
+            .groupBy(digits.alias("p"))
+            .agg(F.count("*").alias("n"))
+            .collect()
+        )
+        if missing is None:
+            missing = int(ratio * sum(counts.values()))
+            if missing == 0:
+                return df.withColumn("is_train", F.lit(False))
+        for part in sorted(counts):
+            if missing <= counts[part]:
+                break
+            missing -= counts[part]
+        prefix += part
+        if counts[part] <= _FEW or len(prefix) == 32:
+            break
+    edge = keyed.where(F.col("d").startswith(prefix)).orderBy("d", "k").limit(missing).collect()[-1]
+    digest = _digest(key, seed)
+    before = (digest < edge["d"]) | ((digest == edge["d"]) & (F.col(key) <= edge["k"]))
+    return df.withColumn("is_train", before)
 
 
 def train_router(

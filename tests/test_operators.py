@@ -59,7 +59,11 @@ def test_retry_error_and_timeout(spark):
         open_call, attempts=3, wait_min=0, wait_max=0, timeout=0.5, fatal=(PermissionError,)
     )
     out = generate(asked(spark, ["ok", "slow", "bad", "late"]), backend, ["request_id"], partitions=2)
-    got = {r["messages"][0]: (r["text"], r["attempts"], r["error"]) for r in materialise(out).collect()}
+    texts = ["ok", "slow", "bad", "late"]
+    got = {
+        texts[r["request_id"]]: (r["text"], r["attempts"], r["error"])
+        for r in materialise(out).collect()
+    }
     assert got["ok"] == ("OK", 1, None)
     assert got["late"] == ("LATE", 3, None)
     assert got["bad"] == (None, 1, "PermissionError: no")

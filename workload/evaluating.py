@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from promptloom.functions.messages import as_messages
 from promptloom.functions.scores import FAILED_REVIEW, parse_score_pair
 from promptloom.functions.template import list_judge_instruction, list_judge_prompt
+from promptloom.operators.backends import get_backend
 from promptloom.operators.generate import (
     ExpressionBackend,
     PythonBackend,
@@ -373,6 +374,70 @@ def q_generate_error_sentinel(spark, sf_dir):
     return review.withColumn("score1", parse_score_pair(F.col("review"))[0])
 
 
+@query(
+    "backend_registry",
+    """WITH names AS (SELECT unnest(['openai', 'fastchat', 'claude_slack']) AS model),
+    laid AS (SELECT doc_id AS request_id, model, CASE model WHEN 'claude_slack' THEN '<@U1> ' || text
+        WHEN 'fastchat' THEN 'A chat between a curious user and an artificial intelligence assistant. The assistant'
+            || ' gives helpful, detailed, and polite answers to the user''s questions.</s>User: ' || text || '</s>Assistant:'
+        ELSE 'system|Be brief|user|' || text END AS asked FROM documents, names)
+    SELECT request_id, model, md5(asked) AS text FROM laid""",
+)
+def q_backend_registry(spark, sf_dir):
+    """Every request laid out and sent by the backend of each name."""
+
+    def open_call():
+        import hashlib
+        import json
+
+        def said(line):
+            if not line.startswith("{"):
+                return line
+            turn = json.loads(line)
+            return f"{turn['role']}|{turn['content']}"
+
+        return lambda asked, settings: [
+            hashlib.md5("|".join(map(said, lines)).encode()).hexdigest() for lines in asked
+        ]
+
+    union = None
+    for name, layout in (("openai", "Be brief"), ("fastchat", "ultra-lm"), ("claude_slack", "U1")):
+        lay_out, backend = get_backend(name, layout, open_call)
+        messages = lay_out(as_messages(F.col("request")))
+        asked = requests(spark, sf_dir).select(
+            "request_id", F.lit(name).alias("model"), messages.alias("messages")
+        )
+        part = materialise(generate(asked, backend, ["request_id"])).select("request_id", "model", "text")
+        union = part if union is None else union.unionByName(part)
+    return union
+
+
+@query(
+    "scheduler_registry",
+    f"""WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL}, {PLAIN_CONTENT_SQL}, named AS (
+    SELECT 'naive' AS scheduler, request_id, CASE WHEN length(request) % 11 = 0 THEN 'no points here'
+        ELSE array_to_string(list_transform(list_filter(string_split(request, chr(10)), lambda x: x <> ''),
+            lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END AS response FROM requests
+    UNION ALL SELECT 'outline', o.request_id,
+        coalesce(string_agg(text, chr(10) || chr(10) ORDER BY pos), '')
+        FROM outlines o LEFT JOIN contents c ON o.request_id = c.request_id GROUP BY o.request_id
+    UNION ALL SELECT 'batch_outline', o.request_id,
+        coalesce(string_agg(regexp_replace(text, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g'), chr(10) ORDER BY pos), '')
+        FROM outlines o LEFT JOIN contents c ON o.request_id = c.request_id GROUP BY o.request_id)
+    SELECT scheduler, request_id, md5(response) AS response FROM named""",
+)
+def q_scheduler_registry(spark, sf_dir):
+    asked, union = requests(spark, sf_dir), None
+    for name in ("naive", "outline", "batch_outline"):
+        run = schedulers.get_scheduler(name)
+        answered = run(asked, MODEL) if name == "naive" else run(asked, MODEL, PLAIN_PROMPTS)
+        part = answered.select(
+            F.lit(name).alias("scheduler"), "request_id", F.md5("response").alias("response")
+        )
+        union = part if union is None else union.unionByName(part)
+    return union
+
+
 @query(
     "gen_params",
     """SELECT doc_id AS request_id, 0.1 * (doc_id % 8) AS temperature, 512 AS max_new_tokens,
