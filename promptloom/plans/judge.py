@@ -29,6 +29,7 @@ from promptloom.operators.pairing import (
     unpermute_order,
     unswap_scores,
 )
+from promptloom.operators.resume import skip_done
 from promptloom.session import materialise
 
 
@@ -63,13 +64,15 @@ def judge_pair(
     template: str,
     prompt: str,
     wide: bool = True,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """Judge two answer tables in both directions with one template.
 
-    All template texts are compiled into the plan. For templates by category
-    use :func:`judge_pair_by_category`.
+    Requests whose text is in ``done`` are left out. The template is compiled
+    into the plan; for templates by category use :func:`judge_pair_by_category`.
     """
-    shown = swap_directions(pair_answers(first, second, ["request_id"]))
+    paired = pair_answers(first, second, ["request_id"])
+    shown = swap_directions(skip_done(paired, done) if done is not None else paired)
     asked = shown.withColumn(
         "evaluation_request",
         pair_judge_prompt(
@@ -129,12 +132,20 @@ def pivot_list_orders(long: DataFrame, n: int, key: str = "request_id") -> DataF
 
 
 def judge_list(
-    tables: Sequence[DataFrame], backend: Backend, prompt: str, wide: bool = False
+    tables: Sequence[DataFrame],
+    backend: Backend,
+    prompt: str,
+    wide: bool = False,
+    done: DataFrame | None = None,
 ) -> DataFrame:
-    """Judge ``n`` answer tables in all ``n!`` orders of presentation."""
+    """Judge ``n`` answer tables in all ``n!`` orders of presentation.
+
+    Requests whose text is in ``done`` are left out.
+    """
     n = len(tables)
     instruction = F.lit(list_judge_instruction(prompt, n))
-    shown = permute_answers(align_n_answers(tables), n)
+    aligned = align_n_answers(tables)
+    shown = permute_answers(skip_done(aligned, done) if done is not None else aligned, n)
     asked = shown.withColumn(
         "evaluation_request", list_judge_prompt(F.col("request"), F.col("shown"), instruction)
     ).drop("shown")

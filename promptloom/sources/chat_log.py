@@ -16,8 +16,8 @@ SCHEMA = """
 
 def with_date(log: DataFrame) -> DataFrame:
     """The UTC day an answer finished."""
-    day = F.from_unixtime(F.floor("finish"), "yyyy-MM-dd")
-    return log.withColumn("date", day)
+    days = F.floor(F.col("finish") / 86400).cast("int")
+    return log.withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"))
 
 
 def write_chat_log(log: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from promptloom.operators.backends import get_backend
 from promptloom.operators.chat import chunk_delta, chunk_sample, side_by_side
 from promptloom.operators.embeddings import mean_pool
-from promptloom.operators.generate import PythonBackend, generate
+from promptloom.operators.generate import ExpressionBackend, PythonBackend, generate
 from promptloom.operators.metrics import confusion_matrix, multilabel_pairs, router_loss
 from promptloom.operators.pairing import (
     align_n_answers,
@@ -20,6 +20,7 @@ from promptloom.operators.pairing import (
 from promptloom.operators.resume import skip_done
 from promptloom.operators.stats import tokenizer_counter
 from promptloom.plans import schedulers
+from promptloom.plans.dump import dump
 from promptloom.plans.judge import judge_list, judge_pair
 from promptloom.plans.router import choice_label, exact_split, hashed_split
 from promptloom.session import broadcast_if_small, materialise, shared_dir
@@ -180,6 +181,42 @@ def test_resume(spark, tmp_path):
     assert skip_done(questions, spark.read.parquet(path)).count() == 0
 
 
+def test_a_run_that_breaks_off_goes_on(spark, tmp_path):
+    questions = spark.createDataFrame(
+        [(i, f"q{i % 7}") for i in range(40)], "request_id long, request string"
+    )
+    path, slices = str(tmp_path / "answers"), 4
+    started = []
+
+    def run(part, break_at=None):
+        started.append(part)
+        if len(started) == break_at:
+            raise KeyboardInterrupt
+        return schedulers.naive(part, ExpressionBackend(lambda m: F.upper(F.get(m, F.lit(0)))))
+
+    with pytest.raises(KeyboardInterrupt):
+        dump(questions, lambda part: run(part, break_at=3), path, slices=slices)
+    before = spark.read.parquet(path).count()
+    assert 0 < before < 40
+    dump(questions, run, path, slices=slices)
+    rows = spark.read.parquet(path).collect()
+    assert sorted(r["request_id"] for r in rows) == list(range(40))
+    assert all(r["response"] == r["request"].upper() for r in rows)
+    dump(questions, run, path, slices=slices)
+    assert spark.read.parquet(path).count() == 40
+    dump(questions.where("request_id < 5"), run, path, overwrite=True, slices=2)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_judged_requests_are_left_out(spark):
+    tables = [answers(spark, [(1, "p", x), (2, "q", x)]) for x in "ab"]
+    judge = ExpressionBackend(lambda m: F.lit("8 9"))
+    done = spark.createDataFrame([("p",)], "request string")
+    pairs = judge_pair(tables[0], tables[1], judge, "{question}{answer_1}{answer_2}{prompt}", "x", done=done)
+    assert [(r["request_id"], r["1_score1"], r["2_score1"]) for r in pairs.collect()] == [(2, 8.0, 9.0)]
+    assert {r["request_id"] for r in judge_list(tables, judge, "{num}", done=done).collect()} == {2}
+
+
 def answers(spark, rows):
     return spark.createDataFrame(rows, "request_id long, request string, response string")
 

@@ -29,6 +29,7 @@ from workload.fixtures import (
     CHUNKS_SQL,
     MODEL,
     N_CHUNKS,
+    OTHER_CHUNKS_SQL,
     PLAIN_CONTENT_SQL,
     PLAIN_PROMPTS,
     PLAIN_SQL,
@@ -81,7 +82,10 @@ def _events(events):
     return events.select(
         "event_id",
         F.col("user_id").alias("ip"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        # the same instant whatever time zone the session has
+        F.expr(
+            "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))"
+        ).alias("ts"),
         (F.col("event_type") == "signup").alias("is_load"),
         F.col("props").alias("text"),
         (F.col("event_type") == "error").alias("flagged"),
@@ -179,18 +183,16 @@ def q_chunk_sample(spark, sf_dir):
 
 @query(
     "side_by_side",
-    f"""WITH {CHUNKS_SQL}, l AS (SELECT * FROM chunks WHERE seq < 4 + request_id % 9),
-    r AS (SELECT request_id, seq, md5(text) AS text FROM chunks WHERE seq < 3 + request_id % 7),
-    s AS (SELECT request_id, seq FROM l UNION SELECT request_id, seq FROM r)
-    SELECT s.request_id, s.seq::INTEGER AS step, md5(a.text) AS left_text, b.text AS right_text FROM s
-        JOIN l a ON a.request_id = s.request_id AND a.seq = least(s.seq, 3 + s.request_id % 9, {N_CHUNKS - 1})
-        JOIN r b ON b.request_id = s.request_id AND b.seq = least(s.seq, 2 + s.request_id % 7)""",
+    f"""WITH {CHUNKS_SQL}, {OTHER_CHUNKS_SQL},
+    s AS (SELECT request_id, seq FROM chunks UNION SELECT request_id, seq FROM others)
+    SELECT s.request_id, s.seq::INTEGER AS step, md5(a.text) AS left_text, md5(b.text) AS right_text FROM s
+        JOIN sized z ON z.request_id = s.request_id
+        JOIN chunks a ON a.request_id = s.request_id AND a.seq = least(s.seq, {N_CHUNKS - 1})
+        JOIN others b ON b.request_id = s.request_id AND b.seq = least(s.seq, z.c - 1)""",
 )
 def q_side_by_side(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
-    left = rows.where(F.col("seq") < 4 + F.col("request_id") % 9)
-    right = rows.where(F.col("seq") < 3 + F.col("request_id") % 7).withColumn("text", F.md5("text"))
-    return side_by_side(left, right).withColumn("left_text", F.md5("left_text"))
+    both = side_by_side(chunks(spark, sf_dir), chunks(spark, sf_dir, uneven=True))
+    return both.withColumns({"left_text": F.md5("left_text"), "right_text": F.md5("right_text")})
 
 
 # ---- streams ----------------------------------------------------------------

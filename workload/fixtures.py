@@ -352,14 +352,23 @@ chunks AS (SELECT request_id, k AS seq,
     FROM words, range(0, {N_CHUNKS}) r(k))
 """
 
+OTHER_CHUNKS_SQL = """
+sized AS (SELECT request_id, w, 5 + len(w) % 13 AS c FROM words),
+others AS (SELECT request_id, k AS seq,
+    array_to_string(w[1:CAST(ceil(len(w) * (k + 1) / c::DOUBLE) AS BIGINT)], ' ') AS text
+    FROM (SELECT request_id, w, c, unnest(range(0, c)) AS k FROM sized))
+"""
+
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a stream of twelve growing snapshots, the last one whole."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(N_CHUNKS - 1)))
+def chunks(spark: SparkSession, sf_dir: str, uneven: bool = False) -> DataFrame:
+    """Every document as a stream of growing snapshots, the last one whole:
+    twelve of them, or 5 to 17 depending on the number of words."""
     n_words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    cut = f"int(ceil(n * (seq + 1) / {N_CHUNKS}))"
+    n_chunks = (5 + n_words % 13).cast("int") if uneven else F.lit(N_CHUNKS)
+    at = F.explode(F.sequence(F.lit(0), n_chunks - 1))
+    cut = "int(ceil(n * (seq + 1) / c))"
     return (
         documents(spark, sf_dir)
-        .select(F.col("doc_id").alias("request_id"), "text", n_words.alias("n"), at.alias("seq"))
+        .select(F.col("doc_id").alias("request_id"), "text", n_words.alias("n"), n_chunks.alias("c"), at.alias("seq"))
         .select("request_id", "seq", F.expr(f"substring_index(text, ' ', {cut})").alias("text"))
     )

@@ -44,7 +44,7 @@ from workload.fixtures import (
     score_reviews,
     score_sql,
 )
-from workload.registry import query, table
+from workload.registry import documents, query, table
 
 
 @query(
@@ -55,7 +55,7 @@ from workload.registry import query, table
 def q_render_template(spark, sf_dir):
     template = "{{{lang}}} asks: {request} ({source})"
     fields = {"lang": F.col("lang"), "request": F.col("text"), "source": F.col("source")}
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "text", "lang", "source").select(
         F.col("doc_id").alias("request_id"), render_template(template, fields).alias("prompt")
     )
 
@@ -266,7 +266,7 @@ def q_judge_prompt_pair(spark, sf_dir):
 def q_judge_prompt_list(spark, sf_dir):
     shown = F.array("text", F.concat(F.lit("Second: "), "text"), "source")
     prompt = list_judge_prompt(F.col("text"), shown, F.lit(list_judge_instruction(LIST_PROMPT, 3)))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "text", "source").select(
         F.col("doc_id").alias("request_id"), prompt.alias("prompt")
     )
 
@@ -285,7 +285,7 @@ _CODE_SQL = r"""replace(replace(text, ' ', '\_'), chr(10), chr(10) || '```')"""
 def q_unescape_code(spark, sf_dir):
     escaped = F.replace(F.col("text"), F.lit(" "), F.lit("\\_"))
     code = F.replace(escaped, F.lit("\n"), F.lit("\n```"))
-    return table(spark, sf_dir, "documents").select("doc_id", unescape_code(code).alias("code"))
+    return documents(spark, sf_dir).select("doc_id", unescape_code(code).alias("code"))
 
 
 @query(
@@ -294,7 +294,7 @@ def q_unescape_code(spark, sf_dir):
         ELSE text END AS text FROM documents""",
 )
 def q_truncate_stop(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", truncate_stop(F.col("text"), " the ").alias("text")
     )
 
@@ -304,7 +304,7 @@ def q_truncate_stop(spark, sf_dir):
     r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS INTEGER) AS tokens FROM documents""",
 )
 def q_count_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", count_words(F.col("text")).alias("tokens")
     )
 
@@ -330,8 +330,9 @@ def q_parse_outline(spark, sf_dir):
 @query(
     "dedupe_points",
     f"""WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL}
-    SELECT request_id, count(*)::INTEGER AS n_points, string_agg(point, ',' ORDER BY pos) AS numbers,
-        md5(string_agg(point_outline, '|' ORDER BY pos)) AS texts FROM points GROUP BY request_id""",
+    SELECT o.request_id, count(pos)::INTEGER AS n_points, coalesce(string_agg(point, ',' ORDER BY pos), '') AS numbers,
+        md5(coalesce(string_agg(point_outline, '|' ORDER BY pos), '')) AS texts
+    FROM outlines o LEFT JOIN points p ON o.request_id = p.request_id GROUP BY o.request_id""",
 )
 def q_dedupe_points(spark, sf_dir):
     from workload.fixtures import model_answer
@@ -339,7 +340,7 @@ def q_dedupe_points(spark, sf_dir):
     asked, _ = render_outline_prompt(PLAIN_PROMPTS.outline_prompt, F.col("request"))
     rows = requests(spark, sf_dir).select("request_id", model_answer(F.array(asked)).alias("outline"))
     rows = rows.withColumn("points", dedupe_points(parse_points(F.col("outline"))))
-    return rows.where(F.size("points") > 0).select(
+    return rows.select(
         "request_id",
         F.size("points").alias("n_points"),
         F.array_join("points.point", ",").alias("numbers"),
