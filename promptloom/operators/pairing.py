@@ -40,68 +40,63 @@ def number_occurrences(
     )
 
 
-def pair_answers(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Row by row: ``on``, ``request``, ``answer_1``, ``answer_2``.
-
-    ``on`` identifies a row in both tables: ``["request_id"]`` when the tables
-    come from the same request table, else ``["request", "occurrence"]`` after
-    :func:`number_occurrences`. A row without partner or with another request
-    text fails the job before anything is judged.
-    """
-    left = first.select(*_keyed(on), F.col("request").alias("_r1"), F.col("response").alias("_a1"))
-    right = second.select(*_keyed(on), F.col("request").alias("_r2"), F.col("response").alias("_a2"))
-    joined = left.join(right, [f"_k{i}" for i in range(len(on))], "full_outer")
-    same = F.col("_r1").eqNullSafe(F.col("_r2"))
-    keys = [F.col(f"_k{i}").alias(c) for i, c in enumerate(on) if c != "request"]
-    return joined.select(
-        *keys,
-        F.when(same, F.col("_r1"))
-        .otherwise(F.raise_error(F.lit("the two answer tables differ in rows or requests")))
-        .alias("request"),
-        F.col("_a1").alias("answer_1"),
-        F.col("_a2").alias("answer_2"),
-    )
-
-
-def _keyed(on: Sequence[str]) -> list[Column]:
-    return [F.col(c).alias(f"_k{i}") for i, c in enumerate(on)]
-
-
-def align_n_answers(tables: Sequence[DataFrame], key: str = "request_id") -> DataFrame:
-    """``key, request, answers`` with one answer per table, in table order.
-
-    One shuffle for any number of tables. Every aggregate keeps one value per
-    table, so the state of a group does not grow with the data. A missing or doubled row, or another request text,
-    fails the job.
+def merge_answers(tables: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
+    """Row by row: ``on``, ``request`` and one column ``answer_1``, … per table.
+
+    ``on`` identifies a row in every table: ``["request_id"]`` when they come
+    from one request table, else ``["request", "occurrence"]`` after
+    :func:`number_occurrences`. A missing or doubled row, or another request
+    text, fails the job before anything is judged.
+
+    One shuffle for any number of tables, and its partitioning by ``on`` still
+    holds for what follows. Each aggregate keeps one value per table, so the
+    state of a group does not grow with the data; rows are unique, so combining
+    before the shuffle would only sort everything once more.
     """
     n = len(tables)
-    if n < 2:
-        raise ValueError("at least two answer tables are needed")
     union = None
     for i, table in enumerate(tables):
-        part = table.select(key, "request", "response", F.lit(i).alias("answer_idx"))
+        part = table.select(
+            *on, F.col("request").alias("_r"), "response", F.lit(i).alias("answer_idx")
+        )
         union = part if union is None else union.unionByName(part)
     here = [F.col("answer_idx") == i for i in range(n)]
-    # keys are unique in every table, so combining before the shuffle would only
-    # sort all rows once more
-    merged = union.repartition(key).groupBy(key).agg(
-        F.min("request").alias("request"),
-        F.max("request").alias("_other"),
-        *[F.count(F.when(here[i], 1)).alias(f"_n{i}") for i in range(n)],
-        *[F.max(F.when(here[i], F.col("response"))).alias(f"_a{i}") for i in range(n)],
+    merged = (
+        union.repartition(*on)
+        .groupBy(*on)
+        .agg(
+            F.min("_r").alias("_first"),
+            F.max("_r").alias("_last"),
+            *[F.count(F.when(here[i], 1)).alias(f"_n{i}") for i in range(n)],
+            *[F.max(F.when(here[i], F.col("response"))).alias(f"answer_{i + 1}") for i in range(n)],
+        )
     )
-    complete = F.col("request").eqNullSafe(F.col("_other"))
+    complete = F.col("_first").eqNullSafe(F.col("_last"))
     for i in range(n):
         complete = complete & (F.col(f"_n{i}") == 1)
     return merged.select(
-        key,
-        F.when(complete, F.col("request"))
+        *[c for c in on if c != "request"],
+        F.when(complete, F.col("_first"))
         .otherwise(F.raise_error(F.lit("the answer tables differ in rows or requests")))
         .alias("request"),
-        F.array(*[F.col(f"_a{i}") for i in range(n)]).alias("answers"),
+        *[f"answer_{i + 1}" for i in range(n)],
     )
 
 
+def pair_answers(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Two tables row by row: ``on``, ``request``, ``answer_1``, ``answer_2``."""
+    return merge_answers([first, second], on)
+
+
+def align_n_answers(tables: Sequence[DataFrame], key: str = "request_id") -> DataFrame:
+    """``key, request, answers`` with one answer per table, in table order."""
+    if len(tables) < 2:
+        raise ValueError("at least two answer tables are needed")
+    merged = merge_answers(tables, [key])
+    answers = F.array(*[f"answer_{i + 1}" for i in range(len(tables))])
+    return merged.select(key, "request", answers.alias("answers"))
+
+
 def swap_directions(pairs: DataFrame) -> DataFrame:
     """Every pair twice: ``direction`` 1 as it is, 2 with the answers swapped."""
     shown = F.array(

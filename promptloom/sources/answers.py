@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from promptloom.sources.requests import number_rows
 
 CATEGORIES = "text STRING, category STRING"
 TEMPLATES = "category STRING, prompt_template STRING, defaults STRUCT<prompt: STRING>"
-CELL = T.StringType()
 
 
 def read_answers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -24,6 +24,22 @@ def read_answers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return union
 
 
+def read_answers_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``request_id, request, response`` of an exported table, other columns unread.
+
+    The id is the row's position, as the two tables of a comparison have their
+    rows in the same order.
+    """
+    rows = (
+        spark.read.option("header", True)
+        .option("multiLine", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .csv(path)
+    )
+    return number_rows(rows.select("request", "response"))
+
+
 def read_judge_templates(
     spark: SparkSession, categories: str, templates: str
 ) -> tuple[DataFrame, DataFrame]:

@@ -309,7 +309,7 @@ def q_stream_late_points(spark, sf_dir):
     )
     folder, result = scratch_path(spark, "late"), scratch_path(spark, "late-answers")
     # rows are judged late by the watermark of the batch before theirs
-    for part in (points.where(~late), clock, clock, points.where(late)):
+    for part in (points.where(~late), clock, points.where(late)):
         part.write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
         whole = reassemble_sessions(stream, "1 hour", "1 minute")

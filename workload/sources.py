@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.template import render_template
 from promptloom.session import scratch_path
-from promptloom.sources.answers import list_cells, read_answers, read_judge_templates
+from promptloom.sources.answers import (
+    list_cells,
+    read_answers,
+    read_answers_csv,
+    read_judge_templates,
+)
 from promptloom.sources.chat_log import read_chat_log, write_chat_log
 from promptloom.sources.prompts import naive_template
 from promptloom.sources.requests import (
@@ -120,6 +125,17 @@ def q_read_answers(spark, sf_dir):
     return read_answers(spark, paths)
 
 
+@query(
+    "read_answers_csv",
+    f"""WITH {ANSWERS_SQL}
+    SELECT row_number() OVER (ORDER BY request_id) - 1 AS request_id, request, response FROM answers_2""",
+)
+def q_read_answers_csv(spark, sf_dir):
+    path = scratch_path(spark, "answers-csv")
+    export_csv(answers(spark, sf_dir, 2).orderBy("request_id").drop("request_id"), path)
+    return read_answers_csv(spark, path)
+
+
 @query(
     "read_judge_templates",
     """WITH asked AS (SELECT text, min(lang) AS category FROM documents GROUP BY text)
