@@ -166,16 +166,33 @@ def error_sentinel(text: Column, error: Column, sentinel: str) -> Column:
     return F.when(error.isNotNull(), F.lit(sentinel)).otherwise(text)
 
 
-def gen_params(
-    temperature: Column,
-    top_p: Column,
-    max_new_tokens: Column,
-    model: Column,
-) -> Column:
-    """Settings of a call as a struct; ``t5`` models get a repetition penalty of 1.2."""
+# Settings of a call unless the run says otherwise.
+SETTINGS = {
+    "temperature": (0.7, "double"),
+    "top_p": (1.0, "double"),
+    "max_new_tokens": (512, "int"),
+    "frequency_penalty": (0.0, "double"),
+    "presence_penalty": (0.0, "double"),
+    "system_message": (None, "string"),
+}
+
+
+def gen_params(model: Column, **settings: Column | float | int | str) -> Column:
+    """Settings of a call as a struct, each one value or a column.
+
+    So one job may mix settings. ``repetition_penalty`` is 1.2 for ``t5`` models
+    and 1.0 for others, if it is not given.
+    """
+    unknown = set(settings) - set(SETTINGS) - {"repetition_penalty"}
+    if unknown:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+
+    def value(name: str, default: object, kind: str) -> Column:
+        given = settings.get(name, default)
+        return (given if isinstance(given, Column) else F.lit(given)).cast(kind).alias(name)
+
+    penalty = F.when(model.contains("t5"), 1.2).otherwise(1.0)
     return F.struct(
-        temperature.cast("double").alias("temperature"),
-        top_p.cast("double").alias("top_p"),
-        max_new_tokens.cast("int").alias("max_new_tokens"),
-        F.when(model.contains("t5"), 1.2).otherwise(1.0).alias("repetition_penalty"),
+        *[value(name, default, kind) for name, (default, kind) in SETTINGS.items()],
+        value("repetition_penalty", penalty, "double"),
     )

@@ -103,12 +103,15 @@ def admit_stream(
     state = f"{checkpoint}/loads"
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        # the batch is read by several steps; a lost part is read again
+        batch.persist()
         carried = spark.read.schema(LOADS).parquet(f"{state}/{batch_id - 1}") if batch_id else None
         decisions, loads = admit_batch(
             batch, carried, seconds, delay_seconds, turn_limit, char_limit
         )
         decisions.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         loads.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        batch.unpersist()
 
     (
         events.writeStream.foreachBatch(step)

@@ -441,6 +441,7 @@ def q_scheduler_registry(spark, sf_dir):
 @query(
     "gen_params",
     """SELECT doc_id AS request_id, 0.1 * (doc_id % 8) AS temperature, 512 AS max_new_tokens,
+        0.0::DOUBLE AS presence_penalty, NULL::VARCHAR AS system_message,
         CASE WHEN doc_id % 4 = 0 THEN 1.2 ELSE 1.0 END::DOUBLE AS repetition_penalty,
         length(text)::VARCHAR || ':' || (doc_id % 8)::VARCHAR AS text FROM documents""".replace(
         "0.1 * (doc_id % 8)", "(doc_id % 8)::DOUBLE / 10"
@@ -453,9 +454,7 @@ def q_gen_params(spark, sf_dir):
         ]
 
     model = F.when(F.col("request_id") % 4 == 0, "flan-t5-xl").otherwise("llama")
-    params = gen_params(
-        (F.col("request_id") % 8).cast("double") / 10, F.lit(1.0), F.lit(512), model
-    )
+    params = gen_params(model, temperature=(F.col("request_id") % 8).cast("double") / 10)
     asked = requests(spark, sf_dir).select(
         "request_id", as_messages(F.col("request")).alias("messages"), params.alias("params")
     )
@@ -464,6 +463,8 @@ def q_gen_params(spark, sf_dir):
         "request_id",
         "params.temperature",
         "params.max_new_tokens",
+        "params.presence_penalty",
+        "params.system_message",
         "params.repetition_penalty",
         "text",
     )
@@ -673,8 +674,8 @@ reviews AS (SELECT *, CASE WHEN left(digest, 1) < '4' THEN 'So: Assistant 2 > As
     WHEN left(digest, 1) < 'c' THEN 'Assistant 3 > Assistant 1' ELSE 'All are fine.' END AS review FROM asked),
 {order_sql("review", 3, "reviews", "request_id, perm_index, p1, p2, p3, digest, review")},
 judged AS (SELECT request_id, perm_index, p1, p2, p3, digest, review,
-    places[list_position([p1, p2, p3], 0)] AS place1, places[list_position([p1, p2, p3], 1)] AS place2,
-    places[list_position([p1, p2, p3], 2)] AS place3 FROM ordered)
+    places[list_position([p1, p2, p3], 0)]::INTEGER AS place1, places[list_position([p1, p2, p3], 1)]::INTEGER AS place2,
+    places[list_position([p1, p2, p3], 2)]::INTEGER AS place3 FROM ordered)
 """
 
 

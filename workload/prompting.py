@@ -373,7 +373,7 @@ def q_valid_scores(spark, sf_dir):
 @query(
     "parse_order",
     f"""WITH {ORDER_REVIEWS_SQL}, {order_sql('review', 3, 'reviews', 'doc_id')}
-    SELECT doc_id, places[1] AS place1, places[2] AS place2, places[3] AS place3 FROM ordered""",
+    SELECT doc_id, places[1]::INTEGER AS place1, places[2]::INTEGER AS place2, places[3]::INTEGER AS place3 FROM ordered""",
 )
 def q_parse_order(spark, sf_dir):
     places = order_reviews(spark, sf_dir).withColumn("p", parse_order(F.col("review"), 3))
