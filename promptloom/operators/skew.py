@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 ROWS_PER_TASK = 2_000_000
 MAX_HOT = 256
+MAX_RANGES = 1024
 
 
 @dataclass(frozen=True)
@@ -90,7 +91,6 @@ def running(
     combine: Callable[[Column, Column], Column],
     hot: HotKeys,
     preceding_only: bool = False,
-    buckets: int = 1024,
 ) -> DataFrame:
     """Running ``func(value)`` per key in ``order``; ``func`` is a max, min, sum or count.
 
@@ -107,16 +107,16 @@ def running(
         return df.withColumn(name, func(value).over(window))
 
     position = F.col(order[0]).cast("double")
-    points = [i / buckets for i in range(1, buckets)]
+    ranges = min(MAX_RANGES, 4 * max(hot.shares.values()))
+    points = [i / ranges for i in range(1, ranges)]
     edges = (
         df.where(hot.is_hot())
-        .agg(F.percentile_approx(position, points, 100 * buckets).alias("e"))
+        .agg(F.percentile_approx(position, points, 100 * ranges).alias("e"))
         .first()["e"]
     )
-    edges = sorted(set(edges))
-    bucket = F.size(F.filter(F.lit(edges), lambda e: e < position))
+    number = _range_number(position, sorted(set(edges)))
     cut = df.withColumn("_value", value).withColumn(
-        "_bucket", F.when(hot.is_hot(), bucket).otherwise(0)
+        "_bucket", F.when(hot.is_hot(), number).otherwise(0)
     )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -139,6 +139,16 @@ def running(
     )
 
 
+def _range_number(position: Column, edges: list[float], first: int = 0) -> Column:
+    """Number of ``edges`` below ``position``, by halving: ten tests for 1,000 edges."""
+    if not edges:
+        return F.lit(first)
+    middle = len(edges) // 2
+    return F.when(
+        position <= edges[middle], _range_number(position, edges[:middle], first)
+    ).otherwise(_range_number(position, edges[middle + 1 :], first + middle + 1))
+
+
 def _fold(func: Callable[[Column], Column], part: Column) -> Column:
     """Partial counts are summed, everything else is folded by itself."""
     return F.sum(part) if func is F.count else func(part)

@@ -69,7 +69,7 @@ def test_full_outer_cannot_be_salted(skewed):
 def test_running(skewed, func, combine, preceding):
     hot = find_hot_keys(skewed, ["k"], 100)
     spread = running(
-        skewed, ["k"], ["id"], "x", func, F.col("v"), combine, hot, preceding, buckets=16
+        skewed, ["k"], ["id"], "x", func, F.col("v"), combine, hot, preceding
     )
     last = -1 if preceding else 0
     window = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, last)
@@ -85,7 +85,7 @@ def test_running_with_clustered_order(spark):
     at = F.when(F.col("id") < 2900, F.col("id")).otherwise(F.col("id") * 1_000_000)
     df = spark.range(N).select(F.lit(0).alias("k"), at.alias("at"))
     counted = running(
-        df, ["k"], ["at"], "x", F.count, F.lit(1), added, find_hot_keys(df, ["k"], 100), buckets=16
+        df, ["k"], ["at"], "x", F.count, F.lit(1), added, find_hot_keys(df, ["k"], 100)
     )
     assert [r["x"] for r in counted.orderBy("at").collect()] == list(range(1, N + 1))
 
