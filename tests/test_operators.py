@@ -4,6 +4,7 @@ import json
 import time
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from promptloom.operators.backends import get_backend
@@ -22,7 +23,13 @@ from promptloom.operators.stats import tokenizer_counter
 from promptloom.plans import schedulers
 from promptloom.plans.dump import dump
 from promptloom.plans.judge import judge_list, judge_pair
-from promptloom.plans.router import choice_label, exact_split, hashed_split
+from promptloom.plans.router import (
+    choice_label,
+    exact_split,
+    hashed_split,
+    predict,
+    train_router,
+)
 from promptloom.session import broadcast_if_small, materialise, shared_dir
 from promptloom.sources.answers import read_judge_templates
 from promptloom.sources.prompts import OutlinePrompts, naive_template, outline_templates
@@ -327,6 +334,25 @@ def test_hashed_split_is_stable(spark):
     assert 1500 < first.count() < 1700
 
 
+def test_trained_router_routes(spark, tmp_path):
+    rows = [(i, "list the ways" if i % 2 else "solve the sum", i % 2) for i in range(40)]
+    labelled = spark.createDataFrame(rows, "request_id long, request string, label int")
+    train_router(labelled, features=64, iterations=5).save(str(tmp_path / "router"))
+    model = PipelineModel.load(str(tmp_path / "router"))
+    routed = predict(model, labelled.drop("label"))
+    assert matrix(confusion_matrix(routed.join(labelled.withColumnRenamed("label", "y"), "request_id"), "y", "label")) == {
+        (0, 0): 20.0,
+        (0, 1): 0.0,
+        (1, 0): 0.0,
+        (1, 1): 20.0,
+    }
+    upper = ExpressionBackend(lambda m: F.concat(F.lit("1. "), F.upper(F.get(m, F.lit(0)))))
+    prompts = OutlinePrompts("{request}", "{point_outline}")
+    answered = schedulers.router(routed.drop("prob"), upper, prompts).collect()
+    kinds = {r["request_id"] % 2: (r["points"], r["response"]) for r in answered}
+    assert kinds[0] == (None, "1. SOLVE THE SUM") and kinds[1] == (["1"], "1. LIST THE WAYS")
+
+
 def test_choices(spark):
     texts = ["A", " B. because", "C", "Apples", "", "a", "\nA, B"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptloom.functions.outline import dedupe_points, parse_points
 from promptloom.operators.chat import (
     admit_message,
     chunk_delta,
@@ -36,7 +35,6 @@ from workload.fixtures import (
     POINTS_SQL,
     PROMPTS,
     REQUESTS_SQL,
-    SWITCHED_CONTENT_SQL,
     SWITCHED_SQL,
     chunks,
     python_model,

@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.messages import as_messages
 from promptloom.functions.scores import FAILED_REVIEW, parse_score_pair
-from promptloom.functions.template import list_judge_instruction, list_judge_prompt
 from promptloom.operators.backends import get_backend
 from promptloom.operators.generate import (
-    ExpressionBackend,
     PythonBackend,
     error_sentinel,
     gen_params,
@@ -30,6 +28,7 @@ from promptloom.operators.pairing import (
 from promptloom.operators.points import assemble_blank_line, assemble_newline, explode_points
 from promptloom.operators.resume import skip_done
 from promptloom.plans import schedulers
+from promptloom.plans.dump import dump
 from promptloom.plans.experiment import experiment_grid
 from promptloom.plans.judge import (
     judge_list,
@@ -37,7 +36,7 @@ from promptloom.plans.judge import (
     judge_pair_by_category,
     pivot_list_orders,
 )
-from promptloom.session import materialise
+from promptloom.session import materialise, scratch_path
 from workload.fixtures import (
     ANSWERS_SQL,
     LIST_JUDGE,
@@ -263,6 +262,30 @@ def q_experiment_grid(spark, sf_dir):
     return experiment_grid(rows, ["m0", "m1", "m2"], ["naive", "outline"], done)
 
 
+@query(
+    "resume_dump",
+    f"""WITH {REQUESTS_SQL}, todo AS (SELECT r.* FROM requests r JOIN documents d ON d.doc_id = r.request_id
+        WHERE lang = 'en' OR text NOT IN (SELECT text FROM documents WHERE lang = 'en'))
+    SELECT request_id, request, CASE WHEN length(request) % 11 = 0 THEN 'no points here'
+        ELSE array_to_string(list_transform(list_filter(string_split(request, chr(10)), lambda x: x <> ''),
+            lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END AS response FROM todo""",
+)
+def q_resume_dump(spark, sf_dir):
+    """First the English questions, then a second run over all of them that
+    answers what is left."""
+    path = scratch_path(spark, "dump")
+    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "lang")
+    english = lang.where(F.col("lang") == "en").select("request_id")
+    asked = requests(spark, sf_dir)
+
+    def run(part):
+        return schedulers.naive(part, MODEL)
+
+    dump(asked.join(english, "request_id", "left_semi"), run, path, overwrite=True)
+    dump(asked, run, path, slices=2)
+    return spark.read.parquet(path).select("request_id", "request", "response")
+
+
 @query(
     "split_route",
     """SELECT l.doc_id AS request_id, CASE WHEN l.quality = 0 THEN 'plain' ELSE 'outline' END AS route,

@@ -36,6 +36,7 @@ from workload.fixtures import (
     SWITCHED_SQL,
     answers,
     list_prompt_sql,
+    model_answer,
     multi_turn,
     order_reviews,
     order_sql,
@@ -318,8 +319,6 @@ def q_count_tokens(spark, sf_dir):
     FROM found""",
 )
 def q_parse_outline(spark, sf_dir):
-    from workload.fixtures import model_answer
-
     asked, _ = render_outline_prompt(PLAIN_PROMPTS.outline_prompt, F.col("request"))
     outline = model_answer(F.array(asked))
     rows = requests(spark, sf_dir).select("request_id", outline.alias("outline"))
@@ -335,8 +334,6 @@ def q_parse_outline(spark, sf_dir):
     FROM outlines o LEFT JOIN points p ON o.request_id = p.request_id GROUP BY o.request_id""",
 )
 def q_dedupe_points(spark, sf_dir):
-    from workload.fixtures import model_answer
-
     asked, _ = render_outline_prompt(PLAIN_PROMPTS.outline_prompt, F.col("request"))
     rows = requests(spark, sf_dir).select("request_id", model_answer(F.array(asked)).alias("outline"))
     rows = rows.withColumn("points", dedupe_points(parse_points(F.col("outline"))))
