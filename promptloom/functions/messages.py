@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptloom.functions.bind import bind
+
 
 def as_messages(request: Column) -> Column:
     return F.array(request)
@@ -116,10 +118,13 @@ def render_conversation(messages: Column, template: ChatTemplate) -> Column:
     A message after the question is the partial answer and follows the slot
     directly. Empty messages are written as a bare role, like the open slot.
     """
+    return bind(messages, lambda m: _conversation(m, template))
+
+
+def _conversation(messages: Column, template: ChatTemplate) -> Column:
     after_role = ": " if template.colon else ""
     bare = ":" if template.colon else ""
-    spoken = (F.size(messages) - 1) / 2
-    history = (F.floor(spoken) * 2).cast("int")
+    history = (F.floor((F.size(messages) - 1) / 2) * 2).cast("int")
 
     def turn(message: Column, i: Column) -> Column:
         role = F.when(i % 2 == 0, F.lit(template.user)).otherwise(F.lit(template.assistant))
