@@ -3,8 +3,8 @@
 A key counts as hot when it has more rows than one task should take. Hot keys
 are found by hash, so the shuffle of the count is 16 bytes per distinct key and
 two keys with one hash are merely both spread. At most ``MAX_HOT`` of them are
-taken, the largest first: no key beyond those can hold more than 1/257 of the
-rows.
+taken, the largest first, so no key beyond those can hold more than one row in
+10,000.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS_PER_TASK = 2_000_000
-MAX_HOT = 256
+ROWS_PER_TASK = 500_000
+MAX_HOT = 10_000
 MAX_RANGES = 1024
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hash of a hot key -> number of tasks its rows are spread over."""
+    """Hash of a hot key -> number of tasks its rows are spread over, a power of two."""
 
     keys: tuple[str, ...]
     shares: dict[int, int]
@@ -35,9 +35,12 @@ class HotKeys:
         return F.xxhash64(*self.keys).isin(list(self.shares))
 
     def n_shares(self) -> Column:
-        pairs = [F.lit(x) for pair in self.shares.items() for x in pair]
-        found = F.create_map(*pairs)[F.xxhash64(*self.keys)] if pairs else F.lit(None)
-        return F.coalesce(found, F.lit(1))
+        """1 for other keys; one set lookup per power of two that occurs."""
+        number = F.lit(1)
+        for power in sorted(set(self.shares.values())):
+            hashes = [h for h, n in self.shares.items() if n == power]
+            number = F.when(F.xxhash64(*self.keys).isin(hashes), power).otherwise(number)
+        return number
 
 
 def find_hot_keys(
@@ -52,7 +55,8 @@ def find_hot_keys(
         .limit(MAX_HOT)
         .collect()
     )
-    return HotKeys(tuple(keys), {r["h"]: -(-r["count"] // rows_per_task) for r in largest})
+    shares = {r["h"]: 1 << ((r["count"] - 1) // rows_per_task).bit_length() for r in largest}
+    return HotKeys(tuple(keys), shares)
 
 
 def join_spread(

@@ -388,6 +388,9 @@ def test_nothing_is_shown_after_an_error(spark):
         (0, "partial", "t0▌"),
         (3, "error", " t3 \n\n(error_code: 7)"),
     ]
+    coded = snapshots(spark, [("x\n```a\\_b\n```c\\_d", 0)]).withColumn("model", F.lit("vicuna-7b"))
+    ends = chunk_sample(coded, model="model").where("kind = 'final'").first()
+    assert ends["shown"] == "x\n```a_b\n```c\\_d"
     good = chunk_sample(snapshots(spark, [(f"t{i}", 0) for i in range(6)])).orderBy("seq", "kind")
     assert [(r["seq"], r["kind"]) for r in good.collect()] == [(0, "partial"), (5, "final"), (5, "partial")]
 
