@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.llm.quality import quality
+from promptloom.llm.toxicity import held_out, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,3 +69,16 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
   NOT base_failed AND coalesce((f + k * m) / (n + k) <= 0.5, true) AS kept
 FROM base LEFT JOIN hosts USING (source) LEFT JOIN prior ON true
 """
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"]
+    )
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
