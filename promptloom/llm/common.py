@@ -72,6 +72,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_FACTORS = np.cumprod(np.full(16, 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
+_SHORT = np.uint64(0xA0761D6478BD642F)
+
+
 class WordHashes:
     """64-bit hashes of the words of whole texts, A-Z lower-cased.
 
@@ -81,8 +85,7 @@ class WordHashes:
     """
 
     def __init__(self) -> None:
-        self.step = np.uint64(0x9E3779B97F4A7C15 | 1)
-        self.powers = np.ones(64, np.uint64)
+        self.powers = np.zeros(0, np.uint64)
         codes = np.arange(256, dtype=np.uint64)
         codes[65:91] += np.uint64(32)
         self.codes = mix(codes + np.uint64(0x632BE59BD9B4E019))
@@ -92,7 +95,8 @@ class WordHashes:
 
     def _powers(self, n: int) -> np.ndarray:
         if n > len(self.powers):
-            self.powers = np.cumprod(np.full(n, self.step, np.uint64), dtype=np.uint64)
+            step = np.full(max(n, 64), 0x9E3779B97F4A7C15, np.uint64)
+            self.powers = np.cumprod(step, dtype=np.uint64)
         return self.powers
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +129,8 @@ def shingle_sets(
     count = np.diff(first)
     n = len(words)
     value = np.zeros(n, np.uint64)
-    factor = np.uint64(1)
     for k in range(min(size, n)):
-        value[: n - k] += words[k:] * factor
-        factor = factor * np.uint64(0xD1342543DE82EF95)
+        value[: n - k] += words[k:] * _FACTORS[k]
     value = mix(value)
     windows = np.maximum(count - (size - 1), 0)
     windows[(count > 0) & (count < size)] = 1
@@ -136,10 +138,8 @@ def shingle_sets(
     at = np.repeat(first[:-1] - start, windows) + np.arange(windows.sum())
     shingles = value[at]
     for i in np.flatnonzero((count > 0) & (count < size)):
-        total = np.uint64(count[i])
-        for w in words[first[i] : first[i + 1]]:
-            total = mix(np.array([total * np.uint64(0xD1342543DE82EF95) + w]))[0]
-        shingles[start[i]] = total
+        own = words[first[i] : first[i + 1]] * _FACTORS[: count[i]]
+        shingles[start[i]] = mix(own.sum(dtype=np.uint64, keepdims=True) ^ _SHORT)[0]
     owner = np.repeat(np.arange(len(count)), windows)
     order = np.lexsort((shingles, owner))
     shingles, owner = shingles[order], owner[order]

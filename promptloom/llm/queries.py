@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom.llm.minhash import near_duplicates
 from promptloom.llm.quality import quality
 from promptloom.llm.toxicity import held_out, toxicity
 
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
