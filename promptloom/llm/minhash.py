@@ -240,19 +240,54 @@ def _across(
     strays = materialise(
         able.join(major, bucket)
         .where("component <> major")
-        .select(*bucket, *[F.col(x).alias(f"{x}_s") for x in ("id", "component", "n", "c")]),
+        .select(
+            *bucket, "major", *[F.col(x).alias(f"{x}_s") for x in ("id", "component", "n", "c")]
+        ),
         "strays",
     )
-    possible = F.least("c", "c_s") * (100 + PERCENT) >= (F.col("n") + F.col("n_s")) * PERCENT
+    strays = strays.join(_at_home(strays, who, sets), "id_s", "left")
+    sketch = nodes.select("id", "bands")
+    strays = materialise(strays.join(sketch.toDF("id_s", "bands_s"), "id_s"), "strays")
+    able = materialise(able.join(sketch, "id"), "able")
+    common = F.when(F.col("component") == F.col("home"), F.coalesce("c_home", F.lit(0)))
+    common = F.least("c", "c_s", F.coalesce(common, "c_s"))
+    possible = common * (100 + PERCENT) >= (F.col("n") + F.col("n_s")) * PERCENT
+    # a pair counts in the first band that it shares
+    agree = F.zip_with("bands", "bands_s", lambda x, y: x == y)
+    first = F.array_position(agree, F.lit(True)) == F.col("band") + 1
     return materialise(
         strays.join(able, bucket)
-        .where((F.col("component") != F.col("component_s")) & possible)
+        .where((F.col("component") != F.col("component_s")) & possible & first)
+        .where("component = major OR id_s < id")
         .select(F.least("id", "id_s").alias("a"), F.greatest("id", "id_s").alias("b"))
         .distinct(),
         "across",
     )
 
 
+def _at_home(strays: DataFrame, who: DataFrame, sets: DataFrame) -> DataFrame:
+    """``id_s, home, c_home``: of the component that a stray meets most, how many of its
+    shingles occur there; a sharper bound for most of its pairs."""
+    homes = materialise(
+        strays.groupBy("id_s", "major")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("id_s")
+        .agg(F.max(F.struct("rows", "major"))["major"].alias("home")),
+        "homes",
+    )
+    shingles = sets.select("id", F.explode("shingles").alias("s"))
+    owned = materialise(
+        who.join(homes.select(F.col("home").alias("component")).distinct(), "component")
+        .join(shingles, "id")
+        .select(F.col("component").alias("home"), "s")
+        .distinct(),
+        "owned",
+    )
+    met = homes.join(shingles.withColumnRenamed("id", "id_s"), "id_s").join(owned, ["home", "s"])
+    count = met.groupBy("id_s").agg(F.count("*").alias("c_home"))
+    return materialise(homes.join(count, "id_s", "left"), "home_counts")
+
+
 def _mixed(tagged: DataFrame, *more) -> DataFrame:
     """Buckets whose members are in two components or more."""
     both = tagged.groupBy("band", "key").agg(
