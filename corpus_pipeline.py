@@ -2,23 +2,71 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom.llm.minhash import near_duplicates
+from promptloom.llm.packing import pack_documents
 from promptloom.llm.quality import quality
+from promptloom.llm.toxicity import toxicity
+from promptloom.session import materialise
+
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the limit, in all their columns."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    score = "score"
+    while score in {c.lower() for c in docs.columns}:
+        score += "_"
+    return toxicity(docs, labels, out=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules on their text and whose host passes."""
     return quality(docs).where("kept").select("doc.*")
 
 
-STAGES = [("quality", drop_low_quality)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates.
+
+    Rows without an id stay. Of rows that repeat an id one stays.
+    """
+    judged = near_duplicates(docs).where("doc_id IS NOT NULL")
+    away = materialise(judged.where("NOT kept").select("doc_id").distinct(), "away")
+    # the join renames nothing, so columns of any name pass
+    left = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(
+        docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"), "again"
+    )
+    if again.isEmpty():
+        return left
+    once = left.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = left.join(again.select("doc_id"), "doc_id", "left_anti")
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their place in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("packing", pack_sequences),
+]
 
+# learned scores, similarity and tokens have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each one's rows written before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

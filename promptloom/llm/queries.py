@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
 from promptloom.llm.minhash import near_duplicates
+from promptloom.llm.packing import pack_documents
 from promptloom.llm.quality import quality
 from promptloom.llm.toxicity import held_out, toxicity
 
@@ -31,6 +33,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=1)
+
+
 @query
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
