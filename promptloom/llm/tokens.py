@@ -33,25 +33,26 @@ def byte_letters() -> dict[int, str]:
 
 
 class SegmentIds(dict):
-    """Little-endian 32-bit ids of a segment, worked out when it is first seen."""
+    """Little-endian 32-bit ids of a segment, worked out when it is first seen.
 
-    def __init__(self, tokenizer: Tokenizer, lower: bool) -> None:
+    ``core(letters)`` encodes plain Latin letters, perhaps after a space, and
+    ``whole(text)`` anything.
+    """
+
+    def __init__(
+        self, core: Callable[[str], bytes], whole: Callable[[str], bytes], lower: bool = False
+    ) -> None:
         super().__init__()
-        self.tokenizer, self.model, self.lower = tokenizer, tokenizer.model, lower
-        self.letters = byte_letters()
+        self.core, self.whole, self.lower = core, whole, lower
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
-    def whole(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
     def _core(self, word: str) -> bytes:
         if self.lower:
             word = word.lower()
         made = self.cores.get(word)
         if made is None:
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-            made = _packed([t.id for t in self.model.tokenize(mapped)])
+            made = self.core(word)
             if len(self.cores) >= MEMO:
                 self.cores.clear()
             self.cores[word] = made
@@ -74,8 +75,13 @@ class SegmentIds(dict):
         self[segment] = made
         return made
 
+    def encode(self, text: str, cut: Callable[[str], list[str]] = _SEGMENTS.findall) -> bytes:
+        if _ODD.search(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, cut(text)))
+
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
@@ -87,13 +93,16 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    by_words = bool(getattr(tokenizer.model, "end_of_word_suffix", None))
-    known = SegmentIds(tokenizer, by_words)
-    cut = str.split if by_words else _SEGMENTS.findall
+    model, letters = tokenizer.model, byte_letters()
+    by_words = bool(getattr(model, "end_of_word_suffix", None))
 
-    def encode(text: str) -> bytes:
-        if _ODD.search(text):
-            return known.whole(text)
-        return b"".join(map(known.__getitem__, cut(text)))
+    def core(word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(letters)
+        return packed([t.id for t in model.tokenize(mapped)])
 
-    return encode
+    def whole(text: str) -> bytes:
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    known = SegmentIds(core, whole, by_words)
+    cut = str.split if by_words else _SEGMENTS.findall
+    return lambda text: known.encode(text, cut)
