@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from promptloom.llm.bitpack import read_ids, write_ids
 from promptloom.llm.bpe import encode_decode
+from promptloom.llm.chat import collapse, render
+from promptloom.llm.hnsw import nearest
 from promptloom.llm.minhash import near_duplicates
 from promptloom.llm.packing import pack_documents
 from promptloom.llm.quality import quality
 from promptloom.llm.toxicity import held_out, toxicity
+from promptloom.llm.urlfilter import filter_urls
+from promptloom.llm.warc import captures, read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,3 +124,78 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     files = write_ids(table(spark, sf_dir, "documents"), vocabulary, end_id=0)
     return read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+# the rules of the url query
+URL_RULES = {
+    "com/": "allow",
+    "example.com/en/": "block",
+    "www.example.com/en/": "allow",
+    "net/es/": "block",
+    "net/fr/": "block",
+}
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages"), URL_RULES, carry=["page_id"])
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+TWINS["op4_url_filter"] = r"""
+WITH rules AS (
+  SELECT * FROM (VALUES ('com/', 'allow'), ('example.com/en/', 'block'),
+    ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')) AS r(rule, verdict)
+), cut AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), fitting AS (
+  SELECT page_id, host, path, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict
+  FROM cut LEFT JOIN rules
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+   AND starts_with(path, substr(rule, instr(rule, '/')))
+  GROUP BY page_id, host, path
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fitting
+"""
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(table(spark, sf_dir, "pages"))
+    return captures(read_records(archives, with_payload=False), with_payload=False).select(
+        "page_id",
+        F.coalesce("record.payload_bytes", "revisited.payload_bytes").alias("payload_bytes"),
+        F.col("record.digest").alias("payload_digest"),
+        F.col("record.type").alias("record_type"),
+        F.col("revisited.page_id").alias("refers_to"),
+    )
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(collapse(table(spark, sf_dir, "conversations")))
+
+
+TWINS["op10_chat"] = r"""
+WITH whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)) || chr(2), ''
+      ORDER BY turn, role, text) AS said,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '')
+      || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+)
+SELECT conv_id, 0::BIGINT AS block, n_turns, rendered FROM whole AS a
+WHERE NOT EXISTS (SELECT 1 FROM whole AS b WHERE starts_with(b.said, a.said)
+  AND (len(b.said) > len(a.said) OR b.conv_id < a.conv_id))
+"""
