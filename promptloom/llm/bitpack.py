@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from promptloom.llm.common import slices
 from promptloom.llm.files import Output, place
@@ -33,10 +34,15 @@ from promptloom.session import materialise, scratch_path
 MAGIC = b"IDBITS01"
 BLOCK = 1 << 16
 FILE_IDS = 4_000_000
+# widths at which the bits are those of plain integers
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, padded to whole 64-bit words."""
+    if bits in _WHOLE:
+        data = ids.astype(_WHOLE[bits]).tobytes()
+        return data + bytes(-len(data) % 8)
     words = np.zeros((len(ids) * bits + 63) // 64, np.uint64)
     if len(ids):
         ids = ids.astype(np.uint64)
@@ -52,6 +58,8 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack_bits(data: bytes | memoryview, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to before ``stop`` of a block."""
+    if bits in _WHOLE:
+        return np.frombuffer(data, _WHOLE[bits], stop - start, start * bits // 8).astype(np.uint32)
     words = np.concatenate((np.frombuffer(data, "<u8"), np.zeros(1, np.uint64)))
     at = np.arange(start, stop, dtype=np.uint64) * np.uint64(bits)
     word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
@@ -129,10 +137,11 @@ def write_ids(
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "ids")
     end = np.array([end_id], np.uint32)
+    bits = id_bits(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode = bits = None
+        encode = None
         names, ids, held, files = [], [], 0, []
 
         def flush() -> None:
@@ -144,7 +153,7 @@ def write_ids(
 
         for batch in batches:
             if encode is None:
-                encode, bits = encoder(path), id_bits(path)
+                encode = encoder(path)
             for start, stop in slices(batch.column("text")):
                 own = batch.slice(start, stop - start)
                 texts = own.column("text").to_pylist()
@@ -182,8 +191,6 @@ _FILE_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
 def id_bits(path: str) -> int:
     """Bits of the largest id of a vocabulary file."""
-    from tokenizers import Tokenizer
-
     return max(1, int(max(Tokenizer.from_file(path).get_vocab().values())).bit_length())
 
 
