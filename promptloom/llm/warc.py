@@ -8,6 +8,7 @@ in WARC-Concurrent-To; reading joins the records over that name into one row.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
@@ -23,6 +24,7 @@ from promptloom.llm.files import Output, place
 from promptloom.session import materialise, scratch_path
 
 FILE_BYTES = 64 << 20
+LEVEL = 1
 DATE = "2000-01-01T00:00:00Z"
 # fixed value: the profile of a revisit that has the payload of an earlier response
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,7 +46,9 @@ def _plain(value: str) -> str:
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    plain = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    # a gzip member per record, as readers expect
+    return gzip.compress(plain, LEVEL, mtime=0)
 
 
 def capture_records(page: int | None, url: str | None, payload: bytes, of: int | None) -> bytes:
@@ -130,7 +134,7 @@ def write_archives(
             for start, stop in slices(batch.column("payload")):
                 own = batch.slice(start, stop - start)
                 for row in zip(*(own.column(c).to_pylist() for c in own.schema.names)):
-                    out = out or Output(folder, f"{part:06d}-{len(done):06d}", ".warc")
+                    out = out or Output(folder, f"{part:06d}-{len(done):06d}", ".warc.gz")
                     out.write(capture_records(*row))
                     if out.size >= file_bytes:
                         done.append(out.close())
@@ -209,7 +213,7 @@ def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 system, path = place(uri)
                 rows, held = [], 0
                 with system.open_input_file(path) as stream:
-                    for headers, block in parse(io.BufferedReader(stream, 1 << 20)):
+                    for headers, block in parse(gzip.GzipFile(fileobj=io.BufferedReader(stream, 1 << 20))):
                         rows.append(row(headers, block))
                         held += len(block) if with_payload else 200
                         if held >= 2 << 20:
