@@ -204,7 +204,7 @@ def read_ids(files: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, start in zip(*(batch.column(c).to_pylist() for c in ("uri", "start"))):
                 system, path = place(uri)
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     file = IdFile(stream.read())
                 rows = []
                 for name, ids in file.documents():

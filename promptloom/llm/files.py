@@ -18,7 +18,7 @@ class Output:
         self.uri = f"{folder}/{prefix}-{uuid.uuid4().hex}{suffix}"
         system, path = place(self.uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.stream = system.open_output_stream(path)
+        self.stream = system.open_output_stream(path, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:
