@@ -139,34 +139,36 @@ class Codec:
         return packed([whole] if whole >= 0 else self._merged(data))
 
     def _merged(self, data: bytes) -> list[int]:
-        ids = [self.single[b] for b in data]
-        n, pairs = len(ids), self.pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = pairs[ids[i] << 32 | ids[i + 1]]
-            if rank >= 0:
-                heap.append(rank << 32 | i)
+        single, pairs = self.single, self.pairs
+        ids = [single[b] for b in data]
+        n = len(ids)
+        # rank of the pair that begins at each place, -1 where none merges
+        ranks = [pairs[a << 32 | b] for a, b in zip(ids, ids[1:])]
+        ranks.append(-1)
+        heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank >= 0]
         heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heappop(heap)
             rank, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
             # a pair that an earlier merge has changed is passed over
-            if ids[i] < 0 or j >= n or pairs[ids[i] << 32 | ids[j]] != rank:
+            if ranks[i] != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i], ids[j], ranks[j] = rank, -1, -1
             k = after[i] = after[j]
+            new = -1
             if k < n:
                 before[k] = i
-                rank = pairs[ids[i] << 32 | ids[k]]
-                if rank >= 0:
-                    heappush(heap, rank << 32 | i)
+                new = pairs[rank << 32 | ids[k]]
+                if new >= 0:
+                    heappush(heap, new << 32 | i)
+            ranks[i] = new
             k = before[i]
             if k >= 0:
-                rank = pairs[ids[k] << 32 | ids[i]]
-                if rank >= 0:
-                    heappush(heap, rank << 32 | k)
+                new = ranks[k] = pairs[ids[k] << 32 | rank]
+                if new >= 0:
+                    heappush(heap, new << 32 | k)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> np.ndarray:

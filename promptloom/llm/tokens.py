@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
-MEMO = 300_000
+MEMO = 600_000
 
 # plain letters, then nothing or something that starts with ASCII punctuation
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-/:-@\[-`{-~].*)?)", re.S)
