@@ -10,9 +10,10 @@ and perhaps punctuation, with all its steps otherwise.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
-import numpy as np
 from tokenizers import Tokenizer
 
 MEMO = 600_000
@@ -82,7 +83,10 @@ class SegmentIds(dict):
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
