@@ -86,10 +86,12 @@ NUMBER_WORDS = {
 def pair_judge_prompt(
     template: str, question: Column, answer_1: Column, answer_2: Column, prompt: Column
 ) -> Column:
-    return render_template(
-        template,
-        {"question": question, "answer_1": answer_1, "answer_2": answer_2, "prompt": prompt},
-    )
+    """A missing answer is judged as an empty one."""
+    shown = {
+        "answer_1": F.coalesce(answer_1, F.lit("")),
+        "answer_2": F.coalesce(answer_2, F.lit("")),
+    }
+    return render_template(template, {"question": question, **shown, "prompt": prompt})
 
 
 def list_judge_instruction(prompt: str, n: int) -> str:
@@ -100,14 +102,17 @@ def list_judge_instruction(prompt: str, n: int) -> str:
 
 
 def list_judge_prompt(question: Column, answers: Column, instruction: Column) -> Column:
-    """Question, every answer in its numbered block, then the instruction."""
+    """Question, every answer in its numbered block, then the instruction.
+
+    A missing answer has an empty block. The marks in brackets are fixed values.
+    """
     blocks = F.transform(
         answers,
         lambda a, i: F.concat(
             F.lit("[Assistant "),
             (i + 1).cast("string"),
             F.lit("]\n"),
-            a,
+            F.coalesce(a, F.lit("")),
             F.lit("\n\n[End of Assistant "),
             (i + 1).cast("string"),
             F.lit("]"),

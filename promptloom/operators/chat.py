@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import strip, unescape_code
-from promptloom.operators.skew import ROWS_PER_TASK, find_hot_keys, join_spread, later_of, running
+from promptloom.operators.skew import ROWS_PER_TASK, added, find_hot_keys, join_spread, later_of, running
 
 
 def history_before_last(
@@ -147,14 +147,15 @@ def chunk_sample(
 ) -> DataFrame:
     """What a viewer sees of a stream: every fifth snapshot, an error, the end.
 
-    ``seq`` counts from 0 without gaps. Nothing follows the first error. The
-    last snapshot of a stream without error is shown (again) without cursor.
+    Snapshots are counted in the order of ``seq``, which may have gaps. Nothing
+    follows the first error. The last snapshot of a stream without error is shown (again) without cursor.
     """
     ends = chunks.groupBy(*key).agg(
         F.min(F.when(F.col("error_code") != 0, F.col(seq))).alias("_bad"),
         F.max(seq).alias("_last"),
     )
     hot = find_hot_keys(chunks, key, rows_per_task)
+    chunks = running(chunks, key, [seq], "_nth", F.count, F.lit(1), added, hot)
     joined = join_spread(chunks, ends, list(key), "inner", [*key, seq], hot)
     at, bad = F.col(seq), F.col("_bad")
     text = strip(F.col("text"))
@@ -163,7 +164,7 @@ def chunk_sample(
         final = F.when(F.col(model).contains("vicuna"), unescape_code(text)).otherwise(text)
     views = F.array(
         F.when(
-            (F.col("error_code") == 0) & (at % every == 0),
+            (F.col("error_code") == 0) & ((F.col("_nth") - 1) % every == 0),
             F.struct(F.lit("partial").alias("kind"), F.concat(text, F.lit("▌")).alias("shown")),
         ),
         F.when(
@@ -198,12 +199,25 @@ def side_by_side(
 ) -> DataFrame:
     """Two streams advanced together: ``key, step, left_text, right_text``.
 
-    The stream that ends first keeps showing its last snapshot. ``seq`` counts
-    from 0 without gaps, so a missing partner means its stream has ended.
+    The stream that ends first keeps showing its last snapshot. Steps count the
+    snapshots of a stream from 0 in the order of ``seq``, which may have gaps.
     """
-    one = left.select(key, F.col(seq).alias("step"), F.col("text").alias("left_text"))
-    two = right.select(key, F.col(seq).alias("step"), F.col("text").alias("right_text"))
-    hot = find_hot_keys(one.select(key).unionByName(two.select(key)), [key], rows_per_task)
+    hot = find_hot_keys(left.select(key).unionByName(right.select(key)), [key], rows_per_task)
+
+    def stepped(side: DataFrame, name: str) -> DataFrame:
+        counted = running(
+            side.select(key, seq, F.col("text").alias(name)),
+            [key],
+            [seq],
+            "_nth",
+            F.count,
+            F.lit(1),
+            added,
+            hot,
+        )
+        return counted.select(key, (F.col("_nth") - 1).cast("int").alias("step"), name)
+
+    one, two = stepped(left, "left_text"), stepped(right, "right_text")
     steps = one.join(two, [key, "step"], "full_outer")
     for name, side in (("left_text", one), ("right_text", two)):
         end = side.groupBy(key).agg(

@@ -30,14 +30,20 @@ def mean_pool(
 
     The mean is a built-in vector aggregate: partial sums are built before the
     shuffle, so a text with very many tokens costs one row per input partition.
+    A text whose tokens are all masked gets zeros.
     """
-    weight = F.col(mask).cast("double") if mask else F.lit(1.0)
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) if mask else F.lit(1.0)
+    # a mean without any weight is an error, so masked tokens have next to none
+    some = F.greatest(F.col("_w"), F.lit(1e-300))
     pooled = (
         df.select(*by, array_to_vector(vector).alias("_v"), weight.alias("_w"))
         .groupBy(*by)
-        .agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"))
+        .agg(Summarizer.mean(F.col("_v"), some).alias("_m"), F.sum("_w").alias("_total"))
     )
-    return pooled.select(*by, l2_normalise(vector_to_array("_m")).alias("embedding"))
+    mean = vector_to_array("_m")
+    zeros = F.transform(mean, lambda x: F.lit(0.0))
+    shown = F.when(F.col("_total") > 0, l2_normalise(mean)).otherwise(zeros)
+    return pooled.select(*by, shown.alias("embedding"))
 
 
 def token_total(df: DataFrame, tokens: str, by: Sequence[str] = ()) -> DataFrame:

@@ -94,15 +94,17 @@ def router_loss(
     """Cross entropy and Tversky loss mixed, in one aggregation.
 
     ``prob`` is the probability of class 1. Cross entropy uses the labels as
-    they are, the Tversky part the labels times ``label_smoothing``.
+    they are, the Tversky part the labels times ``label_smoothing``. A label that
+    was given no probability at all makes the cross entropy infinite.
     """
     p = F.col(prob)
     y = F.col(label) * F.lit(label_smoothing)
+    given = F.when(F.col(label) == 1, p).otherwise(1 - p)
     sums = df.groupBy(*by).agg(
         F.sum(F.least(p, y)).alias("both"),
         F.sum(p).alias("p"),
         F.sum(y).alias("y"),
-        F.avg(-F.log(F.when(F.col(label) == 1, p).otherwise(1 - p))).alias("ce"),
+        F.avg(F.when(given <= 0, float("inf")).otherwise(-F.log(given))).alias("ce"),
     )
     both = F.col("both")
     tversky = both / (both + fp_ratio * (F.col("p") - both) + fn_ratio * (F.col("y") - both))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.bind import bind
 from promptloom.operators.skew import ROWS_PER_TASK, added, find_hot_keys, join_spread, running
-from promptloom.session import broadcast_if_small
 
 # The questions a list-wise judge can be asked.
 CRITERIA = ("general", "relevance", "diversity", "coherence", "immersion", "integrity")
@@ -194,7 +193,7 @@ def template_lookup(
         ),
     )
     missing = F.raise_error(F.concat(F.lit("no judge template for category "), F.col("category")))
-    return checked.join(broadcast_if_small(known), "category", "left").withColumns(
+    return checked.join(known, "category", "left").withColumns(
         {
             c: F.coalesce(F.col(c), F.lit(fallback[c]).cast("string"), missing)
             for c in ("prompt", "prompt_template")

@@ -2,9 +2,8 @@
 
 A key counts as hot when it has more rows than one task should take. Hot keys
 are found by hash, so the shuffle of the count is 16 bytes per distinct key and
-two keys with one hash are merely both spread. At most ``MAX_HOT`` of them are
-taken, the largest first, so no key beyond those can hold more than one row in
-10,000.
+two keys with one hash are merely both spread. They stay a table, however many
+there are; with no hot key the plan is the plain join or window.
 """
 
 from __future__ import annotations
@@ -16,47 +15,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from promptloom.session import materialise
+
 ROWS_PER_TASK = 500_000
-MAX_HOT = 10_000
-MAX_RANGES = 1024
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hash of a hot key -> number of tasks its rows are spread over, a power of two."""
+    """``table``: hash of a hot key, ``_hash``, and over how many tasks its rows go, ``_shares``."""
 
     keys: tuple[str, ...]
-    shares: dict[int, int]
+    table: DataFrame
+    rows: int
+    rows_per_task: int
 
     def __bool__(self) -> bool:
-        return bool(self.shares)
-
-    def is_hot(self) -> Column:
-        return F.xxhash64(*self.keys).isin(list(self.shares))
-
-    def n_shares(self) -> Column:
-        """1 for other keys; one set lookup per power of two that occurs."""
-        number = F.lit(1)
-        for power in sorted(set(self.shares.values())):
-            hashes = [h for h, n in self.shares.items() if n == power]
-            number = F.when(F.xxhash64(*self.keys).isin(hashes), power).otherwise(number)
-        return number
+        return self.rows > 0
+
+    def marked(self, df: DataFrame) -> DataFrame:
+        """``df`` and ``_shares``, 1 for keys that are not hot."""
+        return (
+            df.withColumn("_hash", F.xxhash64(*self.keys))
+            .join(self.table, "_hash", "left")
+            .withColumn("_shares", F.coalesce("_shares", F.lit(1)))
+            .drop("_hash")
+        )
 
 
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
 ) -> HotKeys:
     """Count rows per key hash (combined before the shuffle), keep the large ones."""
-    largest = (
-        df.groupBy(F.xxhash64(*keys).alias("h"))
+    shares = F.pow(F.lit(2), F.ceil(F.log2(F.col("count") / rows_per_task))).cast("int")
+    found = materialise(
+        df.groupBy(F.xxhash64(*keys).alias("_hash"))
         .count()
         .where(F.col("count") > rows_per_task)
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT)
-        .collect()
+        .select("_hash", shares.alias("_shares"), "count"),
+        "hot",
     )
-    shares = {r["h"]: 1 << ((r["count"] - 1) // rows_per_task).bit_length() for r in largest}
-    return HotKeys(tuple(keys), shares)
+    rows = found.agg(F.sum("count")).first()[0] or 0
+    return HotKeys(tuple(keys), found.drop("count"), rows, rows_per_task)
 
 
 def join_spread(
@@ -78,10 +77,10 @@ def join_spread(
         raise ValueError(f"cannot salt a {how} join")
     if not hot:
         return left.join(right, list(on), how)
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(*row_key), hot.n_shares()).cast("int"))
-    right = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), hot.n_shares() - 1))
-    )
+    salt = F.pmod(F.xxhash64(*row_key), F.col("_shares")).cast("int")
+    left = hot.marked(left).withColumn("_salt", salt).drop("_shares")
+    copies = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))
+    right = hot.marked(right).withColumn("_salt", copies).drop("_shares")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -98,59 +97,55 @@ def running(
 ) -> DataFrame:
     """Running ``func(value)`` per key in ``order``; ``func`` is a max, min, sum or count.
 
-    Without ``hot`` values of ``keys`` this is one window. Rows of a hot key are cut into ranges
-    of ``order[0]`` that hold about the same number of rows; each range gets
-    the combined value of the ranges before it and a window of its own.
-    ``combine(carried, local)`` joins the two; either may be null.
+    Without ``hot`` values of ``keys`` this is one window. Rows of hot keys are
+    dealt by ranges of the keys and the whole order, whatever their types and with
+    nulls first as in a window; each range gets the combined value of the key's
+    ranges before it and a window of its own. Rows equal in ``order`` may lie in
+    two ranges. ``combine(carried, local)`` joins the two; either may be null.
     """
     last = -1 if preceding_only else Window.currentRow
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    plain = func(value).over(whole.rowsBetween(Window.unboundedPreceding, last))
     if not hot:
-        window = (
-            Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-        )
-        return df.withColumn(name, func(value).over(window))
-
-    position = F.col(order[0]).cast("double")
-    ranges = min(MAX_RANGES, 4 * max(hot.shares.values()))
-    points = [i / ranges for i in range(1, ranges)]
-    edges = (
-        df.where(hot.is_hot())
-        .agg(F.percentile_approx(position, points, 100 * ranges).alias("e"))
-        .first()["e"]
-    )
-    number = _range_number(position, sorted(set(edges)))
-    cut = df.withColumn("_value", value).withColumn(
-        "_bucket", F.when(hot.is_hot(), number).otherwise(0)
+        return df.withColumn(name, plain)
+
+    marked = hot.marked(df)
+    usual = marked.where("_shares = 1").drop("_shares").withColumn(name, plain)
+    tie = F.xxhash64(*[c for c in df.columns if not _is_map(df, c)])
+    cut = materialise(
+        marked.where("_shares > 1")
+        .drop("_shares")
+        .withColumn("_value", value)
+        .repartitionByRange(-(-4 * hot.rows // hot.rows_per_task), *keys, *order, tie)
+        .withColumn("_bucket", F.spark_partition_id()),
+        "ranges",
     )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_bucket")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        cut.where(hot.is_hot())
-        .groupBy(*keys, "_bucket")
-        .agg(func(F.col("_value")).alias("_part"), F.count("*").alias("_rows"))
-        .withColumn("_carry", _fold(func, F.col("_part")).over(before))
-        .drop("_part", "_rows")
-    )
-    local = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, last)
+        cut.groupBy(*keys, "_bucket")
+        .agg(func(F.col("_value")).alias("_part"))
+        .select(
+            *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+            F.col("_bucket").alias("_of"),
+            _fold(func, F.col("_part")).over(before).alias("_carry"),
+        )
     )
-    return (
-        cut.join(carried, [*keys, "_bucket"], "left")
+    same = F.col("_bucket") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    local = local.rowsBetween(Window.unboundedPreceding, last)
+    spread = (
+        cut.join(carried, same)
         .withColumn("_local", func(F.col("_value")).over(local))
         .withColumn(name, combine(F.col("_carry"), F.col("_local")))
-        .drop("_value", "_bucket", "_carry", "_local")
     )
+    return usual.unionByName(spread.select(*usual.columns))
 
 
-def _range_number(position: Column, edges: list[float], first: int = 0) -> Column:
-    """Number of ``edges`` below ``position``, by halving: ten tests for 1,000 edges."""
-    if not edges:
-        return F.lit(first)
-    middle = len(edges) // 2
-    return F.when(
-        position <= edges[middle], _range_number(position, edges[:middle], first)
-    ).otherwise(_range_number(position, edges[middle + 1 :], first + middle + 1))
+def _is_map(df: DataFrame, column: str) -> bool:
+    return "map<" in df.schema[column].dataType.simpleString()
 
 
 def _fold(func: Callable[[Column], Column], part: Column) -> Column:
@@ -163,4 +158,5 @@ def later_of(carried: Column, local: Column) -> Column:
 
 
 def added(carried: Column, local: Column) -> Column:
-    return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
+    """Null only where there is nothing on either side, as in a plain window."""
+    return F.coalesce(carried + local, carried, local)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.messages import last_message
 from promptloom.operators.resume import skip_done
+from promptloom.session import materialise
 from promptloom.sources.results import write_results
 
 
@@ -22,26 +23,38 @@ def dump(
 ) -> None:
     """Answer ``request_id, request`` with ``run`` and write the results to ``path``.
 
-    Without ``overwrite`` requests already answered there are left out. The
-    work is committed in ``slices``, so that a run that breaks off loses the
-    calls of one slice and a new run goes on after the last. All copies of a
-    request text are in one slice, hence either all done or all to do.
+    Without ``overwrite`` requests already answered there are left out; with it
+    the first slice replaces all that is there. The work is committed in
+    ``slices``, so that a run that breaks off loses the calls of one slice and a
+    new run goes on after the last. All copies of a request text are in one slice,
+    hence either all done or all to do.
+    A request whose call failed, or one of whose points failed, gets no row in
+    ``path``, so the next run asks again; what this run failed at is in
+    ``<path>-failed``.
     """
-    done = None if overwrite else _existing(requests, path)
+    done = None if overwrite else _answered(requests, path)
+    failures = f"{path.rstrip('/')}-failed"
     for number in range(slices):
-        part = requests.where(F.pmod(F.xxhash64("request"), F.lit(slices)) == number)
+        own = F.pmod(F.xxhash64("request"), F.lit(slices)) == number
+        part = requests.where(own)
         if done is not None:
-            part = skip_done(part, done)
+            same = done.schema["request"].dataType == requests.schema["request"].dataType
+            part = skip_done(part, done.where(own) if same else done)
         answered = run(part).withColumn("request", last_message(F.col("request")))
-        if overwrite and number == 0:
-            answered.write.mode("overwrite").parquet(path)
-        else:
-            write_results(answered, path)
+        if "error" in answered.columns:
+            answered = materialise(answered, "answered")
+            bad = answered.where("error IS NOT NULL")
+            bad.write.mode("overwrite" if number == 0 else "append").parquet(failures)
+            answered = answered.where("error IS NULL")
+        write_results(answered, path, replace=overwrite and number == 0)
 
 
-def _existing(requests: DataFrame, path: str) -> DataFrame | None:
+def _answered(requests: DataFrame, path: str) -> DataFrame | None:
     try:
-        return requests.sparkSession.read.parquet(path).select("request")
+        there = requests.sparkSession.read.parquet(path)
+        if "error" in there.columns:
+            there = there.where("error IS NULL")
+        return there.select("request")
     except AnalysisException as error:
         if error.getCondition() in {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}:
             return None

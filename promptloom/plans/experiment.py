@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.session import broadcast_if_small
 
 
 def experiment_grid(
@@ -32,4 +31,4 @@ def experiment_grid(
     if done is None:
         return grid
     keys = ["dataset", "model", "scheduler"]
-    return grid.join(broadcast_if_small(done.select(*keys).distinct()), keys, "left_anti")
+    return grid.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -98,6 +98,8 @@ def judge_pair_by_category(
         )
         here = F.col("prompt_template") == template
         rendered = F.when(here, text) if rendered is None else rendered.when(here, text)
+    unknown = F.raise_error(F.lit("a pair's template is not among the given ones"))
+    rendered = unknown if rendered is None else rendered.otherwise(unknown)
     asked = shown.withColumn("evaluation_request", rendered).drop(
         "shown_1", "shown_2", "prompt", "prompt_template", "category"
     )

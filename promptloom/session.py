@@ -1,4 +1,4 @@
-"""Shared folder, materialised stages and size-checked broadcasts."""
+"""Shared folder and materialised stages."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,25 +40,3 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def deal_if_few_splits(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a table over all cores if its files give fewer splits.
-
-    Such a table is at most one split per core, so what is shuffled is small;
-    any larger table is scanned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast when a bounded count shows that ``df`` is small.
-
-    A larger table is returned as it is and joins by shuffle.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -28,7 +28,8 @@ def read_answers_csv(spark: SparkSession, path: str) -> DataFrame:
     """``request_id, request, response`` of an exported table, other columns unread.
 
     The id is the row's position, as the two tables of a comparison have their
-    rows in the same order.
+    rows in the same order. An empty answer stays empty; the reader itself takes
+    even a quoted empty cell as null.
     """
     rows = (
         spark.read.option("header", True)
@@ -37,7 +38,9 @@ def read_answers_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .csv(path)
     )
-    return number_rows(rows.select("request", "response"))
+    return number_rows(
+        rows.select("request", F.coalesce("response", F.lit("")).alias("response"))
+    )
 
 
 def read_judge_templates(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from promptloom.session import broadcast_if_small, materialise
+from promptloom.session import materialise
 
 REQUEST = "request STRING"
 LABELLED = "label INT, request STRING"
@@ -71,7 +71,9 @@ def number_rows(df: DataFrame, name: str = "request_id") -> DataFrame:
         ),
         "numbered",
     )
-    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    # part files by their number, which outgrows the digits that their names reserve
+    part = F.expr(r"try_cast(regexp_extract(_file, 'part-(\\d+)[^/]*$', 1) AS BIGINT)")
+    earlier = Window.orderBy(part, "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         marked.groupBy("_file", "_start")
         .agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
@@ -79,7 +81,7 @@ def number_rows(df: DataFrame, name: str = "request_id") -> DataFrame:
         .drop("_n")
     )
     return (
-        marked.join(broadcast_if_small(splits, 100_000), ["_file", "_start"])
+        marked.join(splits, ["_file", "_start"])
         .withColumn(name, F.col("_offset") + F.col("_mid") - F.col("_first"))
         .drop("_file", "_start", "_mid", "_first", "_offset")
     )

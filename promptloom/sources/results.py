@@ -9,15 +9,20 @@ from pyspark.sql import types as T
 PARTITIONS = ("dataset", "model", "scheduler")
 
 
-def write_results(df: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_results(
+    df: DataFrame, path: str, overwrite: bool = False, replace: bool = False
+) -> None:
     """Parquet by ``dataset, model, scheduler``, as far as the columns exist.
 
     Appending keeps what is there (use :func:`~promptloom.operators.resume.skip_done`
-    first); overwriting replaces the partitions that occur in ``df`` and no others.
+    first); overwriting replaces the partitions that occur in ``df`` and no others, and
+    ``replace`` everything.
     """
     by = [c for c in PARTITIONS if c in df.columns]
     writer = df.write.partitionBy(*by) if by else df.write
-    if overwrite:
+    if replace:
+        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    elif overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         writer.mode("append").parquet(path)

@@ -30,8 +30,9 @@ from promptloom.plans.router import (
     predict,
     train_router,
 )
-from promptloom.session import broadcast_if_small, materialise, shared_dir
-from promptloom.sources.answers import read_judge_templates
+from promptloom.session import materialise, shared_dir
+from promptloom.functions.template import list_judge_prompt
+from promptloom.sources.answers import read_answers_csv, read_judge_templates
 from promptloom.sources.prompts import OutlinePrompts, naive_template, outline_templates
 from promptloom.sources.requests import number_rows, read_requests_csv, read_router_csv
 from promptloom.sources.results import export_csv, write_predictions, write_results
@@ -473,13 +474,61 @@ def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def test_broadcast_only_below_the_bound(spark):
-    small, large = spark.range(5), spark.range(50)
-    assert "isBroadcastable=true" in plan(small.join(broadcast_if_small(small, 10), "id")) or "BroadcastHashJoin" in plan(
-        small.join(broadcast_if_small(small, 10), "id")
+
+
+def test_dump_keeps_all_slices_and_asks_again(spark, tmp_path):
+    """Partition columns, several slices, and a model that fails in the first run."""
+    path = str(tmp_path / "answers")
+    asked_ = spark.range(40).select(
+        F.col("id").alias("request_id"), F.concat(F.lit("q"), "id").alias("request")
+    )
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(works):
+        def open_call():
+            def call(messages, settings):
+                calls.add(1)
+                if not works and messages[0][0].endswith("7"):
+                    raise RuntimeError("down")
+                return [m[0].upper() for m in messages]
+
+            return call
+
+        backend = PythonBackend(open_call, attempts=1)
+        return lambda part: schedulers.naive(part, backend).withColumns(
+            {"dataset": F.lit("d"), "model": F.lit("m")}
+        )
+
+    dump(asked_, run(False), path, overwrite=True, slices=4)
+    assert spark.read.parquet(path).count() == 36
+    assert spark.read.parquet(path + "-failed").count() == 4
+    dump(asked_, run(True), path, slices=4)
+    told = spark.read.parquet(path).collect()
+    assert sorted(r["request_id"] for r in told) == list(range(40))
+    assert all(r["response"] == r["request"].upper() and r["error"] is None for r in told)
+    # one call per request, and another for each that failed
+    assert calls.value == 44
+
+
+def test_empty_answers_are_judged_as_empty(spark, tmp_path):
+    table = spark.createDataFrame([("q", "")], "request string, response string")
+    export_csv(table, str(tmp_path / "csv"))
+    read = read_answers_csv(spark, str(tmp_path / "csv"))
+    assert read.first()["response"] == ""
+    told = spark.range(1).select(
+        list_judge_prompt(
+            F.lit("q"), F.array(F.lit("a"), F.lit(None).cast("string")), F.lit("i")
+        ).alias("p")
     )
-    assert broadcast_if_small(large, 10) is large
+    assert "[Assistant 2]\n\n\n[End of Assistant 2]" in told.first()["p"]
 
 
-def plan(df):
-    return df._jdf.queryExecution().toString()
+def test_masked_texts_and_impossible_labels(spark):
+    vectors = spark.createDataFrame(
+        [(1, [3.0, 4.0], 1), (1, [9.0, 9.0], 0), (2, [1.0, 1.0], 0)],
+        "id long, embedding array<double>, mask int",
+    )
+    told = {r["id"]: r["embedding"] for r in mean_pool(vectors, ["id"], mask="mask").collect()}
+    assert [round(x, 9) for x in told[1]] == [0.6, 0.8] and told[2] == [0.0, 0.0]
+    sure = spark.createDataFrame([(0.0, 1), (0.5, 1)], "prob double, label int")
+    assert router_loss(sure).first()["loss_ce"] == float("inf")

@@ -34,7 +34,7 @@ def skewed(spark):
 
 def test_hot_keys_are_the_large_ones(skewed):
     hot = find_hot_keys(skewed, ["k"], 100)
-    assert sorted(hot.shares.values()) == [8, 16]
+    assert sorted(r["_shares"] for r in hot.table.collect()) == [8, 16]
     assert not find_hot_keys(skewed, ["k"], N)
 
 
@@ -51,7 +51,7 @@ def test_join_spread(spark, skewed, how):
 def test_join_spread_splits_the_hot_key(spark, skewed):
     right = spark.createDataFrame([(0, "a")], "k int, name string")
     hot = find_hot_keys(skewed, ["k"], 100)
-    keyed = skewed.withColumn("_salt", F.pmod(F.xxhash64("id"), hot.n_shares()))
+    keyed = hot.marked(skewed).withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_shares")))
     largest = keyed.groupBy("k", "_salt").count().agg(F.max("count")).first()[0]
     assert largest < 200
     assert join_spread(skewed, right, ["k"], "inner", ["id"], hot).count() == N // 3
@@ -147,3 +147,31 @@ def test_sessions_of_a_busy_ip(spark):
     by_slot = gate(events.where(~F.col("is_load")), loads_by_slot(events, length), length, 20)
     assert rows(by_slot.select("event_id", "active")) == rows(plain.select("event_id", "active"))
     assert {r["active"] for r in plain.collect()} == {True, False}
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "timestamp_ntz"])
+def test_running_is_the_same_for_odd_keys_and_orders(spark, kind):
+    """Null keys, null order values, other types and many hot keys in disjoint ranges."""
+    key = F.when(F.col("id") % 5 == 0, None).otherwise(F.floor(F.col("id") / 100)).cast("int")
+    at = F.when(F.col("id") % 17 == 0, None).otherwise(F.col("id"))
+    typed = {
+        "long": at,
+        "string": F.concat(F.lit("r"), F.lpad(at.cast("string"), 6, "0")),
+        "timestamp_ntz": F.timestamp_seconds(at).cast("timestamp_ntz"),
+    }[kind]
+    df = spark.range(N).select("id", key.alias("k"), typed.alias("at")).cache()
+    for func in (F.count, F.sum):
+        value = F.lit(1) if func is F.count else F.col("id")
+        told = [
+            running(
+                df, ["k"], ["at", "id"], "x", func, value, added, find_hot_keys(df, ["k"], limit)
+            )
+            for limit in (3, 10**9)
+        ]
+        assert rows(told[0].select("id", "x")) == rows(told[1].select("id", "x"))
+
+
+def test_no_range_is_too_large(spark):
+    df = spark.range(N).select("id", (F.col("id") % 2).alias("k"))
+    hot = find_hot_keys(df, ["k"], 100)
+    assert hot.rows == N and hot.rows_per_task == 100

@@ -309,12 +309,6 @@ def _routed(spark, sf_dir):
 # ---- generation -------------------------------------------------------------
 
 
-def _shout():
-    return lambda asked, settings: [
-        f"{len(asked[0][0])}:{s['temperature']:.1f}:{a[0][::-1]}" for a, s in zip(asked, settings)
-    ]
-
-
 @query(
     "generate",
     f"""WITH {REQUESTS_SQL}

@@ -36,15 +36,24 @@ def lines(text: Column) -> Column:
 
 MULTI_SQL = f"""
 line_lists AS (SELECT doc_id AS request_id, {LINES_SQL} AS l FROM documents),
-multi AS (SELECT request_id, l[1:len(l) - (1 - len(l) % 2)] AS messages FROM line_lists)
+multi AS (SELECT request_id, CASE WHEN len(l) = 0 THEN [''] WHEN len(l) % 2 = 1 THEN l
+    ELSE list_append(l[1:len(l) - 2], l[-2] || chr(10) || l[-1]) END AS messages FROM line_lists)
 """
 
 
 def multi_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a document as messages; an even number loses its last."""
+    """The lines of a document as messages; of an even number the last two are one."""
+    last = lambda l, n: F.get(l, F.size(l) - n)
     odd = bind(
         lines(F.col("text")),
-        lambda l: F.slice(l, F.lit(1), F.size(l) - (1 - F.size(l) % 2)),
+        lambda l: F.when(F.size(l) == 0, F.array(F.lit("")))
+        .when(F.size(l) % 2 == 1, l)
+        .otherwise(
+            F.array_append(
+                F.slice(l, F.lit(1), F.size(l) - 2),
+                F.concat(last(l, 2), F.lit("\n"), last(l, 1)),
+            )
+        ),
     )
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("request_id"), odd.alias("messages")

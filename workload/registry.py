@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.session import deal_if_few_splits
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,6 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents for work that is heavy per row; one small file feeds all cores."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", *(columns or ("text",)))
-    return deal_if_few_splits(rows, "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", *(columns or ("text",)))

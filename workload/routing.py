@@ -182,7 +182,7 @@ def q_router_train(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("request_id"), F.col("quality").alias("label")
     )
-    model = train_router(texts.join(labels, "request_id"), features=1 << 12, iterations=5)
+    model = train_router(texts.join(labels, "request_id"))
     return predict(model, texts).select("request_id", "label", F.round("prob", 6).alias("prob"))
 
 

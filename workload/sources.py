@@ -140,8 +140,9 @@ def q_read_answers_csv(spark, sf_dir):
     "read_judge_templates",
     """WITH asked AS (SELECT text, min(lang) AS category FROM documents GROUP BY text)
     SELECT text AS request, category,
-        'Judge as ' || category AS prompt, category || ': {question} {prompt}' AS prompt_template
-    FROM asked WHERE category IN ('en', 'de')""",
+        CASE WHEN category IN ('en', 'de') THEN 'Judge as ' || category END AS prompt,
+        CASE WHEN category IN ('en', 'de') THEN category || ': {question} {prompt}' END AS prompt_template
+    FROM asked""",
 )
 def q_read_judge_templates(spark, sf_dir):
     asked, told = scratch_path(spark, "categories"), scratch_path(spark, "templates")
@@ -155,7 +156,7 @@ def q_read_judge_templates(spark, sf_dir):
         F.struct(F.concat(F.lit("Judge as "), "category").alias("prompt")).alias("defaults"),
     ).write.json(told)
     categories, templates = read_judge_templates(spark, asked, told)
-    return categories.join(templates, "category")
+    return categories.join(templates, "category", "left")
 
 
 def _chat_log(spark, sf_dir):
