@@ -88,8 +88,11 @@ def cut_documents(
 # --- the program, on a histogram of lengths -------------------------------------------------
 
 
-def _greedy(demand: dict[int, float], size: int) -> Iterator[tuple[Pattern, float]]:
-    """Longest first: fill a sequence, repeat it until one of its lengths is used up."""
+def _greedy(demand: dict[int, float], size: int) -> Iterator[tuple[Pattern, list[int]]]:
+    """Longest first: fill a sequence, repeat it until some of its lengths are used up.
+
+    Yields the pattern and those lengths.
+    """
     left = dict(sorted(demand.items(), reverse=True))
     lengths = list(left)
     while lengths:
@@ -101,11 +104,12 @@ def _greedy(demand: dict[int, float], size: int) -> Iterator[tuple[Pattern, floa
             pattern.append((n, often))
             room -= n * often
         times = min(left[n] / often for n, often in pattern)
-        yield tuple(pattern), times
         for n, often in pattern:
             left[n] -= often * times
-            if left[n] <= 1e-9 * max(1.0, demand[n]):
-                del left[n]
+        gone = [n for n, _ in pattern if left[n] <= 1e-9 * max(1.0, demand[n])]
+        for n in gone:
+            del left[n]
+        yield tuple(pattern), gone
         lengths = [n for n in lengths if n in left]
 
 
@@ -154,21 +158,12 @@ def solve(histogram: dict[int, int], size: int = LENGTH, rounds: int = ROUNDS) -
             out[place[n]] = often
         return out
 
+    # a pattern holds only lengths that are used up with it or later, so the basis is
+    # triangular; lengths that end together with another have a pattern of their own
     basis: list[Pattern] = []
-    used: set[int] = set()
-    left = {int(n): float(d) for n, d in zip(lengths, demand)}
-    for pattern, times in _greedy(left, size):
-        basis.append(pattern)
-        for n, often in pattern:
-            left[n] -= often * times
-        used.update(n for n, _ in pattern if left[n] <= 1e-9 * histogram[n])
-    # lengths that ended together with another one: a pattern of their own, not used
-    matrix = np.array([column(p) for p in basis]).reshape(-1, m).T
-    if matrix.shape[1] < m:
-        rank = _independent(matrix)
-        spare = [((int(lengths[i]), 1),) for i in range(m) if i not in rank]
-        basis += spare[: m - matrix.shape[1]]
-        matrix = np.array([column(p) for p in basis]).T
+    for pattern, gone in _greedy({int(n): float(d) for n, d in zip(lengths, demand)}, size):
+        basis += [pattern, *(((n, 1),) for n in gone[1:])]
+    matrix = np.array([column(p) for p in basis]).T
     inverse = np.linalg.inv(matrix)
     amount = inverse @ demand
     floor = float(lengths @ demand) / size
@@ -207,19 +202,6 @@ def solve(histogram: dict[int, int], size: int = LENGTH, rounds: int = ROUNDS) -
     return uses
 
 
-def _independent(matrix: np.ndarray) -> set[int]:
-    """Rows in which the columns of a matrix are independent, by elimination."""
-    work, rows = matrix.astype(float).copy(), set()
-    free = np.ones(len(work), bool)
-    for k in range(work.shape[1]):
-        at = int(np.argmax(np.abs(work[:, k]) * free))
-        rows.add(at)
-        free[at] = False
-        if k + 1 < work.shape[1]:
-            work[:, k + 1 :] -= np.outer(work[:, k] / work[at, k] * free, work[at, k + 1 :])
-    return rows
-
-
 def _best_fit(rest: dict[int, int], size: int) -> Counter:
     """Longest first, each into the fullest sequence that has room."""
     rooms: list[int] = []
