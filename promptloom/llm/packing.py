@@ -26,6 +26,7 @@ from promptloom.session import materialise
 LENGTH = 2048
 ROUNDS = 300  # columns generated at most; the rounded result is valid after any number
 GAP = 5e-4  # stop when the program is this close to its lower bound
+HELD_BACK = 64
 ROWS_PER_TASK = 100_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -142,8 +143,8 @@ def solve(histogram: dict[int, int], size: int = LENGTH, rounds: int = ROUNDS) -
 
     The greedy patterns, each of which uses up one length, are the first basis.
     A column enters while a pattern is worth more than one sequence at the current
-    dual prices. The uses are rounded down; what that leaves, fewer sequences than
-    there are patterns, is packed best fit.
+    dual prices. The uses are rounded down, those of loosely filled patterns by some
+    more; what that leaves, a bounded number per pattern, is packed best fit.
     """
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[int(n)] for n in lengths], float)
@@ -194,6 +195,9 @@ def solve(histogram: dict[int, int], size: int = LENGTH, rounds: int = ROUNDS) -
     for pattern, times in sorted(zip(basis, amount), key=lambda x: -x[1]):
         whole = int(np.floor(times + 1e-6))
         whole = min([whole, *(rest[n] // often for n, often in pattern)])
+        if sum(n * often for n, often in pattern) < 0.99 * size:
+            # pieces of loose patterns may fit better with what rounding leaves
+            whole -= HELD_BACK
         if whole > 0:
             uses[pattern] += whole
             for n, often in pattern:
