@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 
 from promptloom.llm.common import slices
 from promptloom.llm.files import Output, place
-from promptloom.llm.tokens import encoder
+from promptloom.llm.tokens import worker_encoder
 from promptloom.session import materialise, scratch_path
 
 MAGIC = b"IDBITS01"
@@ -153,7 +153,7 @@ def write_ids(
 
         for batch in batches:
             if encode is None:
-                encode = encoder(path)
+                encode = worker_encoder(path)
             for start, stop in slices(batch.column("text")):
                 own = batch.slice(start, stop - start)
                 texts = own.column("text").to_pylist()

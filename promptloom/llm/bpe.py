@@ -7,6 +7,7 @@ is merged from its bytes, kept as a linked list, with a heap of the possible mer
 from __future__ import annotations
 
 import base64
+import uuid
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import field, map_texts
+from promptloom.llm.common import field, kept, map_texts
 from promptloom.llm.tokens import SegmentIds, packed
 
 # Unicode's white space, spelled out because libraries differ in a few control characters
@@ -189,9 +190,11 @@ def encode_decode(
     """
     tokens = read_ranks(path)
     known = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash.build(tokens)))
+    run = uuid.uuid4().hex
 
     def open_():
-        codec = Codec(*known.value, pattern)
+        # the tasks of a worker share one codec and its memo
+        codec = kept(("codec", run), lambda: Codec(*known.value, pattern))
 
         def work(texts):
             ids = [codec.encode(t or "") for t in texts]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,22 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def kept(key: Hashable, make: Callable[[], object]):
+    """``make()``, made once per Python worker while the key stays the same.
+
+    Functions reach a worker by value, with globals of their own for every task, so
+    what should outlast a task hangs on a module of the worker's process. Only the
+    latest key is held, and nothing is shared between workers.
+    """
+    name = "_promptloom_kept"
+    holder = sys.modules.setdefault(name, types.ModuleType(name))
+    if getattr(holder, "key", None) != key:
+        holder.key = holder.value = None
+        holder.value = make()
+        holder.key = key
+    return holder.value
+
+
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind))
 

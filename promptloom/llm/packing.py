@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptloom.llm.common import field, map_texts
-from promptloom.llm.tokens import encoder
+from promptloom.llm.tokens import worker_encoder
 from promptloom.session import materialise
 
 LENGTH = 2048
@@ -48,7 +48,7 @@ def cut_documents(
     """
 
     def open_():
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = worker_encoder(path), np.array([end_id], "<u4").tobytes()
 
         def work(texts):
             step, first, total = 4 * length, [0], []

@@ -9,6 +9,7 @@ and perhaps punctuation, with all its steps otherwise.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from array import array
@@ -16,6 +17,8 @@ from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
+from promptloom.llm.common import kept
+
 MEMO = 600_000
 
 # plain letters, then nothing or something that starts with ASCII punctuation
@@ -110,3 +113,10 @@ def encoder(path: str) -> Callable[[str], bytes]:
     known = SegmentIds(core, whole, by_words)
     cut = str.split if by_words else _SEGMENTS.findall
     return lambda text: known.encode(text, cut)
+
+
+def worker_encoder(path: str) -> Callable[[str], bytes]:
+    """``encoder(path)`` with the memo of earlier tasks on this worker and file."""
+    about = os.stat(path)
+    key = ("encoder", path, about.st_mtime_ns, about.st_size)
+    return kept(key, lambda: encoder(path))
