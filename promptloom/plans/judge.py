@@ -83,14 +83,20 @@ def judge_pair(
 
 
 def judge_pair_by_category(
-    paired: DataFrame, backend: Backend, templates: Sequence[str], wide: bool = True
+    paired: DataFrame,
+    backend: Backend,
+    templates: Sequence[str],
+    wide: bool = True,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """Judge pairs that already carry ``prompt`` and ``prompt_template``.
 
+    Requests whose text is in ``done`` are left out.
+
     ``templates`` are the different template texts, known to the driver from
     the template table; each is compiled once.
     """
-    shown = swap_directions(paired)
+    shown = swap_directions(skip_done(paired, done) if done is not None else paired)
     rendered = None
     for template in templates:
         text = pair_judge_prompt(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RESPONSE = "request_id LONG, n_points INT, n_seen INT, response STRING, complete BOOLEAN"
+# n_points of a request whose response is out
+_ANSWERED = -1
 _STATE = "n_points INT, deadline LONG, pos ARRAY<INT>, contents ARRAY<STRING>"
 
 
@@ -65,7 +67,8 @@ def reassemble_state(points: DataFrame, patience: str, delay: str, separator: st
 
     A request that stays incomplete is emitted with ``complete`` false once the
     watermark is ``patience`` past its latest point. The state of a request is
-    its own points, at most ``n_points``.
+    its own points, at most ``n_points``. Until that time a complete request is
+    remembered without its points, so a point that is delivered again adds no response.
     """
     millis = int(pd.Timedelta(patience).total_seconds() * 1000)
 
@@ -75,26 +78,28 @@ def reassemble_state(points: DataFrame, patience: str, delay: str, separator: st
         if state.hasTimedOut:
             n, _, pos, contents = state.get
             state.remove()
-            yield _response(int(key[0]), n, dict(zip(pos, contents)), separator)
+            if n != _ANSWERED:
+                yield _response(int(key[0]), n, dict(zip(pos, contents)), separator)
             return
         n, deadline, seen = 0, 0, {}
         if state.exists:
             n, deadline, pos, contents = state.get
             seen = dict(zip(pos, contents))
+        answered = n == _ANSWERED
         for frame in frames:
             n = int(frame["n_points"].iat[0])
             latest = frame["ts"].to_numpy("datetime64[ms]").max().astype(int)
             deadline = max(deadline, int(latest) + millis)
             for p, content in zip(frame["pos"].tolist(), frame["content"].tolist()):
                 seen.setdefault(p, content)
-        if len(seen) >= n:
-            if state.exists:
-                state.remove()
-            yield _response(int(key[0]), n, seen, separator)
-            return
-        state.update((n, deadline, list(seen), list(seen.values())))
+        if answered or len(seen) >= n:
+            state.update((_ANSWERED, deadline, [], []))
+        else:
+            state.update((n, deadline, list(seen), list(seen.values())))
         # the deadline comes from the rows' own time: the first watermark is 1970
         state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
+        if not answered and len(seen) >= n:
+            yield _response(int(key[0]), n, seen, separator)
 
     return (
         points.withWatermark("ts", delay)

@@ -22,7 +22,7 @@ from promptloom.operators.resume import skip_done
 from promptloom.operators.stats import tokenizer_counter
 from promptloom.plans import schedulers
 from promptloom.plans.dump import dump
-from promptloom.plans.judge import judge_list, judge_pair
+from promptloom.plans.judge import judge_list, judge_pair, judge_pair_by_category
 from promptloom.plans.router import (
     choice_label,
     exact_split,
@@ -223,6 +223,12 @@ def test_judged_requests_are_left_out(spark):
     pairs = judge_pair(tables[0], tables[1], judge, "{question}{answer_1}{answer_2}{prompt}", "x", done=done)
     assert [(r["request_id"], r["1_score1"], r["2_score1"]) for r in pairs.collect()] == [(2, 8.0, 9.0)]
     assert {r["request_id"] for r in judge_list(tables, judge, "{num}", done=done).collect()} == {2}
+    template = "{question}{answer_1}{answer_2}{prompt}"
+    paired = pair_answers(tables[0], tables[1], ["request_id"]).selectExpr(
+        "*", "'x' AS prompt", f"'{template}' AS prompt_template", "'any' AS category"
+    )
+    some = judge_pair_by_category(paired, judge, [template], done=done)
+    assert {r["request_id"] for r in some.collect()} == {2}
 
 
 def answers(spark, rows):

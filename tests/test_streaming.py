@@ -69,6 +69,23 @@ def test_repeated_points_count_once(spark, tmp_path):
     assert seen[2][1] == ("a\n\nb", 2, True)
 
 
+def test_redelivered_point_adds_no_response(spark, tmp_path):
+    seen = drain(
+        spark,
+        tmp_path,
+        lambda s: reassemble_state(s, "1 hour", "1 minute"),
+        ONE,
+        TWO,
+        TWO[:1],
+        CLOCK,
+        CLOCK,
+    )
+    assert seen[2] == seen[1]
+    assert seen[-1][1] == ("a\n\nb", 2, True)
+    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("request_id").count().collect()
+    assert {r["request_id"]: r["count"] for r in rows} == {1: 1, 2: 1, 3: 1}
+
+
 def test_sessions_answer_after_patience(spark, tmp_path):
     seen = drain(
         spark,
