@@ -183,3 +183,15 @@ def test_graph_finds_neighbours():
     want = np.argsort(-(vectors[:100] @ vectors.T), axis=1)[:, :10]
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, want)])
     assert recall >= 0.9
+
+
+def test_kept_is_made_once_per_key():
+    from promptloom.llm.common import kept
+
+    made = []
+
+    def make(value):
+        return lambda: made.append(value) or value
+
+    assert [kept(("t", k), make(k)) for k in (1, 1, 2, 1)] == [1, 1, 2, 1]
+    assert made == [1, 2, 1]
