@@ -190,14 +190,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(
-    members: DataFrame, label: DataFrame, nodes: DataFrame, sets: DataFrame
+    members: DataFrame, label: DataFrame, nodes: DataFrame, sets: DataFrame, hubs: DataFrame
 ) -> DataFrame:
     """Pairs ``a, b`` that share a bucket, not a component, and that a bound cannot refute.
 
     For a class of n shingles, c of which occur in a class of another component at
     all, a link to a class of m shingles needs (100 + 75) * c >= 75 * (n + m). Of what
     is left, only classes outside a bucket's commonest component are compared with
-    the bucket, so a large component is never compared with itself.
+    the bucket, so a large component is never compared with itself. Two classes share
+    at most the shingles of the bucket's hub that both have, and of the others as many
+    as the one with fewer of them has.
     """
     bucket = ["band", "key"]
     tagged = materialise(
@@ -219,7 +221,10 @@ def _across(
         .select("s"),
         "useful",
     )
-    common = materialise(spread.join(useful, "s").groupBy("id").agg(F.count("*").alias("c")), "c")
+    met = materialise(
+        spread.join(useful, "s").groupBy("id").agg(F.collect_list("s").alias("met")), "met"
+    )
+    common = met.select("id", F.size("met").cast("long").alias("c"))
     sized = common.join(nodes.select("id", "n"), "id").where(
         F.col("c") * 100 >= F.col("n") * PERCENT
     )
@@ -246,18 +251,31 @@ def _across(
         "strays",
     )
     strays = strays.join(_at_home(strays, who, sets), "id_s", "left")
+    able = able.join(strays.select(*bucket).distinct(), bucket, "left_semi").join(hubs, bucket)
+    able = materialise(able, "able")
     sketch = nodes.select("id", "bands")
-    strays = materialise(strays.join(sketch.toDF("id_s", "bands_s"), "id_s"), "strays")
+    able = able.join(_on_hub(able.select("id", "hub").distinct(), met, sets), ["id", "hub"])
     able = materialise(able.join(sketch, "id"), "able")
+    own = able.select(
+        *bucket, *[F.col(x).alias(f"{x}_s") for x in ("id", "on_hub", "off_hub", "bands")]
+    )
+    strays = materialise(strays.join(own, [*bucket, "id_s"]), "strays")
     common = F.when(F.col("component") == F.col("home"), F.coalesce("c_home", F.lit(0)))
     common = F.least("c", "c_s", F.coalesce(common, "c_s"))
-    possible = common * (100 + PERCENT) >= (F.col("n") + F.col("n_s")) * PERCENT
+    needed = (F.col("n") + F.col("n_s")) * PERCENT
+    possible = common * (100 + PERCENT) >= needed
+    both = F.aggregate(
+        F.zip_with("on_hub", "on_hub_s", lambda x, y: F.bit_count(x.bitwiseAND(y))),
+        F.lit(0),
+        lambda total, x: total + x,
+    )
+    sharper = (both + F.least("off_hub", "off_hub_s")) * (100 + PERCENT) >= needed
     # a pair counts in the first band that it shares
     agree = F.zip_with("bands", "bands_s", lambda x, y: x == y)
     first = F.array_position(agree, F.lit(True)) == F.col("band") + 1
     return materialise(
         strays.join(able, bucket)
-        .where((F.col("component") != F.col("component_s")) & possible & first)
+        .where((F.col("component") != F.col("component_s")) & possible & first & sharper)
         .where("component = major OR id_s < id")
         .select(F.least("id", "id_s").alias("a"), F.greatest("id", "id_s").alias("b"))
         .distinct(),
@@ -265,6 +283,37 @@ def _across(
     )
 
 
+def _on_hub(pairs: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
+    """``id, hub, on_hub, off_hub``: which of the hub's shingles are among the class's ``met``
+    ones, a bit each, and how many ``met`` ones the hub lacks."""
+
+    def mark(batches):
+        for batch in batches:
+            found, off = [], []
+            for own, hub in zip(batch.column("met"), batch.column("shingles")):
+                own, hub = (x.values.to_numpy() for x in (own, hub))
+                bits = np.isin(hub, own)
+                off.append(len(own) - int(bits.sum()))
+                bits = np.concatenate((bits, np.zeros(-len(bits) % 64, bool)))
+                found.append(np.packbits(bits).view("<i8"))
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            marks = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    batch.column("hub"),
+                    pa.ListArray.from_arrays(offsets, pa.array(marks)),
+                    pa.array(off, pa.int64()),
+                ],
+                names=["id", "hub", "on_hub", "off_hub"],
+            )
+
+    both = pairs.join(met, "id").join(sets.withColumnRenamed("id", "hub"), "hub")
+    return both.select("id", "hub", "met", "shingles").mapInArrow(
+        mark, "id long, hub long, on_hub array<long>, off_hub long"
+    )
+
+
 def _at_home(strays: DataFrame, who: DataFrame, sets: DataFrame) -> DataFrame:
     """``id_s, home, c_home``: of the component that a stray meets most, how many of its
     shingles occur there; a sharper bound for most of its pairs."""
@@ -348,7 +397,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     likely = materialise(_likely(stars, single), "likely")
     links = materialise(_verified(likely, sets), "links")
     label = components(links)
-    rest = _across(members, label, single, sets).join(stars, ["a", "b"], "left_anti")
+    rest = _across(members, label, single, sets, hubs).join(stars, ["a", "b"], "left_anti")
     if not rest.isEmpty():
         more = materialise(_verified(materialise(_likely(rest, single), "likely"), sets), "links")
         label = components(links.union(more))
