@@ -209,4 +209,4 @@ def encode_decode(
 
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = [field("ids", "array<int>"), field("decoded", "binary")]
-    return map_texts(source, "text", ["doc_id"], open_, fields)
+    return map_texts(source, "text", ["doc_id"], open_, fields, remembers=True)

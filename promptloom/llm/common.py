@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 # Called with the texts of a chunk, returns one Arrow array per output field.
 Texts = Callable[[list], Sequence[pa.Array]]
@@ -34,12 +34,14 @@ def map_texts(
     keep: Sequence[str],
     open_: Callable[[], Texts],
     fields: Sequence[T.StructField],
+    remembers: bool = False,
 ) -> DataFrame:
     """``keep`` and what ``open_()`` makes of the texts, row by row, without a shuffle.
 
     ``open_`` runs once per task that has rows. Texts reach its result in chunks
     of a few MB, whatever the Arrow batch holds, so a worker's memory follows the
-    chunk or the longest single text.
+    chunk or the longest single text. What an earlier operator left with ``kept`` on
+    the worker goes first, unless ``open_`` says by ``remembers`` that it uses it.
     """
     source = df.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*(source.schema[name] for name in keep), *fields])
@@ -48,7 +50,10 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            work = work or open_()
+            if work is None:
+                if not remembers:
+                    kept("nothing", lambda: None)
+                work = open_()
             for start, stop in slices(batch.column(text)):
                 part = batch.slice(start, stop - start)
                 made = work(part.column(text).to_pylist())

@@ -80,7 +80,7 @@ def cut_documents(
         field("pieces", "array<struct<start:long,length:long,ids:binary>>"),
     ]
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    made = map_texts(source, "text", ["doc_id"], open_, fields)
+    made = map_texts(source, "text", ["doc_id"], open_, fields, remembers=True)
     return made.select("doc_id", "doc_tokens", F.explode("pieces").alias("p")).select(
         "doc_id", "p.start", "p.length", "doc_tokens", "p.ids"
     )

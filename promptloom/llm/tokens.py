@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from promptloom.llm.common import kept
 
-MEMO = 600_000
+MEMO = 250_000
 
 # plain letters, then nothing or something that starts with ASCII punctuation
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-/:-@\[-`{-~].*)?)", re.S)

@@ -1,5 +1,7 @@
 """Corpus operators on small tables: nulls, empty texts, repeats, empty tables, odd columns."""
 
+import random
+
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -55,6 +57,27 @@ def test_near_duplicates(spark, docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_variants_of_one_text_link_as_by_brute_force(spark):
+    """Edits of one text near the limit: some meet the main component's buckets, not its links."""
+    draw = random.Random(3)
+    rows, sets = [], []
+    for i in range(90):
+        words = [f"b{k}" for k in range(150)]
+        for at in draw.sample(range(150), draw.randint(0, 9)):
+            words[at] = f"x{draw.randint(0, 40)}"
+        rows.append((i, " ".join(words)))
+        sets.append({tuple(words[k : k + 5]) for k in range(146)})
+    smallest = list(range(90))
+    for _ in range(90):
+        for a in range(90):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    told = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in told} == dict(enumerate(smallest))
+    assert 1 < len(set(smallest)) < 60
+
+
 def test_quality(spark, docs):
     judged = quality(docs)
     assert judged.count() == len(ROWS) and judged.select("doc.*").columns == docs.columns
