@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,15 +20,13 @@ def reassemble_windows(points: DataFrame, window: str, delay: str, separator: st
 
     ``points`` has ``request_id, pos, n_points, content, ts``. A response is
     emitted when the watermark passes the window; ``complete`` tells whether all
-    points came. Rows later than ``delay`` are dropped by the watermark.
+    points came. Rows later than ``delay`` are dropped by the watermark. A row with a
+    null ``pos`` stands for a request without points, whose response is empty.
     """
     grouped = (
         points.withWatermark("ts", delay)
         .groupBy(F.window("ts", window), "request_id")
-        .agg(
-            F.max("n_points").alias("n_points"),
-            F.array_sort(F.collect_set(F.struct("pos", "content"))).alias("entries"),
-        )
+        .agg(F.max("n_points").alias("n_points"), _entries())
     )
     return _responses(grouped, separator)
 
@@ -44,14 +42,16 @@ def reassemble_sessions(
     grouped = (
         points.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", patience), "request_id")
-        .agg(
-            F.max("n_points").alias("n_points"),
-            F.array_sort(F.collect_set(F.struct("pos", "content"))).alias("entries"),
-        )
+        .agg(F.max("n_points").alias("n_points"), _entries())
     )
     return _responses(grouped, separator)
 
 
+def _entries() -> Column:
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "content"))
+    return F.array_sort(F.collect_set(entry)).alias("entries")
+
+
 def _responses(grouped: DataFrame, separator: str) -> DataFrame:
     return grouped.select(
         "request_id",
@@ -69,6 +69,7 @@ def reassemble_state(points: DataFrame, patience: str, delay: str, separator: st
     watermark is ``patience`` past its latest point. The state of a request is
     its own points, at most ``n_points``. Until that time a complete request is
     remembered without its points, so a point that is delivered again adds no response.
+    A row with a null ``pos`` and 0 as ``n_points`` is answered at once, with nothing.
     """
     millis = int(pd.Timedelta(patience).total_seconds() * 1000)
 
@@ -91,7 +92,9 @@ def reassemble_state(points: DataFrame, patience: str, delay: str, separator: st
             latest = frame["ts"].to_numpy("datetime64[ms]").max().astype(int)
             deadline = max(deadline, int(latest) + millis)
             for p, content in zip(frame["pos"].tolist(), frame["content"].tolist()):
-                seen.setdefault(p, content)
+                # beside a null the others come as floats
+                if not pd.isna(p):
+                    seen.setdefault(int(p), content)
         if answered or len(seen) >= n:
             state.update((_ANSWERED, deadline, [], []))
         else:

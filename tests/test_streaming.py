@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from promptloom.operators.generate import PythonBackend
 from promptloom.plans import schedulers
 from promptloom.sources.chat_log import SCHEMA, read_chat_log, stream_chat_log
@@ -11,7 +13,9 @@ from promptloom.streaming.reassemble import (
     reassemble_state,
     reassemble_windows,
 )
-from promptloom.streaming.run import drain_batches, drain_to_parquet
+from promptloom.streaming.run import drain_batches, drain_to_parquet, result_of
+from workload import chatting
+from workload.fixtures import PLAIN_PROMPTS, requests
 
 START = datetime.datetime(2024, 1, 1)
 POINTS = "request_id long, pos int, n_points int, content string, ts timestamp"
@@ -106,6 +110,34 @@ def test_windows(spark, tmp_path):
     assert seen[-1] == {1: ("a\n\nb", 2, True), 2: ("x", 1, False), 3: ("solo", 1, True)}
 
 
+EMPTY = [(4, None, 0, None, at(2)), (4, None, 0, None, at(2))]
+
+
+@pytest.mark.parametrize(
+    "reassemble",
+    [
+        lambda s: reassemble_state(s, "1 hour", "1 minute"),
+        lambda s: reassemble_sessions(s, "1 hour", "1 minute"),
+        lambda s: reassemble_windows(s, "1 minute", "0 seconds"),
+    ],
+)
+def test_requests_without_points_are_answered(spark, tmp_path, reassemble):
+    seen = drain(spark, tmp_path, reassemble, ONE + EMPTY + TWO, CLOCK, CLOCK)
+    want = {1: ("a\n\nb", 2, True), 3: ("solo", 1, True), 4: ("", 0, True)}
+    assert seen[-1] == {**want, 2: ("x", 1, False)}
+    rows = spark.read.parquet(str(tmp_path / "out")).where("request_id = 4").collect()
+    assert [r["n_points"] for r in rows] == [0]
+
+
+def test_every_request_of_the_given_table_is_answered(spark, sf_dir):
+    path, schema = chatting._point_files(spark, sf_dir, PLAIN_PROMPTS, empty=True)
+    stream = spark.readStream.schema(schema).parquet(path)
+    told = result_of(spark, reassemble_state(stream, "10 minutes", "1 day"), "all").collect()
+    asked = {r["request_id"] for r in requests(spark, sf_dir).collect()}
+    assert sorted(r["request_id"] for r in told) == sorted(asked)
+    assert all(r["complete"] for r in told) and any(r["n_points"] == 0 for r in told)
+
+
 def test_batches_run_any_plan_once(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
     calls = spark.sparkContext.accumulator(0)

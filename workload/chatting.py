@@ -227,12 +227,15 @@ def q_stream_generate_python(spark, sf_dir):
     return _summary(spark.read.parquet(path))
 
 
-def _point_files(spark, sf_dir, prompts):
+def _point_files(spark, sf_dir, prompts, empty=False):
     """Points written as files, to be read back as a stream: every point of a
-    request some seconds after the one before."""
+    request some seconds after the one before. With ``empty`` a request without
+    points is a row too, with a null ``pos``; the SQL twins count points only."""
     planned = schedulers.outlined(requests(spark, sf_dir), MODEL, prompts)
-    rows = explode_points(planned.withColumn("n_points", F.size("points"))).where("pos IS NOT NULL")
-    seconds = F.lit(1704067200) + F.col("request_id") + F.col("pos")
+    rows = explode_points(planned.withColumn("n_points", F.size("points")))
+    if not empty:
+        rows = rows.where("pos IS NOT NULL")
+    seconds = F.lit(1704067200) + F.col("request_id") + F.coalesce("pos", F.lit(0))
     points = rows.select(
         "request_id",
         "pos",
