@@ -92,14 +92,22 @@ def packed(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """``encode(text)``: the ids as bytes, special tokens' strings taken as plain text.
+def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
+    """``encode(text)``: the ids as bytes.
+
+    The strings of added tokens (``<|endoftext|>``) are plain text, or with ``added``
+    the tokens they name, as by the library's ``encode(text, add_special_tokens=False)``;
+    a text that holds one then goes through the library whole.
 
     For a vocabulary that drops white space and lowers case (its model marks word
     ends) segments are words; for a byte-level one a word keeps the space before it.
     """
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added
+    named = list(tokenizer.get_added_tokens_decoder().values()) if added else []
+    # what is matched in normalized text could stand in any text
+    strings = ["" if t.normalized else re.escape(t.content) for t in named]
+    holds = re.compile("|".join(strings)).search if strings else lambda text: None
     model, letters = tokenizer.model, byte_letters()
     by_words = bool(getattr(model, "end_of_word_suffix", None))
 
@@ -112,11 +120,11 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     known = SegmentIds(core, whole, by_words)
     cut = str.split if by_words else _SEGMENTS.findall
-    return lambda text: known.encode(text, cut)
+    return lambda text: whole(text) if holds(text) else known.encode(text, cut)
 
 
 def worker_encoder(path: str) -> Callable[[str], bytes]:
-    """``encoder(path)`` with the memo of earlier tasks on this worker and file."""
+    """``encoder(path, added=True)`` with the memo of earlier tasks on this worker and file."""
     about = os.stat(path)
     key = ("encoder", path, about.st_mtime_ns, about.st_size)
-    return kept(key, lambda: encoder(path))
+    return kept(key, lambda: encoder(path, added=True))

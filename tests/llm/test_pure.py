@@ -83,6 +83,17 @@ def test_memoised_ids_are_the_librarys(name):
         assert np.frombuffer(encode(text), "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_a_text_are_the_librarys(name):
+    path = public_tokenizers.path(name)
+    library, encode = Tokenizer.from_file(path), tokens.worker_encoder(path)
+    texts = ["foo <|endoftext|> bar", "a<|startoftext|>B  <|endoftext|>", "<|endoftext|>" * 3]
+    texts += ["<|ENDOFTEXT|> <|end", "\x1c<|endoftext|>\u3000", "x <|endoftext |>"]
+    for text in [*texts, *odd_texts(100), *(t + texts[0] + t for t in odd_texts(100))]:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == want
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 16, 17, 31, 32])
 def test_packed_files_round_trip(bits):
     draw = np.random.default_rng(bits)
