@@ -171,7 +171,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(table(spark, sf_dir, "pages"))
+    archives = write_archives(table(spark, sf_dir, "pages"), every_row=True)
     return captures(read_records(archives, with_payload=False), with_payload=False).select(
         "page_id",
         F.coalesce("record.payload_bytes", "revisited.payload_bytes").alias("payload_bytes"),

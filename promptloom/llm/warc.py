@@ -25,13 +25,15 @@ from promptloom.session import materialise, scratch_path
 
 FILE_BYTES = 64 << 20
 LEVEL = 1
+# equal rows that one task writes in a row
+SPAN = 100
 DATE = "2000-01-01T00:00:00Z"
 # fixed value: the profile of a revisit that has the payload of an earlier response
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(kind: str, page: int | None, digest: bytes) -> str:
-    name = f"{kind}|{page}|".encode() + digest
+def _record_id(kind: str, page: int | None, url: str | None, nth: int, digest: bytes) -> str:
+    name = repr((kind, page, url, nth)).encode() + digest
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(name).digest())}>"
 
 
@@ -51,11 +53,19 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(plain, LEVEL, mtime=0)
 
 
-def capture_records(page: int | None, url: str | None, payload: bytes, of: int | None) -> bytes:
-    """The three records of a page; ``of`` is the page whose response holds its payload."""
+def capture_records(
+    page: int | None,
+    url: str | None,
+    payload: bytes,
+    of: int | None,
+    of_url: str | None = None,
+    nth: int = 0,
+) -> bytes:
+    """The three records of a page, the ``nth`` of equal rows; the first of page ``of``
+    at ``of_url`` is the one whose response holds the payload."""
     sha1 = hashlib.sha1(payload).digest()
     digest = "sha1:" + base64.b32encode(sha1).decode()
-    own = _record_id("capture", page, sha1)
+    own = _record_id("capture", page, url, nth, sha1)
     common = [("WARC-Date", DATE)]
     if url is not None:
         common.append(("WARC-Target-URI", _clean(url)))
@@ -65,16 +75,17 @@ def capture_records(page: int | None, url: str | None, payload: bytes, of: int |
     ).encode()
     head = [("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest)]
     head.append(("Content-Type", "application/http; msgtype=response"))
-    if of is None or of == page:
+    if of is None or (of, of_url, 0) == (page, url, nth):
         capture = _record([("WARC-Type", "response"), *head], http + payload)
     else:
-        refers = [("WARC-Refers-To", _record_id("capture", of, sha1)), ("WARC-Profile", PROFILE)]
+        leader = _record_id("capture", of, of_url, 0, sha1)
+        refers = [("WARC-Refers-To", leader), ("WARC-Profile", PROFILE)]
         capture = _record([("WARC-Type", "revisit"), *head, *refers], http)
     beside = [*common, ("WARC-Concurrent-To", own)]
     request = _record(
         [
             ("WARC-Type", "request"),
-            ("WARC-Record-ID", _record_id("request", page, sha1)),
+            ("WARC-Record-ID", _record_id("request", page, url, nth, sha1)),
             *beside,
             ("Content-Type", "application/http; msgtype=request"),
         ],
@@ -84,7 +95,7 @@ def capture_records(page: int | None, url: str | None, payload: bytes, of: int |
     metadata = _record(
         [
             ("WARC-Type", "metadata"),
-            ("WARC-Record-ID", _record_id("metadata", page, sha1)),
+            ("WARC-Record-ID", _record_id("metadata", page, url, nth, sha1)),
             *beside,
             ("Content-Type", "application/warc-fields"),
         ],
@@ -101,15 +112,16 @@ def write_archives(
     min_bytes: int = 0,
     folder: str | None = None,
     file_bytes: int = FILE_BYTES,
+    every_row: bool = False,
 ) -> DataFrame:
     """Write every row's records to archives under ``folder``; a table of the archives, ``uri``.
 
     The payload is the html in UTF-8, null counting as empty. Of rows with equal
-    payloads of at least ``min_bytes`` the one with the largest id is the response
-    and the others revisit it; shorter ones are all responses. A row without an id
-    is a response or revisit like others but is never revisited, unless no row of
-    its payload has an id: then all are responses. Rows that repeat id and payload
-    give the same records again.
+    payloads of at least ``min_bytes`` the one with the largest id, then url, is the
+    response and the others revisit it; shorter ones are all responses. A row without
+    an id is a response or revisit like others but is never revisited, unless no row
+    of its payload has an id: then all are responses. Rows that repeat id, url and
+    payload give the same records again, or with ``every_row`` records of their own.
     """
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "warc")
@@ -123,9 +135,11 @@ def write_archives(
     leaders = materialise(
         source.where(F.octet_length("payload") >= min_bytes)
         .groupBy("digest")
-        .agg(F.max("page").alias("of")),
+        .agg(F.max(F.when(F.col("page").isNotNull(), F.struct("page", "url"))).alias("lead"))
+        .select("digest", F.col("lead.page").alias("of"), F.col("lead.url").alias("of_url")),
         "leaders",
     )
+    source = _numbered(source) if every_row else source.withColumn("nth", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -143,10 +157,35 @@ def write_archives(
             done.append(out.close())
         yield pa.RecordBatch.from_pydict({"uri": pa.array(done, pa.string())})
 
-    roles = source.join(leaders, "digest", "left").select("page", "url", "payload", "of")
+    roles = source.join(leaders, "digest", "left")
+    roles = roles.select("page", "url", "payload", "of", "of_url", "nth")
     return materialise(roles.mapInArrow(run, "uri string"), "archives")
 
 
+def _numbered(source: DataFrame) -> DataFrame:
+    """The rows with ``nth``, 0 and up among those of equal page, url and digest.
+
+    Such rows are alike, so they are made anew from one of them and their number, in
+    spans that are dealt over all tasks.
+    """
+    keyed = source.withColumn("key", F.md5(F.to_json(F.struct("page", "url", "digest"))))
+    again = materialise(
+        keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "again"
+    )
+    if again.isEmpty():
+        return source.withColumn("nth", F.lit(0).cast("long"))
+    once = keyed.join(again, "key", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    spans = (
+        keyed.join(again.select("key"), "key", "left_semi")
+        .dropDuplicates(["key"])
+        .join(again, "key")
+        .withColumn("span", F.explode(F.expr(f"sequence(0L, (rows - 1) div {SPAN})")))
+    )
+    first, last = F.col("span") * SPAN, F.least((F.col("span") + 1) * SPAN, "rows") - 1
+    alike = spans.repartition("key", "span").withColumn("nth", F.explode(F.sequence(first, last)))
+    return once.select(*source.columns, "nth").unionByName(alike.select(*source.columns, "nth"))
+
+
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of an archive, one at a time."""
     while line := stream.readline():

@@ -1,6 +1,7 @@
 """Corpus operators on small tables: nulls, empty texts, repeats, empty tables, odd columns."""
 
 import random
+from collections import Counter
 
 import pytest
 from compare import compare, connect
@@ -154,6 +155,28 @@ def test_archives(spark):
     assert captures(read_records(long)).where("record.type = 'revisit'").count() == 2
 
 
+def test_every_page_is_a_capture(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "v", "same"), (1, None, "same"), (1, "v", "same"), (None, "u", "n")]
+    rows += [(None, "u", "n"), (None, "w", "n"), (None, None, "same"), (2, "x", "own"), (3, "", "o2")]
+    rows += [(3, None, "o2"), *[(9, "hot", "h")] * 250]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    told = QUERIES["op9_warc"](spark, str(tmp_path)).collect()
+    shown = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in told)
+    assert shown == {
+        (1, "response", None): 1, (1, "revisit", 1): 3, (None, "response", None): 3,
+        (None, "revisit", 1): 1, (2, "response", None): 1, (3, "response", None): 1,
+        (3, "revisit", 3): 1, (9, "response", None): 1, (9, "revisit", 9): 249,
+    }
+    assert all(r["payload_bytes"] for r in told)
+    whole = captures(read_records(write_archives(pages, every_row=True))).collect()
+    assert len({r["record"]["record_id"] for r in whole}) == len(rows)
+    given = Counter((r["page_id"], r["record"]["uri"]) for r in whole)
+    assert given == Counter((page, url) for page, url, _ in rows)
+    apart = captures(read_records(write_archives(pages))).count()
+    assert apart == len(set(rows))
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.COM/en/x?q"), (2, None), (3, "no scheme"), (3, "no scheme")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))
