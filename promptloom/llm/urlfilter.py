@@ -143,12 +143,12 @@ def filter_urls(
     if any("/" not in rule or rules[rule] not in VERDICTS for rule in rules):
         raise ValueError("a rule is a host, a path that begins with / and allow or block")
     name = share_index(spark, rules)
-    pair = F.concat_ws("\n", host(F.col(url)), path(F.col(url)))
+    # a host may hold any separator, so its length comes first
+    pair = F.concat_ws("\n", F.length(host(F.col(url))), F.concat(host(F.col(url)), path(F.col(url))))
     source = df.select(
         F.struct(*(df.columns if carry is None else carry)).alias("row"),
         host(F.col(url)).alias("host"),
         path(F.col(url)).alias("path"),
-        # a host has no line break that a rule could hold, so the first one parts the two
         pair.alias("pair"),
     )
 
@@ -156,8 +156,8 @@ def filter_urls(
         index = RuleIndex(SparkFiles.get(name))
 
         def work(pairs):
-            parts = [p.partition("\n") for p in pairs]
-            told = index.judge([(h, p) for h, _, p in parts])
+            parts = [(int(n), both) for n, _, both in (p.partition("\n") for p in pairs)]
+            told = index.judge([(both[:n], both[n:]) for n, both in parts])
             return [
                 pa.array([rule for rule, _ in told], pa.string()),
                 pa.array([verdict or default for _, verdict in told], pa.string()),

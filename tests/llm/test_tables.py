@@ -177,6 +177,18 @@ def test_every_page_is_a_capture(spark, tmp_path):
     assert apart == len(set(rows))
 
 
+def test_urls_with_a_line_break_in_the_host(spark):
+    urls = ["http://a\nx.net/es/1", "http://\n.net/fr/", "http://\n/es/", "http://é\nb.example.com/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    told = {r["row"]["page_id"]: tuple(r)[1:] for r in filter_urls(pages, URL_RULES).collect()}
+    assert told == {
+        0: ("a\nx.net", "/es/1", "net/es/", "block"),
+        1: ("\n.net", "/fr/", "net/fr/", "block"),
+        2: ("\n", "/es/", None, "allow"),
+        3: ("é\nb.example.com", "/en/", "example.com/en/", "block"),
+    }
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.COM/en/x?q"), (2, None), (3, "no scheme"), (3, "no scheme")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))
