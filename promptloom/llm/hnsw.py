@@ -150,7 +150,7 @@ class Graph:
         return chosen | (spare & (np.cumsum(spare, axis=1) <= room[:, None]))
 
     def _merge(self, links: np.ndarray, a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> None:
-        """Add links a -> b; a full row keeps its nearest."""
+        """Add links a -> b; a full row keeps a spread of its nearest, then the nearest."""
         touched = np.unique(a)
         old = links[touched]
         own = touched[:, None].repeat(old.shape[1], 1)
@@ -162,12 +162,21 @@ class Graph:
         pair = np.unique(a * (len(self.vectors) + 1) + b, return_index=True)[1]
         a, b, gap = a[pair], b[pair], gap[pair]
         order = np.lexsort((gap, a))
-        a, b = a[order], b[order]
-        first = np.searchsorted(a, touched)
-        rank = np.arange(len(a)) - first[np.searchsorted(touched, a)]
-        fits = rank < links.shape[1]
-        links[touched] = -1
-        links[a[fits], rank[fits]] = b[fits]
+        a, b, gap = a[order], b[order], gap[order]
+        row = np.searchsorted(touched, a)
+        rank = np.arange(len(a)) - np.searchsorted(a, touched)[row]
+        fits = rank < BUILD_WIDTH
+        near = np.full((len(touched), BUILD_WIDTH), -1, np.int64)
+        far = np.full(near.shape, np.inf)
+        near[row[fits], rank[fits]], far[row[fits], rank[fits]] = b[fits], gap[fits]
+        room = links.shape[1]
+        full = np.flatnonzero(near[:, room] >= 0)
+        for start in range(0, len(full), 2 * STEP):
+            some = full[start : start + 2 * STEP]
+            chosen = self._spread(near[some], far[some])
+            keep = np.argsort(~chosen, axis=1, kind="stable")[:, :room]
+            near[some, :room] = np.take_along_axis(near[some], keep, 1)
+        links[touched] = near[:, :room]
 
     def search(self, queries: np.ndarray, k: int, width: int) -> np.ndarray:
         """The best ``k`` nodes per query, best first, -1 where there are fewer."""
@@ -178,7 +187,6 @@ class Graph:
             entry = np.zeros((len(queries), 1), np.int64)
             for level in range(len(self.links) - 1, 0, -1):
                 entry = beam(self.vectors, self.links[level], entry, queries, 4)[0]
-                entry = np.maximum(entry, entry[:, :1])
             best = beam(self.vectors, self.links[0], entry, queries, width)[0][:, :k]
         if best.shape[1] < k:
             best = np.pad(best, ((0, 0), (0, k - best.shape[1])), constant_values=-1)

@@ -196,6 +196,25 @@ def test_graph_finds_neighbours():
     assert recall >= 0.9
 
 
+def test_graph_finds_neighbours_in_clusters():
+    draw = np.random.default_rng(5)
+    vectors = draw.normal(size=(100, 32))[draw.integers(0, 100, 4000)]
+    vectors = (vectors + 0.1 * draw.normal(size=vectors.shape)).astype(np.float32)
+    square = (vectors**2).sum(axis=1)
+    long = np.column_stack((vectors, np.sqrt(square.max() - square))).astype(np.float32)
+    keys = np.arange(4000)
+    levels = hnsw._levels(keys)
+    order = np.lexsort((keys, -levels))
+    graph = hnsw.Graph(long[order], levels[order])
+    graph.build()
+    queries = np.column_stack((vectors[:300], np.zeros(300, np.float32)))
+    found = order[graph.search(queries, 20, hnsw.SEARCH_WIDTH)]
+    want = np.argsort(-(vectors[:300] @ vectors.T), axis=1)[:, :20]
+    assert all(len(set(row)) == 20 for row in found.tolist())
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, want)])
+    assert recall >= 0.99
+
+
 def test_kept_is_made_once_per_key():
     from promptloom.llm.common import kept
 
