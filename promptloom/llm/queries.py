@@ -13,6 +13,7 @@ from promptloom.llm.bpe import encode_decode
 from promptloom.llm.chat import collapse, render
 from promptloom.llm.hnsw import nearest
 from promptloom.llm.minhash import near_duplicates
+from promptloom.llm.negatives import hard_negatives
 from promptloom.llm.packing import pack_documents
 from promptloom.llm.quality import quality
 from promptloom.llm.toxicity import held_out, toxicity
@@ -199,3 +200,32 @@ SELECT conv_id, 0::BIGINT AS block, n_turns, rendered FROM whole AS a
 WHERE NOT EXISTS (SELECT 1 FROM whole AS b WHERE starts_with(b.said, a.said)
   AND (len(b.said) > len(a.said) OR b.conv_id < a.conv_id))
 """
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+TWINS["op13_hard_negatives"] = r"""
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM q AS a JOIN q AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
