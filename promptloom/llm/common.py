@@ -102,19 +102,19 @@ _SHORT = np.uint64(0xA0761D6478BD642F)
 class WordHashes:
     """64-bit hashes of the words of whole texts, A-Z lower-cased.
 
-    Words are runs of bytes other than space and tab to carriage return. A word's
-    hash is a sum of byte values times powers of an odd number, then mixed; it is
-    computed for all words of a chunk at once.
+    Words are runs of bytes other than space and tab to carriage return, or than the
+    ASCII characters ``breaks``. A word's hash is a sum of byte values times powers of
+    an odd number, then mixed; it is computed for all words of a chunk at once. Another
+    ``seed`` gives other hashes.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, breaks: bytes = b"\t\n\v\f\r ", seed: int = 0) -> None:
         self.powers = np.zeros(0, np.uint64)
         codes = np.arange(256, dtype=np.uint64)
         codes[65:91] += np.uint64(32)
-        self.codes = mix(codes + np.uint64(0x632BE59BD9B4E019))
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
-        self.space = space
+        self.codes = mix(codes + np.uint64(0x632BE59BD9B4E019 + seed))
+        self.space = np.zeros(256, bool)
+        self.space[list(breaks)] = True
 
     def _powers(self, n: int) -> np.ndarray:
         if n > len(self.powers):
@@ -124,21 +124,29 @@ class WordHashes:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and where each text's words begin (one more entry)."""
+        data, begin, end, first = self.spans(texts)
+        return self.hashes(data, begin, end), first
+
+    def spans(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """The texts' bytes with a line break after each, where words begin and end in
+        them, and where each text's words begin."""
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         inside = ~self.space[data]
         edge = np.flatnonzero(np.diff(inside, prepend=False))
         begin, end = edge[0::2], edge[1::2]
         ends = np.cumsum(np.array([len(r) + 1 for r in raw], np.int64))
-        first = np.searchsorted(begin, np.concatenate(([0], ends)))
+        return data, begin, end, np.searchsorted(begin, np.concatenate(([0], ends)))
+
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if not len(begin):
-            return np.zeros(0, np.uint64), first
+            return np.zeros(0, np.uint64)
         length = end - begin
-        where = np.flatnonzero(inside)
+        where = np.flatnonzero(~self.space[data])
         within = np.arange(len(where)) - np.repeat(np.cumsum(length) - length, length)
         value = self.codes[data[where]] * self._powers(int(length.max()) + 1)[within]
         words = np.add.reduceat(value, np.cumsum(length) - length)
-        return mix(words + length.astype(np.uint64)), first
+        return mix(words + length.astype(np.uint64))
 
 
 def shingle_sets(

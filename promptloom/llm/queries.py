@@ -11,6 +11,7 @@ import public_tokenizers
 from promptloom.llm.bitpack import read_ids, write_ids
 from promptloom.llm.bpe import encode_decode
 from promptloom.llm.chat import collapse, render
+from promptloom.llm.collocations import collocations
 from promptloom.llm.hnsw import nearest
 from promptloom.llm.minhash import near_duplicates
 from promptloom.llm.negatives import hard_negatives
@@ -229,3 +230,45 @@ FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+TWINS["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), counts AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM split, range(1, 6) AS s(k), unnest(range(1, greatest(len(w) - k + 2, 1))) AS t(i)
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts
+  WHERE k > 1 AND f >= 100
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longest
+  FROM candidates, range(2, 5) AS s(m), range(1, 5) AS t(i)
+  WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, j,
+    (1000::HUGEINT * c.a::HUGEINT * t.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM candidates AS c JOIN range(1, 5) AS s(j) ON j < c.k
+  JOIN counts AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : j], ' ')
+  JOIN counts AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1 : c.k], ' ')
+  JOIN totals AS t ON t.lang = c.lang
+  LEFT JOIN inner_phrases AS o ON o.lang = c.lang AND o.phrase = c.phrase
+  WHERE longest IS NULL OR 100 * longest < 100 * c.a
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored QUALIFY rank <= 2000
+"""
