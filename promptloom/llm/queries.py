@@ -17,6 +17,7 @@ from promptloom.llm.minhash import near_duplicates
 from promptloom.llm.negatives import hard_negatives
 from promptloom.llm.packing import pack_documents
 from promptloom.llm.quality import quality
+from promptloom.llm.setjoin import jaccard_components
 from promptloom.llm.toxicity import held_out, toxicity
 from promptloom.llm.urlfilter import filter_urls
 from promptloom.llm.warc import captures, read_records, write_archives
@@ -272,3 +273,8 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
   phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM scored QUALIFY rank <= 2000
 """
+
+
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
