@@ -6,7 +6,7 @@ count of a shorter phrase is the sum over the windows that begin with it, so one
 ROLLUP over the columns gives phrases of every length, and the number of words.
 
 A phrase is at most as frequent as its parts, so a window is also padded from the first
-word, or the first pair of neighbours, that is too rare to be in any result.
+word, pair or triple of neighbours on that is too rare to be in any result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ LONGEST = 5
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 WORD_ENDS = PIECE_ENDS + b" \t"
 FILTER_BITS = 1 << 27  # bound of a filter that goes to the workers, 16 MB
+PRUNED = (2, 3)  # sizes of runs that are counted beforehand
 HELD = 1 << 20
+SALTS = 64
 
 _CUT = re.compile("[.,;:!?\n\v\f\r]")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,6 +46,9 @@ class KeyFilter:
         self.mask = np.uint64(64 * len(words) - 1)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self._set(keys) & self._set(keys >> np.uint64(32))
+
+    def _set(self, keys: np.ndarray) -> np.ndarray:
         at = keys & self.mask
         word = self.words[(at >> np.uint64(6)).astype(np.int64)]
         return ((word >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
@@ -54,12 +59,11 @@ class KeyFilter:
         bits = 1 << 16
         while bits < min(32 * keys.count(), FILTER_BITS):
             bits *= 2
-        at = F.col("key").bitwiseAND(F.lit(bits - 1))
+        # two bits of every key
+        two = f"explode(array(key & {bits - 1}, shiftright(key, 32) & {bits - 1})) AS place"
         found = (
-            keys.select(
-                F.shiftright(at, 6).alias("word"),
-                F.expr(f"shiftleft(1L, cast(key & {bits - 1} & 63 as int))").alias("bit"),
-            )
+            keys.selectExpr(two)
+            .selectExpr("place div 64 AS word", "shiftleft(1L, cast(place % 64 as int)) AS bit")
             .groupBy("word")
             .agg(F.bit_or("bit").alias("bit"))
             .toArrow()
@@ -81,16 +85,28 @@ class Words:
         self.piece = np.cumsum(ends[self.data])[self.begin]
         self.turn = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
-    def keys(self) -> np.ndarray:
-        return mix(self.hash ^ self.turn)
-
-    def pair_keys(self) -> np.ndarray:
-        """A key of every word and the next one."""
-        return mix((self.hash[:-1] * _TURN + self.hash[1:]) ^ self.turn)
-
-    def together(self) -> np.ndarray:
-        """Whether a word and the next one are in one piece."""
-        return self.piece[:-1] == self.piece[1:]
+    def keys_of(self, size: int) -> np.ndarray:
+        """A key of the ``size`` words that begin at each word."""
+        n = max(len(self.hash) - size + 1, 0)
+        key = self.hash[:n]
+        for k in range(1, size):
+            key = mix(key * _TURN + self.hash[k : n + k])
+        return mix(key ^ self.turn)
+
+    def frequent(self, filters: list[np.ndarray]) -> list[np.ndarray]:
+        """For 1, 2, ... words: where such a run begins that is within a piece and in its
+        filter, as are all its parts; past the last filter only the parts count."""
+        n = len(self.hash)
+        ok = [KeyFilter(filters[0])(self.keys_of(1))]
+        for size in range(2, LONGEST + 1):
+            m = max(n - size + 1, 0)
+            fits = ok[-1][:m] & ok[-1][1 : m + 1]
+            if size == 2:
+                fits &= self.piece[:m] == self.piece[1 : m + 1]
+            if size <= len(filters):
+                fits[fits] = KeyFilter(filters[size - 1])(self.keys_of(size)[fits])
+            ok.append(fits)
+        return ok
 
     def text(self, at: np.ndarray) -> pa.Array:
         """The words at these places, lower-cased."""
@@ -207,7 +223,7 @@ def word_counts(docs: DataFrame, hashes: Callable[[], WordHashes]) -> DataFrame:
                     langs.cast(pa.string()),
                     pa.array(found.view(np.int64)),
                     words.text(at),
-                    pa.array(words.keys()[at].view(np.int64)),
+                    pa.array(words.keys_of(1)[at].view(np.int64)),
                     pa.array(n.astype(np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -218,38 +234,34 @@ def word_counts(docs: DataFrame, hashes: Callable[[], WordHashes]) -> DataFrame:
     return made.groupBy("lang", "hash", "word", "key").agg(F.sum("n").alias("n"))
 
 
+def _runs(size: int, filters: list) -> Callable[[Words], np.ndarray]:
+    """Keys of the runs of ``size`` words whose parts pass the filters."""
+
+    def find(own: Words) -> np.ndarray:
+        ok = own.frequent([f.value for f in filters])[size - 1]
+        return own.keys_of(size)[ok][None]
+
+    return find
+
+
 def phrase_counts(
     docs: DataFrame, hashes: Callable[[], WordHashes], words: DataFrame, least: int
 ) -> DataFrame:
     """``lang, size, phrase, f`` of all phrases of 1 to 5 word hashes found ``least`` times
     or more, and per ``lang`` a row of size 0 that counts all words."""
     context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(KeyFilter.of(words.where(F.col("n") >= least).select("key")).words)
-
-    def pairs(own: Words) -> np.ndarray:
-        common = KeyFilter(frequent.value)(own.keys())
-        both = own.together() & common[:-1] & common[1:]
-        return own.pair_keys()[both][None]
-
-    found = materialise(
-        _totals(docs, hashes, ["key"], pairs).where(F.col("n") >= least).select("key"), "pairs"
-    )
-    joined = context.broadcast(KeyFilter.of(found).words)
+    common = words.where(F.col("n") >= least).select("key")
+    filters = [context.broadcast(KeyFilter.of(common).words)]
+    for size in PRUNED:
+        found = _totals(docs, hashes, ["key"], _runs(size, list(filters)))
+        found = materialise(found.where(F.col("n") >= least).select("key"), "runs")
+        filters.append(context.broadcast(KeyFilter.of(found).words))
 
     def windows(own: Words) -> np.ndarray:
-        n = len(own.hash)
-        out = np.zeros((LONGEST, n), np.uint64)
-        if not n:
-            return out
-        common = KeyFilter(frequent.value)(own.keys())
-        go = own.together() & common[:-1] & common[1:]
-        go &= KeyFilter(joined.value)(own.pair_keys())
-        go = np.append(go, False)
-        out[0, common] = own.hash[common]
-        on = np.flatnonzero(go)
-        for k in range(1, LONGEST):
+        out = np.zeros((LONGEST, len(own.hash)), np.uint64)
+        for k, ok in enumerate(own.frequent([f.value for f in filters])):
+            on = np.flatnonzero(ok)
             out[k, on] = own.hash[on + k]
-            on = on[go[on + k]]
         return out
 
     columns = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -308,7 +320,8 @@ def collocations(
             break
         seed += 1
     found = materialise(phrase_counts(docs, hashes, words, least), "phrases")
-    totals = found.where("size = 0").select("lang", F.col("f").alias("n"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    totals = found.where("size = 0").select("lang", F.col("f").alias("n"), salts.alias("salt"))
     known = found.where("size > 0").select("lang", "phrase", "f")
     candidates = found.where("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"))
     # a part is as frequent as a longer phrase only if those between are so too
@@ -337,7 +350,9 @@ def collocations(
             known.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")),
             ["lang", "tail"],
         )
-        .join(totals, "lang")
+        # a language may have most of the rows
+        .withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+        .join(totals, ["lang", "salt"])
     )
     wide = {c: f"cast({c} as decimal(19, 0))" for c in "anlr"}
     score = f"(1000 * {wide['a']} * {wide['n']}) div ({wide['l']} * {wide['r']})"
