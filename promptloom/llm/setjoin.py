@@ -32,6 +32,8 @@ WORDS = 3
 # a link has 100 * intersection >= 90 * union, that is 19 * intersection >= 9 * (sum of sizes)
 # shingles are ordered by the rows that have one of the same slot; a fixed number of slots
 SLOTS = 1 << 18
+# base of the size cells; above 10 / 9, so that linked sets are a cell apart at most
+CELL = 1.12
 # sets below this size link only with equal sets
 LEAST = 9
 
@@ -120,7 +122,7 @@ def prints(df: DataFrame, doc_id: str, text: str, level: np.ndarray) -> DataFram
 
 
 def whole_sets(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """``hi, lo, shingles`` of the rows whose id is in ``wanted``."""
+    """``node, shingles`` of the wanted nodes: rows of their ``id`` with the digest ``hi, lo``."""
 
     def open_():
         hashes = WordHashes()
@@ -134,9 +136,10 @@ def whole_sets(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Data
         return work
 
     source = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    chosen = source.join(wanted, "id", "left_semi")
+    asked = wanted.select("id", "node", F.col("hi").alias("hi_"), F.col("lo").alias("lo_"))
     fields = [field("hi", "long"), field("lo", "long"), field("shingles", "array<long>")]
-    return map_texts(chosen, "text", ["id"], open_, fields).drop("id")
+    told = map_texts(source.join(asked, "id"), "text", ["node", "hi_", "lo_"], open_, fields)
+    return told.where("hi = hi_ AND lo = lo_").select("node", "shingles")
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
@@ -166,7 +169,28 @@ def _with_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-_LINKED = F.expr("19 * common >= 9 * (n_a + n_b)")
+def _in_company(postings: DataFrame) -> DataFrame:
+    """Postings that may link within their list, by summaries of its blocks of like size.
+
+    Linked sets lie in one block or in neighbouring ones.
+    """
+    cell = F.floor(F.log(CELL, F.col("n"))).alias("cell")
+    celled = postings.select("*", cell)
+    blocks = celled.groupBy("token", "cell").agg(
+        F.count("*").alias("sets"), F.max(F.col("n") - F.col("pos")).alias("left")
+    )
+    near = (
+        blocks.withColumn("cell", F.explode(F.expr("array(cell - 1, cell, cell + 1)")))
+        .groupBy("token", "cell")
+        .agg(F.sum("sets").alias("size"), F.max("left").alias("left"))
+        .where("size > 1")
+    )
+    n = F.col("n")
+    enough = F.least(n - F.col("pos"), F.col("left")) >= _least_overlap(n, F.ceil(n * 9 / 10))
+    return celled.join(near, ["token", "cell"]).where(enough).drop("left")
+
+
+_LINKED = "(19 * common >= 9 * (n_a + n_b))"
 
 
 def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,7 +232,7 @@ def _probes(members: DataFrame, label: DataFrame) -> DataFrame:
     sizes = label.groupBy("component").agg(F.count("*").alias("sets"))
     known = label.join(materialise(sizes, "sizes"), "component")
     tagged = materialise(
-        members.drop("size")
+        members.drop("size", "cell")
         .join(known, "node", "left")
         .withColumns(
             {
@@ -230,7 +254,7 @@ def _probes(members: DataFrame, label: DataFrame) -> DataFrame:
             "token",
             F.col("component").alias("other"),
             F.col("sets").alias("other_sets"),
-            F.floor(F.log(10 / 9, F.col("n"))).alias("size_cell"),
+            F.floor(F.log(CELL, F.col("n"))).alias("size_cell"),
             F.floor(F.log2(F.col("pos") + 1)).alias("pos_cell"),
         )
         .agg(
@@ -380,8 +404,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         "nodes",
     )
     postings = nodes.select("node", "n", F.posexplode("head").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(postings.join(lists, "token"), "members")
+    members = materialise(_in_company(postings), "members")
     label = _linked(df, doc_id, text, found, nodes, members)
     named = nodes.join(label, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
@@ -406,9 +429,8 @@ def _linked(
 ) -> DataFrame:
     """``node, component`` of all nodes that have a link."""
     met = materialise(members.select("node").distinct(), "met")
-    wanted = nodes.join(met, "node").select("id").distinct()
-    sets = whole_sets(df, doc_id, text, wanted)
-    sets = sets.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "shingles")
+    wanted = nodes.select("id", "node", "hi", "lo").join(met, "node")
+    sets = whole_sets(df, doc_id, text, materialise(wanted, "wanted"))
     if not found.groupBy("id").count().where("count > 1").isEmpty():
         sets = sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
     sets = materialise(sets, "sets")
@@ -426,7 +448,7 @@ def _linked(
     tested = materialise(_with_overlap(asked, sets), "tested")
     more = tested.where(_LINKED).select("a", "b")
     gap = F.expr("1 - common / (n_a + n_b - common)").alias("gap")
-    unlinked = tested.where(~_LINKED).select(
+    unlinked = tested.where(f"NOT {_LINKED}").select(
         F.col("a").alias("node"), F.col("b").alias("head"), "component", gap
     )
     unlinked = unlinked.join(heads.select("component"), "component", "left_semi")
