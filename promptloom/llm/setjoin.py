@@ -174,8 +174,12 @@ def _in_company(postings: DataFrame) -> DataFrame:
 
     Linked sets lie in one block or in neighbouring ones.
     """
+    shared = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     cell = F.floor(F.log(CELL, F.col("n"))).alias("cell")
-    celled = postings.select("*", cell)
+    # most shingles are in one set only: the rest of the lists is small
+    celled = materialise(
+        postings.join(shared.select("token"), "token").select("*", cell), "lists"
+    )
     blocks = celled.groupBy("token", "cell").agg(
         F.count("*").alias("sets"), F.max(F.col("n") - F.col("pos")).alias("left")
     )
