@@ -34,6 +34,7 @@ from promptloom.session import materialise, scratch_path
 MAGIC = b"IDBITS01"
 BLOCK = 1 << 16
 FILE_IDS = 4_000_000
+MEMO_BYTES = 112 << 20
 # widths at which the bits are those of plain integers
 _WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 
@@ -153,7 +154,7 @@ def write_ids(
 
         for batch in batches:
             if encode is None:
-                encode = worker_encoder(path)
+                encode = worker_encoder(path, MEMO_BYTES)
             for start, stop in slices(batch.column("text")):
                 own = batch.slice(start, stop - start)
                 texts = own.column("text").to_pylist()

@@ -7,9 +7,11 @@ is merged from its bytes, kept as a linked list, with a heap of the possible mer
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ from promptloom.llm.tokens import SegmentIds, packed
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
-PAIRS = 1_000_000
+PAIRS = 200_000
+MEMO_BYTES = 128 << 20
 
 
 def compiled(pattern: str) -> regex.Pattern:
@@ -129,7 +132,8 @@ class Codec:
         self.single = [known.get(bytes([b])) for b in range(256)]
         self.pairs = _Pairs(tokens, known)
         self.cut = compiled(pattern).findall
-        self.segments = SegmentIds(self._token, self._tokens)
+        self.segments = SegmentIds(self._token, self._tokens, memo_bytes=MEMO_BYTES)
+        self.decimals = [b"%d" % i for i in range(len(tokens))]
 
     def _tokens(self, text: str) -> bytes:
         return b"".join(map(self._token, self.cut(text)))
@@ -140,31 +144,37 @@ class Codec:
         return packed([whole] if whole >= 0 else self._merged(data))
 
     def _merged(self, data: bytes) -> list[int]:
-        single, pairs = self.single, self.pairs
-        ids = [single[b] for b in data]
+        pairs = self.pairs
+        ids = list(map(self.single.__getitem__, data))
         n = len(ids)
         # rank of the pair that begins at each place, -1 where none merges
         ranks = [pairs[a << 32 | b] for a, b in zip(ids, ids[1:])]
-        ranks.append(-1)
         heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank >= 0]
+        if not heap:
+            return ids
+        ranks.append(-1)
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            top = heappop(heap)
+            top = heap[0]
             rank, i = top >> 32, top & 0xFFFFFFFF
             # a pair that an earlier merge has changed is passed over
             if ranks[i] != rank:
+                heappop(heap)
                 continue
             j = after[i]
-            ids[i], ids[j], ranks[j] = rank, -1, -1
+            ids[i] = rank
+            ids[j] = ranks[j] = -1
             k = after[i] = after[j]
             new = -1
             if k < n:
                 before[k] = i
                 new = pairs[rank << 32 | ids[k]]
-                if new >= 0:
-                    heappush(heap, new << 32 | i)
             ranks[i] = new
+            if new >= 0:
+                heapreplace(heap, new << 32 | i)
+            else:
+                heappop(heap)
             k = before[i]
             if k >= 0:
                 new = ranks[k] = pairs[ids[k] << 32 | rank]
@@ -188,25 +198,61 @@ def encode_decode(
     vocabulary must hold every single byte. The perfect hash is built once, on the
     driver, and goes to every worker; its size is that of the vocabulary.
     """
+
+    def told(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+        first = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+        flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        return [
+            pa.ListArray.from_arrays(first, pa.array(flat.astype(np.int32))),
+            pa.array([codec.decode(i) for i in ids], pa.binary()),
+        ]
+
+    fields = [field("ids", "array<int>"), field("decoded", "binary")]
+    return _coded(df, path, pattern, doc_id, text, told, fields)
+
+
+def encode_decode_digests(
+    df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what ``encode_decode`` returns.
+
+    The digests, of the decimal ids joined by spaces and of the decoded bytes, are
+    made where the ids are, so no ids leave the worker.
+    """
+
+    def told(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+        shown = codec.decimals.__getitem__
+        said = [hashlib.sha256(b" ".join(map(shown, i.tolist()))).hexdigest() for i in ids]
+        decoded = [hashlib.sha256(codec.decode(i)).hexdigest() for i in ids]
+        return [pa.array([len(i) for i in ids], pa.int64()), pa.array(said), pa.array(decoded)]
+
+    fields = [field("n_tokens", "long"), field("ids_sha256", "string")]
+    return _coded(df, path, pattern, doc_id, text, told, [*fields, field("decoded_sha256", "string")])
+
+
+def _coded(
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    doc_id: str,
+    text: str,
+    told: Callable[[Codec, list[np.ndarray]], list[pa.Array]],
+    fields: list,
+) -> DataFrame:
     tokens = read_ranks(path)
-    known = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash.build(tokens)))
+    built = PerfectHash.build(tokens)
+    # plain lists: a class would be looked up by name on executors without the package
+    known = df.sparkSession.sparkContext.broadcast((tokens, built.shift, built.id_of))
     run = uuid.uuid4().hex
 
+    def codec_of() -> Codec:
+        tokens, shift, id_of = known.value
+        return Codec(tokens, PerfectHash(shift, id_of, [tokens[i] for i in id_of]), pattern)
+
     def open_():
         # the tasks of a worker share one codec and its memo
-        codec = kept(("codec", run), lambda: Codec(*known.value, pattern))
-
-        def work(texts):
-            ids = [codec.encode(t or "") for t in texts]
-            first = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-            return [
-                pa.ListArray.from_arrays(first, pa.array(flat.astype(np.int32))),
-                pa.array([codec.decode(i) for i in ids], pa.binary()),
-            ]
-
-        return work
+        codec = kept(("codec", run), codec_of)
+        return lambda texts: told(codec, [codec.encode(t or "") for t in texts])
 
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = [field("ids", "array<int>"), field("decoded", "binary")]
     return map_texts(source, "text", ["doc_id"], open_, fields, remembers=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Hashable, Iterator, Sequence
@@ -60,10 +62,21 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(name) for name in names), *made], names=schema.names
                 )
+        give_back()
 
     return source.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, for the tasks of others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def kept(key: Hashable, make: Callable[[], object]):
     """``make()``, made once per Python worker while the key stays the same.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from promptloom.llm.bitpack import read_ids, write_ids
-from promptloom.llm.bpe import encode_decode
+from promptloom.llm.bpe import encode_decode_digests
 from promptloom.llm.chat import collapse, render
 from promptloom.llm.collocations import collocations
 from promptloom.llm.hnsw import nearest
@@ -50,17 +50,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_decode(
+    return encode_decode_digests(
         table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN,
     )
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
 
 
 @query

@@ -2,7 +2,7 @@
 
 Both kinds of vocabulary cut a text into pre-tokens that never reach across the
 segments used here, so the ids of a text are those of its segments in a row. Most
-segments recur; a bounded memo holds the ids of the latest as bytes. The library is
+segments recur; a memo of bounded bytes holds the ids of the latest. The library is
 asked for a new segment: by its model alone where a segment is plain Latin letters
 and perhaps punctuation, with all its steps otherwise.
 """
@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 
 from promptloom.llm.common import kept
 
-MEMO = 250_000
+MEMO_BYTES = 64 << 20
+LONGEST_KEPT = 32  # characters of a segment that is remembered
 
 # plain letters, then nothing or something that starts with ASCII punctuation
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-/:-@\[-`{-~].*)?)", re.S)
@@ -40,45 +41,47 @@ class SegmentIds(dict):
     """Little-endian 32-bit ids of a segment, worked out when it is first seen.
 
     ``core(letters)`` encodes plain Latin letters, perhaps after a space, and
-    ``whole(text)`` anything.
+    ``whole(text)`` anything. Long segments are not kept. What has been asked for since
+    the memo was last half full stays when the other half goes.
     """
 
     def __init__(
-        self, core: Callable[[str], bytes], whole: Callable[[str], bytes], lower: bool = False
+        self,
+        core: Callable[[str], bytes],
+        whole: Callable[[str], bytes],
+        lower: bool = False,
+        memo_bytes: int = MEMO_BYTES,
     ) -> None:
         super().__init__()
+        self.half = memo_bytes // 2
         self.core, self.whole, self.lower = core, whole, lower
-        self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _core(self, word: str) -> bytes:
-        if self.lower:
-            word = word.lower()
-        made = self.cores.get(word)
-        if made is None:
-            made = self.core(word)
-            if len(self.cores) >= MEMO:
-                self.cores.clear()
-            self.cores[word] = made
-        return made
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, segment: str) -> bytes:
-        plain = _PLAIN.fullmatch(segment)
-        if plain:
-            core, rest = plain.groups()
-            tail = self.tails.get(rest)
-            if tail is None:
-                tail = self.whole(rest)
-                if len(self.tails) < MEMO:
-                    self.tails[rest] = tail
-            made = self._core(core) + tail
-        else:
-            made = self.whole(segment)
-        if len(self) >= MEMO:
+        if len(segment) > LONGEST_KEPT:
+            return self._made(segment)
+        made = self.before.get(segment)
+        if made is None:
+            made = self._made(segment)
+        self.held += 150 + len(segment) + len(made)
+        if self.held > self.half:
+            self.before = dict(self)
             self.clear()
+            self.held = 0
         self[segment] = made
         return made
 
+    def _made(self, segment: str) -> bytes:
+        plain = _PLAIN.fullmatch(segment)
+        if not plain:
+            return self.whole(segment)
+        word, rest = plain.groups()
+        small = word.lower() if self.lower else word
+        if rest:
+            return self[small] + self[rest]
+        return self.core(word) if small == word else self[small]
+
     def encode(self, text: str, cut: Callable[[str], list[str]] = _SEGMENTS.findall) -> bytes:
         if _ODD.search(text):
             return self.whole(text)
@@ -92,7 +95,9 @@ def packed(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
-def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
+def encoder(
+    path: str, added: bool = False, memo_bytes: int = MEMO_BYTES
+) -> Callable[[str], bytes]:
     """``encode(text)``: the ids as bytes.
 
     The strings of added tokens (``<|endoftext|>``) are plain text, or with ``added``
@@ -118,13 +123,13 @@ def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
     def whole(text: str) -> bytes:
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    known = SegmentIds(core, whole, by_words)
+    known = SegmentIds(core, whole, by_words, memo_bytes)
     cut = str.split if by_words else _SEGMENTS.findall
     return lambda text: whole(text) if holds(text) else known.encode(text, cut)
 
 
-def worker_encoder(path: str) -> Callable[[str], bytes]:
+def worker_encoder(path: str, memo_bytes: int = MEMO_BYTES) -> Callable[[str], bytes]:
     """``encoder(path, added=True)`` with the memo of earlier tasks on this worker and file."""
     about = os.stat(path)
-    key = ("encoder", path, about.st_mtime_ns, about.st_size)
-    return kept(key, lambda: encoder(path, added=True))
+    key = ("encoder", path, about.st_mtime_ns, about.st_size, memo_bytes)
+    return kept(key, lambda: encoder(path, added=True, memo_bytes=memo_bytes))

@@ -29,7 +29,8 @@ SECOND_PERSON = frozenset(
 DISGUISE = str.maketrans("013457@$!+", "oieastasit")
 PREFIXES = (4, 5, 6)
 NEAR = 5
-MEMO = 300_000
+MEMO = 150_000
+LONGEST_KEPT = 32  # characters of a word that is remembered
 
 TRAIN_ROWS = 8_000  # bound of the labelled sample
 LEXICON_TERMS = 400
@@ -85,9 +86,10 @@ class _Words(dict):
         told = None
         if whole or prefix or hidden or second or mixed or stretched or shouted:
             told = (whole, prefix, hidden, second, mixed, stretched, shouted)
-        if len(self) >= MEMO:
-            self.clear()
-        self[raw] = told
+        if len(raw) <= LONGEST_KEPT:
+            if len(self) >= MEMO:
+                self.clear()
+            self[raw] = told
         return told
 
 
