@@ -3,8 +3,8 @@
 import json
 import time
 
+import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from promptloom.operators.backends import get_backend
@@ -24,6 +24,10 @@ from promptloom.plans import schedulers
 from promptloom.plans.dump import dump
 from promptloom.plans.judge import judge_list, judge_pair, judge_pair_by_category
 from promptloom.plans.router import (
+    RouterModel,
+    composite_loss,
+    labelled_features,
+    logistic_start,
     choice_label,
     exact_split,
     hashed_split,
@@ -344,8 +348,8 @@ def test_hashed_split_is_stable(spark):
 def test_trained_router_routes(spark, tmp_path):
     rows = [(i, "list the ways" if i % 2 else "solve the sum", i % 2) for i in range(40)]
     labelled = spark.createDataFrame(rows, "request_id long, request string, label int")
-    train_router(labelled, features=64, iterations=5).save(str(tmp_path / "router"))
-    model = PipelineModel.load(str(tmp_path / "router"))
+    train_router(labelled, features=64, iterations=5).save(spark, str(tmp_path / "router"))
+    model = RouterModel.load(spark, str(tmp_path / "router"))
     routed = predict(model, labelled.drop("label"))
     assert matrix(confusion_matrix(routed.join(labelled.withColumnRenamed("label", "y"), "request_id"), "y", "label")) == {
         (0, 0): 20.0,
@@ -360,6 +364,36 @@ def test_trained_router_routes(spark, tmp_path):
     assert kinds[0] == (None, "1. SOLVE THE SUM") and kinds[1] == (["1"], "1. LIST THE WAYS")
 
 
+def test_gradient_of_the_mixed_loss(spark):
+    """The distributed gradient against differences, the loss against ``router_loss``."""
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i % 5)), (i // 2) % 2) for i in range(60)]
+    rows.append((60, None, 1))
+    labelled = spark.createDataFrame(rows, "request_id long, request string, label int")
+    n = 16
+    loss = composite_loss(labelled_features(labelled, n, False).repartition(3), n, 0.75)
+    weights = np.random.default_rng(5).normal(size=n + 1)
+    value, slope = loss(weights)
+    for k in (0, 3, 8):
+        step = np.zeros(n + 1)
+        step[k] = 1e-6
+        ahead, behind = loss(weights + step)[0], loss(weights - step)[0]
+        assert slope[k] == pytest.approx((ahead - behind) / 2e-6, abs=1e-5)
+    scored = predict(RouterModel(weights), labelled.select("request_id", "request"))
+    told = scored.drop("label").join(labelled.select("request_id", "label"), "request_id")
+    decay = 1e-3 / 2 * float(weights[1:] @ weights[1:])
+    assert value == pytest.approx(router_loss(told).first()["loss"] + decay)
+
+
+def test_mixed_loss_ends_below_the_logistic_start(spark):
+    rows = [(i, f"a{i % 9} b{i % 4} c{i % 5}", int((i * 7) % 10 < 3 + 4 * (i % 2))) for i in range(200)]
+    labelled = spark.createDataFrame(rows, "request_id long, request string, label int").cache()
+    start = logistic_start(labelled, 64, 4)
+    ended = train_router(labelled, 64, 4, start=start)
+    loss = composite_loss(labelled_features(labelled, 64, False), 64, 0.75)
+    assert loss(ended.weights)[0] < loss(start)[0] < loss(np.zeros(65))[0]
+    assert train_router(labelled.limit(0), 64, 4).weights.tolist() == [0.0] * 65
+
+
 def test_choices(spark):
     texts = ["A", " B. because", "C", "Apples", "", "a", "\nA, B"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")

@@ -10,14 +10,17 @@ from promptloom.operators.metrics import argmax, confusion_matrix, multilabel_pa
 from promptloom.operators.stats import naive_stats, outline_stats
 from promptloom.plans import schedulers
 from promptloom.plans.router import (
+    RouterModel,
     exact_split,
     hashed_split,
+    logistic_start,
     padded_features,
     predict,
     prompt_router,
     request_words,
     train_router,
 )
+from promptloom.session import materialise
 from workload.fixtures import (
     MODEL,
     MULTI_SQL,
@@ -175,15 +178,73 @@ def q_train_val_split_hashed(spark, sf_dir):
     return hashed_split(requests(spark, sf_dir).select("request_id"), 0.8, 1)
 
 
+def _labelled(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("request_id"), F.col("quality").alias("label")
+    )
+    return requests(spark, sf_dir).join(labels, "request_id")
+
+
 @query("router_train")
 def q_router_train(spark, sf_dir):
     """Trained on the labelled documents, used on all of them."""
-    texts = requests(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("request_id"), F.col("quality").alias("label")
+    model = train_router(_labelled(spark, sf_dir), iterations=8)
+    scored = predict(model, requests(spark, sf_dir))
+    return scored.select("request_id", "label", F.round("prob", 6).alias("prob"))
+
+
+@query(
+    "router_train_invariants",
+    """SELECT (SELECT count(*) FROM documents)::BIGINT AS n_scored,
+        (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)::BIGINT AS n_learned,
+        true AS in_range, true AS labels_agree, true AS below_start, true AS below_guess""",
+)
+def q_router_train_invariants(spark, sf_dir):
+    """Training on the mixed loss ends below the logistic regression that it starts from,
+    and below one probability for all."""
+    labelled = materialise(_labelled(spark, sf_dir), "labelled")
+    start = logistic_start(labelled, iterations=6)
+    model = train_router(labelled, iterations=6, start=start)
+
+    def loss(weights):
+        return router_loss(predict(RouterModel(weights), labelled.drop("label")).drop("label").join(
+            labelled.select("request_id", "label"), "request_id"
+        )).first()["loss"]
+
+    share = labelled.agg(F.avg("label")).first()[0] or 0.0
+    guess = router_loss(labelled.select("label", F.lit(float(share)).alias("prob"))).first()["loss"]
+    ended = loss(model.weights)
+    scored = predict(model, requests(spark, sf_dir)).agg(
+        F.count("*").alias("n_scored"),
+        F.bool_and((F.col("prob") >= 0) & (F.col("prob") <= 1)).alias("in_range"),
+        F.bool_and((F.col("prob") > 0.5).cast("int") == F.col("label")).alias("labels_agree"),
     )
-    model = train_router(texts.join(labels, "request_id"))
-    return predict(model, texts).select("request_id", "label", F.round("prob", 6).alias("prob"))
+    learned = labelled.agg(F.count("label").alias("n_learned"))
+    return scored.join(learned, F.lit(True)).select(
+        "*",
+        F.lit(ended < loss(start)).alias("below_start"),
+        F.lit(ended < guess).alias("below_guess"),
+    )
+
+
+@query(
+    "router_predict_then_answer",
+    """SELECT doc_id AS request_id, true AS routed FROM documents""",
+)
+def q_router_predict_then_answer(spark, sf_dir):
+    """The trained router decides, and every request is answered the way it says."""
+    asked = requests(spark, sf_dir)
+    model = train_router(_labelled(spark, sf_dir), iterations=4)
+    routed = materialise(predict(model, asked).drop("prob"), "routed")
+    answered = schedulers.router(routed, MODEL, PLAIN_PROMPTS).select("request_id", "response", "points")
+    plain = schedulers.naive(asked, MODEL).select("request_id", F.col("response").alias("plain"))
+    pointed = schedulers.batch_outline(asked, MODEL, PLAIN_PROMPTS)
+    pointed = pointed.select("request_id", F.col("response").alias("pointed"))
+    both = answered.join(routed.select("request_id", "label"), "request_id")
+    both = both.join(plain, "request_id").join(pointed, "request_id")
+    expected = F.when(F.col("label") == 0, F.col("plain")).otherwise(F.col("pointed"))
+    kind = F.col("points").isNull() == (F.col("label") == 0)
+    return both.select("request_id", ((F.col("response") == expected) & kind).alias("routed"))
 
 
 @query(
