@@ -6,7 +6,7 @@ count of a shorter phrase is the sum over the windows that begin with it, so one
 ROLLUP over the columns gives phrases of every length, and the number of words.
 
 A phrase is at most as frequent as its parts, so a window is also padded from the first
-word, pair, triple or quadruple of neighbours on that is too rare to be in any result;
+word, pair or triple of neighbours on that is too rare to be in any result;
 these runs are counted beforehand by hash, only to know where to cut.
 """
 
@@ -29,7 +29,7 @@ LONGEST = 5
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 WORD_ENDS = PIECE_ENDS + b" \t"
 FILTER_BITS = 1 << 27  # bound of a filter that goes to the workers, 16 MB
-PRUNED = (2, 3, 4)  # sizes of runs that are counted beforehand
+PRUNED = (2, 3)  # sizes of runs that are counted beforehand
 HELD = 1 << 20
 SALTS = 64
 
