@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from promptloom.functions.text import strip, unescape_code
 from promptloom.operators.skew import ROWS_PER_TASK, added, find_hot_keys, join_spread, later_of, running
@@ -98,19 +99,32 @@ def chunk_delta(
     counted = chunks.select(*stream, seq, strip(F.col("text")).alias("_text")).withColumn(
         "_now", spaces
     )
-    shown = running(
-        counted,
-        stream,
-        [seq],
-        "_pre",
-        F.max,
-        F.col("_now"),
-        later_of,
-        hot,
-        preceding_only=True,
-    ).withColumn("_pre", F.coalesce("_pre", F.lit(0)))
-    last = chunks.groupBy(*stream).agg(F.max(seq).alias("_last"))
-    marked = join_spread(shown, last, list(stream), "inner", [*stream, seq], hot)
+    if hot:
+        shown = running(
+            counted,
+            stream,
+            [seq],
+            "_pre",
+            F.max,
+            F.col("_now"),
+            later_of,
+            hot,
+            preceding_only=True,
+        )
+        last = chunks.groupBy(*stream).agg(F.max(seq).alias("_last"))
+        marked = join_spread(shown, last, list(stream), "inner", [*stream, seq], hot)
+        marked = marked.withColumn("_ends", F.col(seq) == F.col("_last"))
+    else:
+        # the longest snapshot before and the end of the stream, in one window
+        order = Window.partitionBy(*stream).orderBy(seq)
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        marked = counted.withColumns(
+            {
+                "_pre": F.max("_now").over(before),
+                "_ends": F.lead(seq).over(order).isNull(),
+            }
+        )
+    marked = marked.withColumn("_pre", F.coalesce("_pre", F.lit(0)))
 
     pre, now = F.col("_pre"), F.col("_now")
     # first n words, with the space after them
@@ -121,7 +135,7 @@ def chunk_delta(
         *stream,
         seq,
         F.when(now > pre, delta).otherwise("").alias("delta"),
-        F.when(F.col(seq) == F.col("_last"), flush).alias("flush"),
+        F.when(F.col("_ends"), flush).alias("flush"),
     )
 
 
@@ -150,13 +164,23 @@ def chunk_sample(
     Snapshots are counted in the order of ``seq``, which may have gaps. Nothing
     follows the first error. The last snapshot of a stream without error is shown (again) without cursor.
     """
-    ends = chunks.groupBy(*key).agg(
-        F.min(F.when(F.col("error_code") != 0, F.col(seq))).alias("_bad"),
-        F.max(seq).alias("_last"),
-    )
     hot = find_hot_keys(chunks, key, rows_per_task)
-    chunks = running(chunks, key, [seq], "_nth", F.count, F.lit(1), added, hot)
-    joined = join_spread(chunks, ends, list(key), "inner", [*key, seq], hot)
+    bad = F.min(F.when(F.col("error_code") != 0, F.col(seq)))
+    if hot:
+        ends = chunks.groupBy(*key).agg(bad.alias("_bad"), F.max(seq).alias("_last"))
+        chunks = running(chunks, key, [seq], "_nth", F.count, F.lit(1), added, hot)
+        joined = join_spread(chunks, ends, list(key), "inner", [*key, seq], hot)
+    else:
+        whole = Window.partitionBy(*key)
+        joined = chunks.withColumns(
+            {
+                "_nth": F.count(F.lit(1)).over(
+                    whole.orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                ),
+                "_bad": bad.over(whole),
+                "_last": F.max(seq).over(whole),
+            }
+        )
     at, bad = F.col(seq), F.col("_bad")
     text = strip(F.col("text"))
     final = text
@@ -202,30 +226,30 @@ def side_by_side(
     The stream that ends first keeps showing its last snapshot. Steps count the
     snapshots of a stream from 0 in the order of ``seq``, which may have gaps.
     """
-    hot = find_hot_keys(left.select(key).unionByName(right.select(key)), [key], rows_per_task)
-
-    def stepped(side: DataFrame, name: str) -> DataFrame:
-        counted = running(
-            side.select(key, seq, F.col("text").alias(name)),
+    both = left.select(key, seq, F.lit(0).alias("_side"), "text").unionByName(
+        right.select(key, seq, F.lit(1).alias("_side"), "text")
+    )
+    hot = find_hot_keys(both, [key], rows_per_task)
+    if not hot:
+        # all windows and sums below keep this partitioning
+        both = both.repartition(key)
+    counted = running(both, [key, "_side"], [seq], "_nth", F.count, F.lit(1), added, hot)
+    step = (F.col("_nth") - 1).cast("int").alias("step")
+    shown = [
+        F.max(F.when(F.col("_side") == i, F.struct("text"))).alias(f"_{name}")
+        for i, name in enumerate(("left_text", "right_text"))
+    ]
+    steps = counted.select(key, "_side", "text", step).groupBy(key, "step").agg(*shown)
+    # what a stream that has ended showed last: its step is the last one it has
+    for i, name in enumerate(("left_text", "right_text")):
+        steps = running(
+            steps,
             [key],
-            [seq],
-            "_nth",
-            F.count,
-            F.lit(1),
-            added,
+            ["step"],
+            name,
+            F.max,
+            F.when(F.col(f"_{name}").isNotNull(), F.struct("step", f"_{name}")),
+            later_of,
             hot,
-        )
-        return counted.select(key, (F.col("_nth") - 1).cast("int").alias("step"), name)
-
-    one, two = stepped(left, "left_text"), stepped(right, "right_text")
-    steps = one.join(two, [key, "step"], "full_outer")
-    for name, side in (("left_text", one), ("right_text", two)):
-        end = side.groupBy(key).agg(
-            F.max_by(name, "step").alias("_end"), F.max("step").alias("_ended")
-        )
-        steps = join_spread(steps, end, [key], "left", [key, "step"], hot)
-        steps = steps.withColumn(
-            name, F.when(F.col("step") > F.col("_ended"), F.col("_end")).otherwise(F.col(name))
-        ).drop("_end", "_ended")
-    return steps
-
+        ).withColumn(name, F.col(f"{name}._{name}.text"))
+    return steps.drop("_left_text", "_right_text")

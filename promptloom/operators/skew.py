@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from promptloom.session import materialise
 
 ROWS_PER_TASK = 500_000
+# so many hot keys are held by the plan itself, more become a written table
+FEW = 1000
 
 
 @dataclass(frozen=True)
@@ -45,16 +47,25 @@ class HotKeys:
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
 ) -> HotKeys:
-    """Count rows per key hash (combined before the shuffle), keep the large ones."""
+    """Count rows per key hash (combined before the shuffle), keep the large ones.
+
+    One job, and nothing is written, unless there are more than ``FEW`` hot keys.
+    """
     shares = F.pow(F.lit(2), F.ceil(F.log2(F.col("count") / rows_per_task))).cast("int")
-    found = materialise(
+    found = (
         df.groupBy(F.xxhash64(*keys).alias("_hash"))
         .count()
         .where(F.col("count") > rows_per_task)
-        .select("_hash", shares.alias("_shares"), "count"),
-        "hot",
+        .select("_hash", shares.alias("_shares"), "count")
     )
-    rows = found.agg(F.sum("count")).first()[0] or 0
+    some = found.limit(FEW + 1).collect()
+    if len(some) <= FEW:
+        rows = sum(r["count"] for r in some)
+        kept = [(r["_hash"], r["_shares"]) for r in some]
+        table = df.sparkSession.createDataFrame(kept, "_hash long, _shares int")
+        return HotKeys(tuple(keys), table, rows, rows_per_task)
+    found = materialise(found, "hot")
+    rows = found.agg(F.sum("count")).first()[0]
     return HotKeys(tuple(keys), found.drop("count"), rows, rows_per_task)
 
 
