@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from promptloom.llm.common import CHUNK_BYTES, WordHashes, mix, slices
+from promptloom.llm.common import CHUNK_BYTES, KeyFilter, WordHashes, mix, slices
 from promptloom.session import materialise
 
 LONGEST = 5
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 WORD_ENDS = PIECE_ENDS + b" \t"
-FILTER_BITS = 1 << 27  # bound of a filter that goes to the workers, 16 MB
 PRUNED = (2, 3)  # sizes of runs that are counted beforehand
 HELD = 1 << 20
 SALTS = 64
@@ -39,41 +38,6 @@ _LOWER[65:91] += 32
 _TURN = np.uint64(0xD1342543DE82EF95)
 
 
-class KeyFilter:
-    """A bit array that knows a set of 64-bit keys, and few others by mistake."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        self.words = words
-        self.mask = np.uint64(64 * len(words) - 1)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        return self._set(keys) & self._set(keys >> np.uint64(32))
-
-    def _set(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        word = self.words[(at >> np.uint64(6)).astype(np.int64)]
-        return ((word >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-    @classmethod
-    def of(cls, keys: DataFrame) -> KeyFilter:
-        """The filter of the column ``key``, combined on Spark; at most ``FILTER_BITS`` bits."""
-        bits = 1 << 16
-        while bits < min(32 * keys.count(), FILTER_BITS):
-            bits *= 2
-        # two bits of every key
-        two = f"explode(array(key & {bits - 1}, shiftright(key, 32) & {bits - 1})) AS place"
-        found = (
-            keys.selectExpr(two)
-            .selectExpr("place div 64 AS word", "shiftleft(1L, cast(place % 64 as int)) AS bit")
-            .groupBy("word")
-            .agg(F.bit_or("bit").alias("bit"))
-            .toArrow()
-        )
-        words = np.zeros(bits // 64, np.uint64)
-        words[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
-        return cls(words)
-
-
 class Words:
     """The words of texts of one language: hashes, pieces and bytes."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WordHashes, field, map_texts, mix, shingle_sets, slices
+from promptloom.llm.common import KeyFilter, WordHashes, field, map_texts, mix, shingle_sets, slices
 from promptloom.llm.components import components
 from promptloom.session import materialise
 
@@ -122,24 +122,74 @@ def prints(df: DataFrame, doc_id: str, text: str, level: np.ndarray) -> DataFram
 
 
 def whole_sets(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the wanted nodes: rows of their ``id`` with the digest ``hi, lo``."""
+    """``node, shingles, n, counts`` of the wanted nodes ``id, hi, lo, node``.
 
-    def open_():
-        hashes = WordHashes()
+    The rows are picked by a filter of ids where the texts are read, so no text is
+    shuffled; what the filter lets through by mistake has another digest.
+    """
+    ids = KeyFilter.of(wanted.select(F.xxhash64("id").alias("key"))).words
+    known = df.sparkSession.sparkContext.broadcast(ids)
 
-        def work(texts):
-            shingles, first = shingle_sets(*hashes(texts), WORDS)
-            values = pa.array(shingles.view(np.int64))
-            lists = pa.ListArray.from_arrays(first.astype(np.int32), values)
-            return [*_digests(shingles, first), lists]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, passes = WordHashes(), KeyFilter(known.value)
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            picked = batch.filter(pa.array(passes(keys)))
+            for start, stop in slices(picked.column("text")):
+                texts = picked.column("text").slice(start, stop - start).to_pylist()
+                shingles, first = shingle_sets(*hashes(texts), WORDS)
+                lists = pa.ListArray.from_arrays(
+                    first.astype(np.int32), pa.array(shingles.view(np.int64))
+                )
+                sets = zip(first, first[1:])
+                counts = pa.array([_slot_counts(shingles[a:b]) for a, b in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*_digests(shingles, first), lists, pa.array(np.diff(first)), counts],
+                    names=["hi", "lo", "shingles", "n", "counts"],
+                )
 
-        return work
+    source = df.where(F.col(doc_id).isNotNull()).select(
+        F.xxhash64(F.col(doc_id).cast("long")).alias("key"), F.col(text).alias("text")
+    )
+    told = source.mapInArrow(
+        run, "hi long, lo long, shingles array<long>, n long, counts binary"
+    )
+    return told.join(wanted.select("hi", "lo", "node"), ["hi", "lo"]).drop("hi", "lo")
 
-    source = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    asked = wanted.select("id", "node", F.col("hi").alias("hi_"), F.col("lo").alias("lo_"))
-    fields = [field("hi", "long"), field("lo", "long"), field("shingles", "array<long>")]
-    told = map_texts(source.join(asked, "id"), "text", ["node", "hi_", "lo_"], open_, fields)
-    return told.where("hi = hi_ AND lo = lo_").select("node", "shingles")
+
+def _slot_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of n / 2 to n slots; empty if a byte is too small."""
+    slots = 1 << max(int(len(shingles)).bit_length() - 1, 0)
+    count = np.bincount((mix(shingles) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+
+
+def _may_link(one: bytes, two: bytes, n: int, m: int) -> bool:
+    """False if the slots of two sets of n and m shingles show that they cannot link."""
+    if not one or not two:
+        return True
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (one, two))
+    # slots are low bits of a hash: halves of the larger table fold onto each other
+    while len(x) > len(y):
+        x = x.reshape(2, -1).sum(axis=0)
+    while len(y) > len(x):
+        y = y.reshape(2, -1).sum(axis=0)
+    return 19 * int(np.minimum(x, y).sum()) >= 9 * (n + m)
+
+
+def _unrefuted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose slot counts do not rule out a link; other columns stay."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_1"), F.col("counts").alias("c_1"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_2"), F.col("counts").alias("c_2"))
+    both = pairs.join(one, "a").join(two, "b").select(*pairs.columns, "n_1", "n_2", "c_1", "c_2")
+    names = pairs.columns
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = zip(*(batch.column(c).to_pylist() for c in ("c_1", "c_2", "n_1", "n_2")))
+            yield batch.select(names).filter(pa.array([_may_link(*t) for t in told], pa.bool_()))
+
+    return materialise(both.mapInArrow(test, pairs.schema), "unrefuted")
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
@@ -223,9 +273,8 @@ def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         .distinct()
     )
-    return materialise(
-        _with_overlap(materialise(pairs, "stars"), sets).where(_LINKED).select("a", "b"), "links"
-    )
+    pairs = _unrefuted(materialise(pairs, "stars"), sets)
+    return materialise(_with_overlap(pairs, sets).where(_LINKED).select("a", "b"), "links")
 
 
 def _probes(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -436,7 +485,9 @@ def _linked(
     wanted = nodes.select("id", "node", "hi", "lo").join(met, "node")
     sets = whole_sets(df, doc_id, text, materialise(wanted, "wanted"))
     if not found.groupBy("id").count().where("count > 1").isEmpty():
-        sets = sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+        sets = sets.groupBy("node").agg(
+            *[F.any_value(c).alias(c) for c in ("shingles", "n", "counts")]
+        )
     sets = materialise(sets, "sets")
     links = _star_links(members, sets)
     label = components(links)
@@ -444,11 +495,18 @@ def _linked(
     if probes.isEmpty():
         return label
     heads = materialise(_heads(label, links), "heads")
-    asked = (
-        probes.join(heads, "component", "left")
-        .withColumn("head", F.coalesce("head", "component"))
-        .select(F.col("node").alias("a"), F.col("head").alias("b"), "component")
+    asked = materialise(
+        probes.join(heads, "component", "left").select(
+            F.col("node").alias("a"),
+            F.coalesce("head", "component").alias("b"),
+            "component",
+            F.col("head").isNull().alias("alone"),
+        ),
+        "asked",
     )
+    # a component of one set has no members to go on to
+    alone = _unrefuted(asked.where("alone"), sets)
+    asked = asked.where("NOT alone").unionByName(alone).drop("alone")
     tested = materialise(_with_overlap(asked, sets), "tested")
     more = tested.where(_LINKED).select("a", "b")
     gap = F.expr("1 - common / (n_a + n_b - common)").alias("gap")
