@@ -73,6 +73,20 @@ class Words:
             ok.append(fits)
         return ok
 
+    def differ(self, than: np.ndarray) -> np.ndarray:
+        """Which words are not the same as the word at the place given for each."""
+        length = self.end - self.begin
+        same = length == length[than]
+        at = np.flatnonzero(same)
+        size = length[at]
+        first = np.cumsum(size) - size
+        within = np.arange(size.sum()) - np.repeat(first, size)
+        own = self.data[within + np.repeat(self.begin[at], size)]
+        own = _LOWER[own] == _LOWER[self.data[within + np.repeat(self.begin[than[at]], size)]]
+        if len(at):
+            same[at] = np.logical_and.reduceat(own, first)
+        return np.flatnonzero(~same)
+
     def text(self, at: np.ndarray) -> pa.Array:
         """The words at these places, lower-cased."""
         length = (self.end - self.begin)[at]
@@ -173,7 +187,7 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_counts(docs: DataFrame, hashes: Callable[[], WordHashes]) -> DataFrame:
-    """``lang, hash, word, key, n`` of every distinct word."""
+    """``lang, hash, word, key, n`` of every distinct word; two words of one hash are two rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = hashes()
@@ -181,7 +195,12 @@ def word_counts(docs: DataFrame, hashes: Callable[[], WordHashes]) -> DataFrame:
             for lang, words in _per_language(batch, tool):
                 if not len(words.hash):
                     continue
-                found, at, n = np.unique(words.hash, return_index=True, return_counts=True)
+                _, at, which, n = np.unique(
+                    words.hash, return_index=True, return_inverse=True, return_counts=True
+                )
+                other = words.differ(at[which])
+                at, n = np.append(at, other), np.append(n, np.ones(len(other), np.int64))
+                found = words.hash[at]
                 code = pa.array(np.zeros(len(n), np.int32))
                 langs = pa.DictionaryArray.from_arrays(code, pa.array([lang], pa.string()))
                 columns = [
