@@ -241,7 +241,7 @@ def test_negatives_of_odd_rows(spark, scale):
         (8, [inf, 1.0], 1), (9, [1.0, 1.0], None), (None, [0.7, 0.6], 2), (11, [], 2), (12, [-1.0, -1.0], 2),
         (20, [0.0, 0.0], 3), (30, [1.5], 1), (40, [-1.0, 0.25], 5),
     ]
-    grown = [(i, v and [x and x * scale for x in v], c) for i, v, c in rows]
+    grown = [(i, v and [x and float(np.float32(x * scale)) for x in v], c) for i, v, c in rows]
     made = spark.createDataFrame(grown, SCHEMA)
     df = made.withColumns({c: F.lit("x") for c in ("rid", "block", "kind", "score", "goal", "vector")})
     got = hard_negatives(df, F.col("vec_id") % 10 == 0)
