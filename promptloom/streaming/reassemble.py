@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 RESPONSE = "request_id LONG, n_points INT, n_seen INT, response STRING, complete BOOLEAN"
-# n_points of a request whose response is out
-_ANSWERED = -1
-_STATE = "n_points INT, deadline LONG, pos ARRAY<INT>, contents ARRAY<STRING>"
 
 
 def reassemble_windows(points: DataFrame, window: str, delay: str, separator: str = "\n\n") -> DataFrame:
@@ -62,6 +64,66 @@ def _responses(grouped: DataFrame, separator: str) -> DataFrame:
     )
 
 
+class Reassembler(StatefulProcessor):
+    """The points of one request in the state store: one entry per point, and a timer.
+
+    The timer stands at the latest point's time plus the patience. When it fires, an
+    incomplete request is answered as it is, and whatever is left of it is forgotten.
+    """
+
+    def __init__(self, millis: int, separator: str) -> None:
+        self.millis, self.separator = millis, separator
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.about = handle.getValueState("about", "n_points INT, deadline LONG, answered BOOLEAN")
+        self.points = handle.getMapState("points", "pos INT", "content STRING")
+
+    def handleInputRows(
+        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
+    ) -> Iterator[pd.DataFrame]:
+        known = self.about.exists()
+        n, deadline, answered = self.about.get() if known else (0, 0, False)
+        latest = deadline
+        for frame in rows:
+            n = int(frame["n_points"].iat[0])
+            at = int(frame["ts"].to_numpy("datetime64[ms]").max().astype(int)) + self.millis
+            latest = max(latest, at)
+            if answered:
+                continue
+            for pos, content in zip(frame["pos"].tolist(), frame["content"].tolist()):
+                # a row without point stands for a request without points
+                if not pd.isna(pos) and not self.points.containsKey((int(pos),)):
+                    self.points.updateValue((int(pos),), (content,))
+        if latest != deadline:
+            if known:
+                self.handle.deleteTimer(deadline)
+            self.handle.registerTimer(latest)
+        if not answered:
+            seen = self._seen()
+            answered = len(seen) >= n
+            if answered:
+                # the request is remembered without its points until the timer fires
+                self.points.clear()
+                yield _response(int(key[0]), n, seen, self.separator)
+        self.about.update((n, latest, answered))
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        n, _, answered = self.about.get()
+        if not answered:
+            yield _response(int(key[0]), n, self._seen(), self.separator)
+        self.points.clear()
+        self.about.clear()
+
+    def _seen(self) -> dict[int, str]:
+        return {pos[0]: content[0] for pos, content in self.points.iterator()}
+
+    def close(self) -> None:
+        pass
+
+
 def reassemble_state(points: DataFrame, patience: str, delay: str, separator: str = "\n\n") -> DataFrame:
     """Responses as soon as all ``n_points`` points are in.
 
@@ -72,42 +134,10 @@ def reassemble_state(points: DataFrame, patience: str, delay: str, separator: st
     A row with a null ``pos`` and 0 as ``n_points`` is answered at once, with nothing.
     """
     millis = int(pd.Timedelta(patience).total_seconds() * 1000)
-
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, _, pos, contents = state.get
-            state.remove()
-            if n != _ANSWERED:
-                yield _response(int(key[0]), n, dict(zip(pos, contents)), separator)
-            return
-        n, deadline, seen = 0, 0, {}
-        if state.exists:
-            n, deadline, pos, contents = state.get
-            seen = dict(zip(pos, contents))
-        answered = n == _ANSWERED
-        for frame in frames:
-            n = int(frame["n_points"].iat[0])
-            latest = frame["ts"].to_numpy("datetime64[ms]").max().astype(int)
-            deadline = max(deadline, int(latest) + millis)
-            for p, content in zip(frame["pos"].tolist(), frame["content"].tolist()):
-                # beside a null the others come as floats
-                if not pd.isna(p):
-                    seen.setdefault(int(p), content)
-        if answered or len(seen) >= n:
-            state.update((_ANSWERED, deadline, [], []))
-        else:
-            state.update((n, deadline, list(seen), list(seen.values())))
-        # the deadline comes from the rows' own time: the first watermark is 1970
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        if not answered and len(seen) >= n:
-            yield _response(int(key[0]), n, seen, separator)
-
     return (
         points.withWatermark("ts", delay)
         .groupBy("request_id")
-        .applyInPandasWithState(step, RESPONSE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Reassembler(millis, separator), RESPONSE, "append", "eventTime")
     )
 
 

@@ -130,7 +130,7 @@ def test_requests_without_points_are_answered(spark, tmp_path, reassemble):
 
 
 def test_every_request_of_the_given_table_is_answered(spark, sf_dir):
-    path, schema = chatting._point_files(spark, sf_dir, PLAIN_PROMPTS, empty=True)
+    path, schema = chatting._point_files(spark, sf_dir, PLAIN_PROMPTS)
     stream = spark.readStream.schema(schema).parquet(path)
     told = result_of(spark, reassemble_state(stream, "10 minutes", "1 day"), "all").collect()
     asked = {r["request_id"] for r in requests(spark, sf_dir).collect()}

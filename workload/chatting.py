@@ -227,14 +227,12 @@ def q_stream_generate_python(spark, sf_dir):
     return _summary(spark.read.parquet(path))
 
 
-def _point_files(spark, sf_dir, prompts, empty=False):
+def _point_files(spark, sf_dir, prompts):
     """Points written as files, to be read back as a stream: every point of a
-    request some seconds after the one before. With ``empty`` a request without
-    points is a row too, with a null ``pos``; the SQL twins count points only."""
+    request some seconds after the one before. A request without points is a row
+    too, with a null ``pos``."""
     planned = schedulers.outlined(requests(spark, sf_dir), MODEL, prompts)
     rows = explode_points(planned.withColumn("n_points", F.size("points")))
-    if not empty:
-        rows = rows.where("pos IS NOT NULL")
     seconds = F.lit(1704067200) + F.col("request_id") + F.coalesce("pos", F.lit(0))
     points = rows.select(
         "request_id",
@@ -248,16 +246,22 @@ def _point_files(spark, sf_dir, prompts, empty=False):
     return path, points.schema
 
 
-_COMPLETE_SQL = """
-SELECT request_id, count(*)::INTEGER AS n_points, count(*)::INTEGER AS n_seen, true AS complete,
-    md5(string_agg(point || '. ' || point_outline, chr(10) || chr(10) ORDER BY pos)) AS response
-FROM points GROUP BY request_id
+# every point of every request, and a row with a null pos for a request without points
+_ROWS_SQL = """
+rows AS (SELECT o.request_id, pos, point || '. ' || point_outline AS content,
+    1704067200 + o.request_id + coalesce(pos, 0) AS second,
+    count(pos) OVER (PARTITION BY o.request_id)::INTEGER AS n
+    FROM outlines o LEFT JOIN points p ON p.request_id = o.request_id)
 """
 
+_RESPONSE_SQL = "md5(coalesce(string_agg(content, chr(10) || chr(10) ORDER BY pos), '')) AS response"
+
 
 @query(
     "stream_reassemble",
-    f"WITH {REQUESTS_SQL}, {SWITCHED_SQL}, {POINTS_SQL} {_COMPLETE_SQL}",
+    f"""WITH {REQUESTS_SQL}, {SWITCHED_SQL}, {POINTS_SQL}, {_ROWS_SQL}
+    SELECT request_id, max(n) AS n_points, count(pos)::INTEGER AS n_seen, true AS complete, {_RESPONSE_SQL}
+    FROM rows GROUP BY request_id""",
 )
 def q_stream_reassemble(spark, sf_dir):
     path, schema = _point_files(spark, sf_dir, PROMPTS)
@@ -268,13 +272,11 @@ def q_stream_reassemble(spark, sf_dir):
 
 @query(
     "stream_reassemble_windows",
-    f"""WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL},
-    counted AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM points),
-    slots AS (SELECT request_id, (1704067200 + request_id + pos) // 60 AS slot, max(n)::INTEGER AS n_points,
-        count(*)::INTEGER AS n_seen, md5(string_agg(point || '. ' || point_outline, chr(10) || chr(10) ORDER BY pos)) AS response
-        FROM counted GROUP BY 1, 2)
+    f"""WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL}, {_ROWS_SQL},
+    slots AS (SELECT request_id, second // 60 AS slot, max(n) AS n_points, count(pos)::INTEGER AS n_seen,
+        {_RESPONSE_SQL} FROM rows GROUP BY 1, 2)
     SELECT request_id, n_points, n_seen, n_points = n_seen AS complete, response FROM slots
-    WHERE slot < (SELECT max(1704067200 + request_id + pos) // 60 FROM points)""",
+    WHERE slot < (SELECT max(second) // 60 FROM rows)""",
 )
 def q_stream_reassemble_windows(spark, sf_dir):
     """Windows the watermark has passed; the newest one stays open."""
@@ -286,20 +288,17 @@ def q_stream_reassemble_windows(spark, sf_dir):
 
 @query(
     "stream_late_points",
-    f"""WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL},
-    counted AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM points),
-    intime AS (SELECT * FROM counted WHERE NOT (pos = 1 AND request_id % 4 = 0))
-    SELECT request_id, max(n)::INTEGER AS n_points, count(*)::INTEGER AS n_seen,
-        count(*) = max(n) AS complete,
-        md5(string_agg(point || '. ' || point_outline, chr(10) || chr(10) ORDER BY pos)) AS response
-    FROM intime GROUP BY request_id""",
+    f"""WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL}, {_ROWS_SQL}
+    SELECT request_id, max(n) AS n_points, count(pos)::INTEGER AS n_seen, count(pos) = max(n) AS complete,
+        {_RESPONSE_SQL}
+    FROM rows WHERE NOT (coalesce(pos, 0) = 1 AND request_id % 4 = 0) GROUP BY request_id""",
 )
 def q_stream_late_points(spark, sf_dir):
     """The second point of every fourth request comes days late and is dropped;
     those requests are answered incomplete when their time is over."""
     path, schema = _point_files(spark, sf_dir, PLAIN_PROMPTS)
     points = spark.read.schema(schema).parquet(path)
-    late = (F.col("pos") == 1) & (F.col("request_id") % 4 == 0)
+    late = (F.coalesce("pos", F.lit(0)) == 1) & (F.col("request_id") % 4 == 0)
     # a row without request moves the watermark on, as later traffic would
     clock = points.agg(F.max("ts").alias("latest")).select(
         F.lit(-1).cast("long").alias("request_id"),

@@ -268,7 +268,7 @@ def q_experiment_grid(spark, sf_dir):
         WHERE lang = 'en' OR text NOT IN (SELECT text FROM documents WHERE lang = 'en'))
     SELECT request_id, request, CASE WHEN length(request) % 11 = 0 THEN 'no points here'
         ELSE array_to_string(list_transform(list_filter(string_split(request, chr(10)), lambda x: x <> ''),
-            lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END AS response FROM todo""",
+            lambda x, i: (i - CASE WHEN i % 7 = 0 THEN 3 ELSE 0 END)::VARCHAR || '. ' || x), chr(10)) END AS response FROM todo""",
 )
 def q_resume_dump(spark, sf_dir):
     """First the English questions, then a second run over all of them that
@@ -315,7 +315,7 @@ def _routed(spark, sf_dir):
     SELECT request_id, outline AS text, 1 AS attempts, NULL::VARCHAR AS error FROM (
         SELECT request_id, CASE WHEN length(request) % 11 = 0 THEN 'no points here'
         ELSE array_to_string(list_transform(list_filter(string_split(request, chr(10)), lambda x: x <> ''),
-            lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END AS outline FROM requests)""",
+            lambda x, i: (i - CASE WHEN i % 7 = 0 THEN 3 ELSE 0 END)::VARCHAR || '. ' || x), chr(10)) END AS outline FROM requests)""",
 )
 def q_generate(spark, sf_dir):
     asked = requests(spark, sf_dir).select("request_id", as_messages(F.col("request")).alias("messages"))
@@ -434,7 +434,7 @@ def q_backend_registry(spark, sf_dir):
     f"""WITH {REQUESTS_SQL}, {PLAIN_SQL}, {POINTS_SQL}, {PLAIN_CONTENT_SQL}, named AS (
     SELECT 'naive' AS scheduler, request_id, CASE WHEN length(request) % 11 = 0 THEN 'no points here'
         ELSE array_to_string(list_transform(list_filter(string_split(request, chr(10)), lambda x: x <> ''),
-            lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END AS response FROM requests
+            lambda x, i: (i - CASE WHEN i % 7 = 0 THEN 3 ELSE 0 END)::VARCHAR || '. ' || x), chr(10)) END AS response FROM requests
     UNION ALL SELECT 'outline', o.request_id,
         coalesce(string_agg(text, chr(10) || chr(10) ORDER BY pos), '')
         FROM outlines o LEFT JOIN contents c ON o.request_id = c.request_id GROUP BY o.request_id
@@ -497,7 +497,7 @@ def q_gen_params(spark, sf_dir):
     SELECT request_id, CASE WHEN starts_with(whole, 'Q: ') THEN chr(32) || chr(9) || md5(whole) || chr(10)
         WHEN length(whole) % 11 = 0 THEN 'no points here'
         ELSE array_to_string(list_transform(list_filter(string_split(whole, chr(10)), lambda x: x <> ''),
-            lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END AS response,
+            lambda x, i: (i - CASE WHEN i % 7 = 0 THEN 3 ELSE 0 END)::VARCHAR || '. ' || x), chr(10)) END AS response,
         'summarize' AS stage FROM asked""",
 )
 def q_scheduler_naive(spark, sf_dir):
@@ -559,7 +559,7 @@ def q_scheduler_batch_outline(spark, sf_dir):
         CASE WHEN quality = 0 THEN CASE WHEN starts_with(request, 'Q: ') THEN NULL
             WHEN length(request) % 11 = 0 THEN 'no points here'
             ELSE array_to_string(list_transform(list_filter(string_split(request, chr(10)), lambda x: x <> ''),
-                lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END
+                lambda x, i: (i - CASE WHEN i % 7 = 0 THEN 3 ELSE 0 END)::VARCHAR || '. ' || x), chr(10)) END
         ELSE response END AS response
     FROM pointed p JOIN labels l ON p.request_id = l.doc_id JOIN requests r ON r.request_id = p.request_id""",
 )

@@ -80,12 +80,13 @@ PLAIN_PROMPTS = OutlinePrompts(
 
 def model_answer(messages: Column) -> Column:
     """A point is answered with the digest of all that was asked; anything else
-    with its own lines, numbered 1 to 7 over and over, or now and then without
-    any number."""
+    with all its lines numbered, every seventh with a number that has been before, or
+    now and then without any number."""
 
     def outline(asked: Column) -> Column:
+        number = lambda i: i + 1 - F.when(i % 7 == 6, 3).otherwise(0)
         numbered = F.transform(
-            lines(asked), lambda x, i: F.concat((i % 7 + 1).cast("string"), F.lit(". "), x)
+            lines(asked), lambda x, i: F.concat(number(i).cast("string"), F.lit(". "), x)
         )
         return F.when(F.length(asked) % 11 == 0, "no points here").otherwise(
             F.array_join(numbered, "\n")
@@ -116,7 +117,7 @@ def python_model():
                 texts.append("no points here")
             else:
                 kept = [x for x in whole.split("\n") if x != ""]
-                texts.append("\n".join(f"{i % 7 + 1}. {x}" for i, x in enumerate(kept)))
+                texts.append("\n".join(f"{i + 1 - 3 * (i % 7 == 6)}. {x}" for i, x in enumerate(kept)))
         return texts
 
     return call
@@ -126,7 +127,7 @@ def outline_answer_sql(whole: str) -> str:
     return f"""CASE WHEN length({whole}) % 11 = 0 THEN 'no points here'
         ELSE array_to_string(list_transform(
             list_filter(string_split({whole}, chr(10)), lambda x: x <> ''),
-            lambda x, i: ((i - 1) % 7 + 1)::VARCHAR || '. ' || x), chr(10)) END"""
+            lambda x, i: (i - CASE WHEN i % 7 = 0 THEN 3 ELSE 0 END)::VARCHAR || '. ' || x), chr(10)) END"""
 
 
 POINT_SQL = r"'([0-9]+)\.[\t\n\f\r ]?((?s:.)[^\n]*)'"
