@@ -59,29 +59,31 @@ class SegmentIds(dict):
         self.held = 0
 
     def __missing__(self, segment: str) -> bytes:
-        if len(segment) > LONGEST_KEPT:
-            return self._made(segment)
         made = self.before.get(segment)
         if made is None:
-            made = self._made(segment)
-        self.held += 150 + len(segment) + len(made)
-        if self.held > self.half:
-            self.before = dict(self)
-            self.clear()
-            self.held = 0
-        self[segment] = made
+            plain = _PLAIN.fullmatch(segment)
+            if plain:
+                word, rest = plain.groups()
+                small = word.lower() if self.lower else word
+                if rest or small != word:
+                    known = small in self
+                    made = self[small] + self[rest] if rest else self[small]
+                    if not known:
+                        # a new word is kept, what it first stood in is not
+                        return made
+                else:
+                    made = self.core(word)
+            else:
+                made = self.whole(segment)
+        if len(segment) <= LONGEST_KEPT:
+            self.held += 150 + len(segment) + len(made)
+            if self.held > self.half:
+                self.before = dict(self)
+                self.clear()
+                self.held = 0
+            self[segment] = made
         return made
 
-    def _made(self, segment: str) -> bytes:
-        plain = _PLAIN.fullmatch(segment)
-        if not plain:
-            return self.whole(segment)
-        word, rest = plain.groups()
-        small = word.lower() if self.lower else word
-        if rest:
-            return self[small] + self[rest]
-        return self.core(word) if small == word else self[small]
-
     def encode(self, text: str, cut: Callable[[str], list[str]] = _SEGMENTS.findall) -> bytes:
         if _ODD.search(text):
             return self.whole(text)

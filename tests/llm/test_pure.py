@@ -2,8 +2,12 @@
 
 import gzip
 import io
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +17,9 @@ from tokenizers import Tokenizer
 
 from promptloom.llm import bitpack, bpe, hnsw, minhash, packing, tokens, urlfilter, warc
 from promptloom.llm.common import WordHashes, shingle_sets
+from promptloom.llm.tokens import SegmentIds, encoder
 
+ROOT = str(Path(__file__).resolve().parents[2])
 ODD = [0x1C, 0x85, 0xA0, 0x2028, 0x3000, 32, 32, 10, 13, 9, 39, 97, 115, 65, 233, 0x301, 0x4E2D]
 ODD += [0x1F600, 0x661, 46, 33, 95, 48, 0x130, 0x3A3, 0xDF]
 
@@ -225,3 +231,43 @@ def test_kept_is_made_once_per_key():
 
     assert [kept(("t", k), make(k)) for k in (1, 1, 2, 1)] == [1, 1, 2, 1]
     assert made == [1, 2, 1]
+
+
+def test_text_without_spaces_does_not_grow_the_memo():
+    """50 MB in segments that never come again: a worker keeps none of them."""
+    draw, resource = random.Random(1), pytest.importorskip("resource")
+    encode = encoder(public_tokenizers.path("byte_bpe_50k.json"), added=True)
+    encode("some words to begin with " * 100)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _ in range(500):
+        encode("".join(draw.choices("abcdefghij0123456789", k=100_000)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_memo_keeps_to_its_bytes():
+    known = SegmentIds(lambda w: w.encode(), lambda t: t.encode(), memo_bytes=100_000)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"] * 3
+    assert known.encode(" ".join(words)) == " ".join(words).encode()
+    assert len(known) + len(known.before) < 100_000 // 150 + 2
+    long = "x" * 100
+    assert known[long] == long.encode() and long not in known
+
+
+def test_byte_bpe_without_the_package_on_the_workers(tmp_path):
+    """Only the driver finds the package; what travels to a worker needs no import."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+import public_tokenizers
+from pyspark.sql import SparkSession
+from promptloom.llm.bpe import encode_decode_digests
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+print(sorted(r.n_tokens for r in encode_decode_digests(docs, path, public_tokenizers.PATTERN).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert ran.stdout.strip().endswith("[0, 2]"), ran.stderr[-2000:]
