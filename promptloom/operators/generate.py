@@ -2,25 +2,41 @@
 
 Two kinds of backend. An :class:`ExpressionBackend` answers with a Column
 expression and stays in the JVM. A :class:`PythonBackend` is opened once per
-Python worker and called for Arrow batches of rows.
+Python worker and called for Arrow batches of rows. With a ``log`` every batch of
+answers is written down before the next call, so a task that is tried again, or a
+run that is started again, asks only what has no answer yet.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 import signal
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+@dataclass(frozen=True)
+class Answer:
+    """What a call may return instead of a bare text."""
+
+    text: str | None
+    prompt_tokens: int | None = None
+    completion_tokens: int | None = None
+    finish_reason: str | None = None
+
+
 # Called with a list of message lists and a list of settings, one per row.
-Call = Callable[[list[list], list[dict]], list[str]]
+Call = Callable[[list[list], list[dict]], list[str | Answer]]
 
 
 @dataclass(frozen=True)
@@ -41,6 +57,8 @@ class PythonBackend:
     wait_min: float = 8.0
     wait_max: float = 500.0
     timeout: float | None = None
+    rows_per_task: int | None = None  # tasks grow with the rows; None: one per core or partition
+    log: str | None = None  # a folder that driver and executors reach
     fatal: tuple[type[BaseException], ...] = field(default=())
 
 
@@ -52,6 +70,16 @@ OUTPUT = T.StructType(
         T.StructField("time", T.DoubleType()),
         T.StructField("attempts", T.IntegerType()),
         T.StructField("error", T.StringType()),
+        T.StructField(
+            "usage",
+            T.StructType(
+                [
+                    T.StructField("prompt_tokens", T.LongType()),
+                    T.StructField("completion_tokens", T.LongType()),
+                ]
+            ),
+        ),
+        T.StructField("finish_reason", T.StringType()),
     ]
 )
 
@@ -64,14 +92,16 @@ def generate(
     params: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Replace the messages by ``text, time, attempts, error``.
+    """Replace the messages by ``text, time, attempts, error, usage, finish_reason``.
 
     Rows are dealt over ``partitions`` by the hash of ``spread_by`` (which
     should identify a row), so that the points of one long outline do not all
     queue in one task. The number is explicit, because calls take longer than
     the size of their rows tells and adaptive execution would merge them into
-    few tasks. A call that fails for good leaves a null text and its error; it
-    never fails the task.
+    few tasks; with ``rows_per_task`` the rows are counted first, without their
+    messages, and tasks grow with them. A call that fails for good leaves a null text
+    and its error; it never fails the task. ``usage`` and ``finish_reason`` are null
+    unless the call returns an :class:`Answer`.
     """
     if isinstance(backend, ExpressionBackend):
         return df.withColumns(
@@ -80,8 +110,13 @@ def generate(
                 "time": F.lit(None).cast("double"),
                 "attempts": F.lit(1),
                 "error": F.lit(None).cast("string"),
+                "usage": F.lit(None).cast(OUTPUT["usage"].dataType),
+                "finish_reason": F.lit(None).cast("string"),
             }
         ).drop(messages)
+    if partitions is None and backend.rows_per_task:
+        # the messages are not made for the count
+        partitions = max(1, -(-df.select(*spread_by).count() // backend.rows_per_task))
     if partitions is None:
         spark = df.sparkSession
         partitions = max(
@@ -89,24 +124,43 @@ def generate(
             spark.sparkContext.defaultParallelism,
         )
     dealt = df.repartition(partitions, *spread_by)
+    if backend.log:
+        # the batches of a task are those of its earlier attempts
+        dealt = dealt.sortWithinPartitions(*spread_by)
     kept = [f for f in df.schema.fields if f.name != messages]
     schema = T.StructType([*kept, *OUTPUT.fields])
-    return dealt.mapInArrow(_runner(backend, messages, params), schema)
+    return dealt.mapInArrow(_runner(backend, messages, params, list(spread_by)), schema)
 
 
-def _runner(backend: PythonBackend, messages: str, params: str | None):
-    types = [pa.string(), pa.float64(), pa.int32(), pa.string()]
+def _runner(backend: PythonBackend, messages: str, params: str | None, keys: list[str]):
+    usage = pa.struct([("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64())])
+    types = [pa.string(), pa.float64(), pa.int32(), pa.string(), usage, pa.string()]
     names = OUTPUT.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = backend.open()
+        log = CallLog(backend.log) if backend.log else None
         step = backend.batch_rows if backend.batch else 1
         for batch in batches:
             asked = batch.column(messages).to_pylist()
             settings = batch.column(params).to_pylist() if params else [{}] * len(asked)
             answers = []
-            for at in range(0, len(asked), step):
-                answers += _attempt(backend, call, asked[at : at + step], settings[at : at + step])
+            for start in range(0, len(asked), backend.batch_rows):
+                stop = min(start + backend.batch_rows, len(asked))
+                if log:
+                    rows = [batch.column(k).slice(start, stop - start).to_pylist() for k in keys]
+                    name = log.name(rows, asked[start:stop], settings[start:stop])
+                    known = log.read(name)
+                    if known is not None:
+                        answers += known
+                        continue
+                new = []
+                for at in range(start, stop, step):
+                    end = min(at + step, stop)
+                    new += _attempt(backend, call, asked[at:end], settings[at:end])
+                if log:
+                    log.write(name, new)
+                answers += new
             # the other columns go through untouched
             kept = [c for c in batch.schema.names if c != messages]
             columns = [batch.column(c) for c in kept]
@@ -128,13 +182,52 @@ def _attempt(backend: PythonBackend, call: Call, asked: list[list], settings: li
             took = time.monotonic() - start
             if len(texts) != len(asked):
                 raise ValueError(f"{len(texts)} answers to {len(asked)} requests")
-            return [(text, took, attempt, None) for text in texts]
+            return [_row(text, took, attempt) for text in texts]
         except Exception as exc:
             error = f"{type(exc).__name__}: {exc}"
             if isinstance(exc, backend.fatal) or attempt == backend.attempts:
                 break
             time.sleep(_wait(backend, attempt))
-    return [(None, None, attempt, error)] * len(asked)
+    return [(None, None, attempt, error, None, None)] * len(asked)
+
+
+def _row(said: str | Answer, took: float, attempt: int) -> tuple:
+    if not isinstance(said, Answer):
+        return (said, took, attempt, None, None, None)
+    counts = {"prompt_tokens": said.prompt_tokens, "completion_tokens": said.completion_tokens}
+    told = None if said.prompt_tokens is None and said.completion_tokens is None else counts
+    return (said.text, took, attempt, None, told, said.finish_reason)
+
+
+class CallLog:
+    """Answers of finished calls, a file per ``batch_rows`` rows named by what was asked.
+
+    A file appears under its name only when it is whole, and holds no failed
+    answer. Batches are the same when a task is tried again, because rows are dealt
+    and sorted by their keys, which are part of the name.
+    """
+
+    def __init__(self, folder: str) -> None:
+        self.system, self.folder = fs.FileSystem.from_uri(folder)
+        self.system.create_dir(self.folder, recursive=True)
+
+    def name(self, *parts: list) -> str:
+        said = json.dumps(parts, default=str, ensure_ascii=True)
+        return f"{self.folder}/{hashlib.sha256(said.encode()).hexdigest()}.json"
+
+    def read(self, name: str) -> list[tuple] | None:
+        if self.system.get_file_info(name).type == fs.FileType.NotFound:
+            return None
+        with self.system.open_input_stream(name) as stream:
+            return [tuple(row) for row in json.loads(stream.read())]
+
+    def write(self, name: str, answers: list[tuple]) -> None:
+        if any(row[3] is not None for row in answers):
+            return
+        made = f"{name}.{uuid.uuid4().hex}"
+        with self.system.open_output_stream(made) as stream:
+            stream.write(json.dumps(answers, ensure_ascii=True).encode())
+        self.system.move(made, name)
 
 
 def _wait(backend: PythonBackend, attempt: int) -> float:

@@ -23,6 +23,7 @@ from promptloom.operators.generate import Backend, ExpressionBackend, error_sent
 from promptloom.operators.pairing import (
     align_n_answers,
     all_orders,
+    criteria_cross,
     pair_answers,
     permute_answers,
     swap_directions,
@@ -36,7 +37,8 @@ from promptloom.session import materialise
 def _reviewed(df: DataFrame, backend: Backend, spread_by: list[str]) -> DataFrame:
     """Add ``review`` and ``error``; a failed call reads as its sentinel."""
     asked = df.withColumn("asked", as_messages(F.col("evaluation_request")))
-    answered = generate(asked, backend, spread_by, messages="asked").drop("attempts", "time")
+    answered = generate(asked, backend, spread_by, messages="asked")
+    answered = answered.drop("attempts", "time", "usage", "finish_reason")
     if not isinstance(backend, ExpressionBackend):
         answered = materialise(answered)
     return answered.withColumn(
@@ -44,6 +46,16 @@ def _reviewed(df: DataFrame, backend: Backend, spread_by: list[str]) -> DataFram
     ).drop("text")
 
 
+def _unfinished(tables: Sequence[DataFrame], done: DataFrame | None) -> list[DataFrame]:
+    """The rows whose request text is not in ``done``, found by the first table alone, so
+    no answer meets another only to be left out."""
+    if done is None:
+        return list(tables)
+    left = skip_done(tables[0].select("request_id", "request"), done)
+    left = materialise(left.select("request_id").distinct(), "left")
+    return [table.join(left, "request_id", "left_semi") for table in tables]
+
+
 def pivot_pair_scores(long: DataFrame, key: str = "request_id") -> DataFrame:
     """Two rows per request to one: ``1_…`` and ``2_…`` columns by direction."""
     parts = ("evaluation_request", "evaluation", "score1", "score2")
@@ -71,8 +83,8 @@ def judge_pair(
     Requests whose text is in ``done`` are left out. The template is compiled
     into the plan; for templates by category use :func:`judge_pair_by_category`.
     """
-    paired = pair_answers(first, second, ["request_id"])
-    shown = swap_directions(skip_done(paired, done) if done is not None else paired)
+    first, second = _unfinished([first, second], done)
+    shown = swap_directions(pair_answers(first, second, ["request_id"]))
     asked = shown.withColumn(
         "evaluation_request",
         pair_judge_prompt(
@@ -151,23 +163,40 @@ def judge_list(
     Requests whose text is in ``done`` are left out.
     """
     n = len(tables)
-    instruction = F.lit(list_judge_instruction(prompt, n))
-    aligned = align_n_answers(tables)
-    shown = permute_answers(skip_done(aligned, done) if done is not None else aligned, n)
+    judged = judge_list_by_criteria(tables, backend, {"general": prompt}, done).drop("criterion")
+    return pivot_list_orders(judged, n) if wide else judged
+
+
+def judge_list_by_criteria(
+    tables: Sequence[DataFrame],
+    backend: Backend,
+    prompts: dict[str, str],
+    done: DataFrame | None = None,
+) -> DataFrame:
+    """Judge ``n`` answer tables by every criterion in all ``n!`` orders of presentation.
+
+    ``prompts`` has one instruction per criterion, with ``{num}`` and ``{num_str}`` for
+    the number of answers. The tables are merged once; criteria and orders come after
+    the shuffle. Requests whose text is in ``done`` are left out before the merge.
+    """
+    n = len(tables)
+    tables = _unfinished(tables, done)
+    instructions = {c: list_judge_instruction(p, n) for c, p in prompts.items()}
+    shown = criteria_cross(permute_answers(align_n_answers(tables), n), instructions)
     asked = shown.withColumn(
-        "evaluation_request", list_judge_prompt(F.col("request"), F.col("shown"), instruction)
-    ).drop("shown")
-    reviewed = _reviewed(asked, backend, ["request_id", "perm_index"])
+        "evaluation_request", list_judge_prompt(F.col("request"), F.col("shown"), F.col("prompt"))
+    ).drop("shown", "prompt")
+    reviewed = _reviewed(asked, backend, ["request_id", "criterion", "perm_index"])
     order = F.when(F.col("error").isNotNull(), F.array_repeat(F.lit(FAILED), n)).otherwise(
         parse_order(F.col("review"), n)
     )
-    long = reviewed.select(
+    return reviewed.select(
         "request_id",
         "request",
+        "criterion",
         "perm_index",
         "permutation",
         "evaluation_request",
         F.col("review").alias("evaluation"),
         unpermute_order(F.col("permutation"), order).alias("order"),
     )
-    return pivot_list_orders(long, n) if wide else long

@@ -52,7 +52,8 @@ def _ask(
 ) -> DataFrame:
     """Lay out and send ``asked``; written once if a Python worker answered."""
     df = df.withColumn("asked", layout(asked) if layout else asked)
-    answered = generate(df, backend, keys, messages="asked").drop("attempts")
+    answered = generate(df, backend, keys, messages="asked")
+    answered = answered.drop("attempts", "usage", "finish_reason")
     return answered if isinstance(backend, ExpressionBackend) else materialise(answered)
 
 

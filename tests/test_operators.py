@@ -3,6 +3,8 @@
 import json
 import time
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from promptloom.operators.backends import get_backend
 from promptloom.operators.chat import chunk_delta, chunk_sample, side_by_side
 from promptloom.operators.embeddings import mean_pool
-from promptloom.operators.generate import ExpressionBackend, PythonBackend, generate
+from promptloom.operators.generate import Answer, ExpressionBackend, PythonBackend, generate
 from promptloom.operators.metrics import confusion_matrix, multilabel_pairs, router_loss
 from promptloom.operators.pairing import (
     align_n_answers,
@@ -572,3 +574,63 @@ def test_masked_texts_and_impossible_labels(spark):
     assert [round(x, 9) for x in told[1]] == [0.6, 0.8] and told[2] == [0.0, 0.0]
     sure = spark.createDataFrame([(0.0, 1), (0.5, 1)], "prob double, label int")
     assert router_loss(sure).first()["loss_ce"] == float("inf")
+
+
+def test_a_broken_run_repeats_one_batch_of_calls(spark, tmp_path):
+    """The log has the answers of every batch finished before the model died."""
+    log, calls = f"file://{tmp_path}/log", tmp_path / "calls"
+    calls.mkdir()
+    asked = spark.createDataFrame(
+        [(i, [f"q{i % 5}"]) for i in range(40)], "request_id long, messages array<string>"
+    )
+
+    def model(dies_after):
+        def open_call():
+            made = 0
+
+            def call(messages, settings):
+                nonlocal made
+                if made == dies_after:
+                    raise SystemExit("the worker is gone")
+                made += 1
+                (calls / f"{uuid.uuid4().hex}").write_text(str(len(messages)))
+                return [Answer(m[0].upper(), 3, 1, "stop") for m in messages]
+
+            return call
+
+        return PythonBackend(open_call, batch=True, batch_rows=4, rows_per_task=40, log=log)
+
+    with pytest.raises(Exception, match="gone|Python worker"):
+        generate(asked, model(6), ["request_id"]).collect()
+    assert len(list(calls.iterdir())) == 6
+    rows = generate(asked, model(-1), ["request_id"]).collect()
+    assert len(list(calls.iterdir())) == 10
+    assert {r["request_id"]: r["text"] for r in rows} == {i: f"Q{i % 5}" for i in range(40)}
+    assert {(r["usage"]["prompt_tokens"], r["finish_reason"]) for r in rows} == {(3, "stop")}
+
+
+def test_failed_calls_are_not_in_the_log(spark, tmp_path):
+    asked = spark.createDataFrame([(1, ["q"])], "request_id long, messages array<string>")
+    log = f"file://{tmp_path}/log"
+    failing = PythonBackend(lambda: lambda m, s: 1 / 0, attempts=1, log=log)
+    assert generate(asked, failing, ["request_id"]).first()["error"] is not None
+    working = PythonBackend(lambda: lambda m, s: ["a"] * len(m), log=log)
+    assert generate(asked, working, ["request_id"]).first()["text"] == "a"
+
+
+def test_tasks_grow_with_the_rows(spark):
+    backend = PythonBackend(lambda: lambda m, s: ["a"] * len(m), rows_per_task=10)
+    asked = spark.range(95).select(
+        F.col("id").alias("request_id"), F.array(F.lit("q")).alias("messages")
+    )
+    assert generate(asked, backend, ["request_id"]).rdd.getNumPartitions() == 10
+
+
+def test_finished_requests_by_digest(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "request_id long, request string")
+    done = spark.createDataFrame([("a",), (None,), ("a",)], "request string")
+    assert sorted(r[0] for r in skip_done(df, done).collect()) == [2, 3]
+    lists = df.select("request_id", F.array("request").alias("request"))
+    assert sorted(r[0] for r in skip_done(lists, lists.where("request_id = 2")).collect()) == [1, 3, 4]
+    plan = skip_done(df, done)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_digest" in plan and "hashpartitioning(request" not in plan

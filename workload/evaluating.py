@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from promptloom.functions.messages import as_messages
 from promptloom.functions.scores import FAILED_REVIEW, parse_score_pair
 from promptloom.operators.backends import get_backend
 from promptloom.operators.generate import (
+    Answer,
     PythonBackend,
     error_sentinel,
     gen_params,
@@ -32,6 +35,7 @@ from promptloom.plans.dump import dump
 from promptloom.plans.experiment import experiment_grid
 from promptloom.plans.judge import (
     judge_list,
+    judge_list_by_criteria,
     judge_pair,
     judge_pair_by_category,
     pivot_list_orders,
@@ -339,6 +343,34 @@ def q_generate_batch(spark, sf_dir):
     return answered.select("request_id", "text", (F.col("time") >= 0).alias("same_batch_time"))
 
 
+@query(
+    "generate_usage",
+    """SELECT doc_id AS request_id, md5(text) AS text, length(text)::BIGINT AS prompt_tokens,
+        32::BIGINT AS completion_tokens, CASE WHEN length(text) % 3 = 0 THEN 'length' ELSE 'stop' END AS finish_reason
+    FROM documents""",
+)
+def q_generate_usage(spark, sf_dir):
+    """Answers with usage, written to a log by a first run; the second run, whose model
+    refuses every call, has them all from there."""
+    import hashlib
+
+    def open_call():
+        def answer(text):
+            reason = "length" if len(text) % 3 == 0 else "stop"
+            return Answer(hashlib.md5(text.encode()).hexdigest(), len(text), 32, reason)
+
+        return lambda asked, settings: [answer(a[0]) for a in asked]
+
+    asked = requests(spark, sf_dir).select("request_id", as_messages(F.col("request")).alias("messages"))
+    log = scratch_path(spark, "calls")
+    log = log if ":" in log else f"file://{log}"
+    first = PythonBackend(open_call, batch=True, batch_rows=64, rows_per_task=5000, log=log)
+    generate(asked, first, ["request_id"]).write.format("noop").mode("overwrite").save()
+    refusing = replace(first, open=lambda: lambda asked, settings: 1 / 0, attempts=1)
+    again = generate(asked, refusing, ["request_id"])
+    return again.select("request_id", "text", "usage.*", "finish_reason")
+
+
 class RefusedRequest(Exception):
     """A request that no retry will make acceptable."""
 
@@ -713,6 +745,27 @@ def q_judge_list(spark, sf_dir):
     )
 
 
+@query(
+    "judge_list_by_criteria",
+    f"""WITH {ANSWERS_SQL}, {_ORDERS_SQL}, {_list_judged_sql()}
+    SELECT request_id, 'general' AS criterion, perm_index, digest AS evaluation_request, review AS evaluation,
+        place1, place2, place3 FROM judged
+    UNION ALL SELECT request_id, 'diversity', perm_index, digest, review, place1, place2, place3 FROM judged""",
+)
+def q_judge_list_by_criteria(spark, sf_dir):
+    """Two criteria that ask the same, so that their answers are known; one merge."""
+    prompts = {"general": LIST_PROMPT, "diversity": LIST_PROMPT}
+    judged = judge_list_by_criteria([answers(spark, sf_dir, i) for i in range(3)], LIST_JUDGE, prompts)
+    return judged.select(
+        "request_id",
+        "criterion",
+        "perm_index",
+        F.md5("evaluation_request").alias("evaluation_request"),
+        "evaluation",
+        *[F.col("order")[i].alias(f"place{i + 1}") for i in range(3)],
+    )
+
+
 def _wide_columns() -> str:
     parts = []
     for i, p in enumerate([(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]):
