@@ -95,10 +95,9 @@ def collapse(
         .distinct(),
         "inner",
     )
-    maximal = (
-        ends.join(inner, "end", "left_anti").groupBy("end").agg(F.min("conv").alias("conv"))
-    )
-    maximal = materialise(maximal.select("conv"), "maximal")
+    # one row per end first: all copies of a conversation share it
+    leaders = ends.groupBy("end").agg(F.min("conv").alias("conv"))
+    maximal = materialise(leaders.join(inner, "end", "left_anti").select("conv"), "maximal")
     return told.join(maximal, "conv", "left_semi").drop("prefix")
 
 

@@ -62,7 +62,9 @@ def index_bytes(rules: dict[str, str], digest=digests_of) -> bytes:
 class RuleIndex:
     """A rule file mapped into memory."""
 
-    def __init__(self, file: str, digest=digests_of) -> None:
+    def __init__(self, file: str, digest=digests_of, longest_host: int | None = None) -> None:
+        # no rule has a longer host
+        self.longest_host = longest_host
         words = np.memmap(file, "<u8", "r", shape=(os.path.getsize(file) // 8,))
         n, k = int(words[0]), int(words[1])
         self.digest = digest
@@ -87,8 +89,7 @@ class RuleIndex:
 
     def candidates(self, host: str, path: str) -> list[str]:
         """Keys that could be rules for a url, longest first, then longest host."""
-        labels = host.split(".")
-        hosts = [".".join(labels[i:]) for i in range(len(labels))] if host else []
+        hosts = self._suffixes(host)
         keys = [
             (len(h) + n, len(h), h + path[:n])
             for h in hosts
@@ -97,6 +98,16 @@ class RuleIndex:
         ]
         return [key for _, _, key in sorted(keys, reverse=True)]
 
+    def _suffixes(self, host: str) -> list[str]:
+        """The host and the domains above it, as far as a rule's host could be one."""
+        most = len(host) if self.longest_host is None else self.longest_host
+        found = [host] if host and len(host) <= most else []
+        dot = host.find(".", max(0, len(host) - most - 1))
+        while dot >= 0:
+            found.append(host[dot + 1 :])
+            dot = host.find(".", dot + 1)
+        return found
+
     def judge(self, urls: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
         """Rule and verdict of every host and path; the longest fitting rule wins."""
         keys = [self.candidates(*u) for u in urls]
@@ -152,8 +163,10 @@ def filter_urls(
         pair.alias("pair"),
     )
 
+    longest = max((len(rule.partition("/")[0]) for rule in rules), default=0)
+
     def open_():
-        index = RuleIndex(SparkFiles.get(name))
+        index = RuleIndex(SparkFiles.get(name), longest_host=longest)
 
         def work(pairs):
             parts = [(int(n), both) for n, _, both in (p.partition("\n") for p in pairs)]

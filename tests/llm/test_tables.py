@@ -1,6 +1,7 @@
 """Corpus operators on small tables: nulls, empty texts, repeats, empty tables, odd columns."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -222,3 +223,22 @@ def test_pipeline(spark, sf_dir):
     assert 0 < told.select("doc_id").distinct().count() < docs.count()
     for _, stage in corpus_pipeline.STAGES[1:3]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_urls_with_very_long_hosts(spark):
+    """A host of half a million labels costs no more than the longest rule's host."""
+    host = "a." * 500_000
+    urls = [f"http://{host}example.com/en/x", f"http://{host}", "http://" + "y" * 1_000_000 + "/es/", "http://net./es/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    start = time.time()
+    told = {r.row.page_id: r.rule for r in filter_urls(df, URL_RULES).collect()}
+    assert told == {0: "example.com/en/", 1: None, 2: None, 3: None}
+    assert time.time() - start < 30
+
+
+def test_copies_of_a_conversation_meet_as_one_row(spark):
+    turns = [(c, t, "user", f"t{t}") for c in range(50) for t in range(2)]
+    turns += [(99, t, "user", f"t{t}") for t in range(3)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    assert {r.conv for r in collapse(df).collect()} == {99}
+    assert {r.conv for r in collapse(df.where("conv_id < 99")).collect()} == {0}
