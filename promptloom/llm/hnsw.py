@@ -23,7 +23,9 @@ LINKS = 16  # per node above the ground level, twice as many on it
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 160
 SHARD_ROWS = 40_000
-LEAST_SHARDS = 12
+# smaller tables have fewer rows a shard, to keep cores busy, but no less than this
+LEAST_ROWS = 2_000
+BUSY_SHARDS = 12
 QUERY_BLOCK = 20_000
 STEP = 256  # inserts or queries at once
 SLICE = 16
@@ -207,19 +209,20 @@ _GRAPH = "shard long, dim int, nodes binary, vectors binary, sizes array<int>, l
 def build_shards(nodes: DataFrame, count: int) -> DataFrame:
     """One row per shard: its nodes, vectors and flat neighbour arrays.
 
-    ``nodes`` has ``shard, dim, node, vector, top``, with ``top`` the largest squared
-    length of all vectors. A shard's rows are at most a few ten thousand, by the
-    number of shards.
+    ``nodes`` has ``shard, dim, node, vector``. A shard's rows are at most a few ten
+    thousand, by the number of shards. One more component brings its vectors to the
+    length of its longest one; the graph is built in doubles, because that component
+    may be much larger than all others.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys = group["node"].to_numpy(np.int64)
         levels = _levels(keys)
         order = np.lexsort((keys, -levels))
-        vectors = np.stack(group["vector"].to_numpy())[order].astype(np.float32)
-        square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-        more = np.sqrt(np.maximum(group["top"].iloc[0] - square, 0.0))
-        graph = Graph(np.column_stack((vectors, more)).astype(np.float32), levels[order])
+        vectors = np.stack(group["vector"].to_numpy())[order].astype(np.float64)
+        square = (vectors**2).sum(axis=1)
+        more = np.sqrt(square.max() - square)
+        graph = Graph(np.column_stack((vectors, more)), levels[order])
         graph.build()
         return pd.DataFrame(
             {
@@ -337,15 +340,24 @@ def nearest(
     square = F.aggregate(
         "vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
     )
-    told = nodes.agg(F.count("*").alias("n"), F.max(square).alias("top")).first()
-    shards = max(LEAST_SHARDS, -(-told["n"] // SHARD_ROWS))
-    dealt = nodes.select(
-        F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).alias("shard"),
-        F.size("vector").alias("dim"),
-        "node",
-        "vector",
-        F.lit(told["top"]).cast("double").alias("top"),
+    n = nodes.count()
+    shards = max(1, -(-n // SHARD_ROWS), min(BUSY_SHARDS, n // LEAST_ROWS))
+    # vectors share a shard only if their lengths differ by a factor of two at most
+    # (the shift keeps lengths around 1 together)
+    band = F.floor(F.log2(square) / 2 + 0.25)
+    dealt = materialise(
+        nodes.select("node", "vector", F.size("vector").alias("dim"), band.alias("band"))
+        .repartitionByRange(shards, "band", F.xxhash64("node", F.lit(3)))
+        .withColumn("part", F.spark_partition_id()),
+        "dealt",
     )
+    # as many rows as shards and bands
+    parts = sorted(map(tuple, dealt.select("part", "band").distinct().collect()))
+    numbers = dealt.sparkSession.createDataFrame(
+        [(*p, i) for i, p in enumerate(parts)], "part int, band long, shard long"
+    )
+    dealt = dealt.join(F.broadcast(numbers), ["part", "band"]).drop("part", "band")
+    shards = max(len(parts), 1)
     graphs = materialise(build_shards(dealt, shards), "graphs")
     asked = materialise(
         cleaned(queries)
