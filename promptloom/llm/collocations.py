@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from promptloom.llm.common import CHUNK_BYTES, KeyFilter, WordHashes, mix, slices
+from promptloom.llm.common import CHUNK_BYTES, KeyFilter, WordHashes, mix, slices, small_batches
 from promptloom.session import materialise
 
 LONGEST = 5
@@ -296,6 +296,7 @@ def collocations(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         F.col(text).alias("text"),
     )
+    small_batches(df.sparkSession)
     seed = 0
     while True:
         hashes = _opener(seed)

@@ -11,13 +11,16 @@ from collections.abc import Callable, Hashable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 FILTER_BITS = 1 << 27  # bound of a filter that goes to the workers, 16 MB
 
+_HOLDER = "_promptloom_kept"
+
 # Called with the texts of a chunk, returns one Arrow array per output field.
 Texts = Callable[[list], Sequence[pa.Array]]
 
@@ -44,9 +47,10 @@ def map_texts(
 
     ``open_`` runs once per task that has rows. Texts reach its result in chunks
     of a few MB, whatever the Arrow batch holds, so a worker's memory follows the
-    chunk or the longest single text. What an earlier operator left with ``kept`` on
+    chunk or the longest single text. Batches themselves hold few rows. What an earlier operator left with ``kept`` on
     the worker goes first, unless ``open_`` says by ``remembers`` that it uses it.
     """
+    small_batches(df.sparkSession)
     source = df.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*(source.schema[name] for name in keep), *fields])
     names = list(keep)
@@ -56,7 +60,7 @@ def map_texts(
         for batch in batches:
             if work is None:
                 if not remembers:
-                    kept("nothing", lambda: None)
+                    forget()
                 work = open_()
             for start, stop in slices(batch.column(text)):
                 part = batch.slice(start, stop - start)
@@ -69,6 +73,25 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session have more than ``BATCH_ROWS`` rows.
+
+    Rows here are whole texts: with Spark's default of 10,000 a batch of each task would
+    be held by the JVM, in buffers of twice its size, and by its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def forget() -> None:
+    """Drop what an earlier operator left on this worker with ``kept``."""
+    holder = sys.modules.get(_HOLDER)
+    if getattr(holder, "value", None) is not None:
+        kept("nothing", lambda: None)
+        give_back()
+
+
 def give_back() -> None:
     """Return memory that this worker has freed to the system, for the tasks of others."""
     gc.collect()
@@ -86,8 +109,7 @@ def kept(key: Hashable, make: Callable[[], object]):
     what should outlast a task hangs on a module of the worker's process. Only the
     latest key is held, and nothing is shared between workers.
     """
-    name = "_promptloom_kept"
-    holder = sys.modules.setdefault(name, types.ModuleType(name))
+    holder = sys.modules.setdefault(_HOLDER, types.ModuleType(_HOLDER))
     if getattr(holder, "key", None) != key:
         holder.key = holder.value = None
         holder.value = make()

@@ -24,7 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import KeyFilter, WordHashes, field, map_texts, mix, shingle_sets, slices
+from promptloom.llm.common import (
+    KeyFilter,
+    WordHashes,
+    field,
+    map_texts,
+    mix,
+    shingle_sets,
+    slices,
+    small_batches,
+)
 from promptloom.llm.components import components
 from promptloom.session import materialise
 
@@ -67,6 +76,7 @@ def shingle_levels(df: DataFrame, text: str) -> np.ndarray:
                 [pa.array(own), pa.array(count[own])], names=["slot", "n"]
             )
 
+    small_batches(df.sparkSession)
     told = (
         df.select(F.col(text).alias("text"))
         .mapInArrow(run, "slot long, n long")
@@ -129,6 +139,7 @@ def whole_sets(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Data
     """
     ids = KeyFilter.of(wanted.select(F.xxhash64("id").alias("key"))).words
     known = df.sparkSession.sparkContext.broadcast(ids)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, passes = WordHashes(), KeyFilter(known.value)
