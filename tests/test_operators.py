@@ -24,6 +24,7 @@ from promptloom.operators.resume import skip_done
 from promptloom.operators.stats import tokenizer_counter
 from promptloom.plans import schedulers
 from promptloom.plans.dump import dump
+from promptloom.plans.experiment import grid_answers, run_grid
 from promptloom.plans.judge import judge_list, judge_pair, judge_pair_by_category
 from promptloom.plans.router import (
     RouterModel,
@@ -634,3 +635,30 @@ def test_finished_requests_by_digest(spark):
     assert sorted(r[0] for r in skip_done(lists, lists.where("request_id = 2")).collect()) == [1, 3, 4]
     plan = skip_done(df, done)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_digest" in plan and "hashpartitioning(request" not in plan
+
+
+def test_grid_goes_on_where_it_broke_off(spark, tmp_path):
+    rows = [(i, f"q{i}", "d/1" if i % 2 else "d2") for i in range(6)]
+    asked = spark.createDataFrame(rows, "request_id long, request string, dataset string")
+    upper = ExpressionBackend(lambda m: F.upper(F.get(m, F.lit(0))))
+    runs = []
+
+    def way(name, dies=False):
+        def schedule(part, model):
+            runs.append(name)
+            if dies:
+                raise InterruptedError
+            return schedulers.naive(part, model)
+
+        return schedule
+
+    path = str(tmp_path / "grid")
+    with pytest.raises(InterruptedError):
+        run_grid(asked, ["d/1", "d2"], {"m": upper}, {"a": way("a"), "b": way("b", True)}, path)
+    assert runs == ["a", "b"]
+    run_grid(asked, ["d/1", "d2"], {"m": upper}, {"a": way("a"), "b": way("b")}, path)
+    assert runs == ["a", "b", "b", "a", "b"]
+    run_grid(asked, ["d/1", "d2"], {"m": upper}, {"a": way("a"), "b": way("b")}, path)
+    assert len(runs) == 5
+    told = grid_answers(spark, path).groupBy("dataset", "scheduler").count().collect()
+    assert sorted(map(tuple, told)) == [("d/1", "a", 3), ("d/1", "b", 3), ("d2", "a", 3), ("d2", "b", 3)]

@@ -11,6 +11,7 @@ from promptloom.functions.scores import FAILED_REVIEW, parse_score_pair
 from promptloom.operators.backends import get_backend
 from promptloom.operators.generate import (
     Answer,
+    ExpressionBackend,
     PythonBackend,
     error_sentinel,
     gen_params,
@@ -32,7 +33,7 @@ from promptloom.operators.points import assemble_blank_line, assemble_newline, e
 from promptloom.operators.resume import skip_done
 from promptloom.plans import schedulers
 from promptloom.plans.dump import dump
-from promptloom.plans.experiment import experiment_grid
+from promptloom.plans.experiment import experiment_grid, grid_answers, run_grid
 from promptloom.plans.judge import (
     judge_list,
     judge_list_by_criteria,
@@ -60,6 +61,7 @@ from workload.fixtures import (
     SWITCHED_SQL,
     answers,
     list_prompt_sql,
+    outline_answer_sql,
     multi_turn,
     order_sql,
     pair_prompt_sql,
@@ -266,6 +268,40 @@ def q_experiment_grid(spark, sf_dir):
     return experiment_grid(rows, ["m0", "m1", "m2"], ["naive", "outline"], done)
 
 
+@query(
+    "experiment_run",
+    f"""WITH a AS (SELECT doc_id AS request_id, lang AS dataset, text AS plain, 'Please: ' || text AS polite
+        FROM documents WHERE lang IN ('de', 'es'))
+    SELECT dataset, 'm0' AS model, 'naive' AS scheduler, request_id, md5({outline_answer_sql("plain")}) AS response FROM a
+    UNION ALL SELECT dataset, 'm0', 'polite', request_id, md5({outline_answer_sql("polite")}) FROM a
+    UNION ALL SELECT dataset, 'm1', 'naive', request_id, md5('Re: ' || plain) FROM a
+    UNION ALL SELECT dataset, 'm1', 'polite', request_id, md5('Re: ' || polite) FROM a""",
+)
+def q_experiment_run(spark, sf_dir):
+    """Two models and two schedulers on two datasets; a first run breaks off in its
+    second cell, the second one finishes the grid."""
+    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.col("lang").alias("dataset"))
+    asked = requests(spark, sf_dir).join(lang, "request_id")
+    reply = ExpressionBackend(lambda m: F.concat(F.lit("Re: "), F.array_join(m, " ")))
+    ways = {
+        "naive": schedulers.naive,
+        "polite": lambda part, model: schedulers.naive(part, model, "Please: {request}"),
+    }
+    path = scratch_path(spark, "grid")
+
+    def broken(part, model):
+        raise InterruptedError("the run is broken off")
+
+    try:
+        run_grid(asked, ["de", "es"], {"m0": MODEL, "m1": reply}, ways | {"polite": broken}, path)
+    except InterruptedError:
+        run_grid(asked, ["de", "es"], {"m0": MODEL, "m1": reply}, ways, path, slices=2)
+    answered = grid_answers(spark, path)
+    return answered.select(
+        "dataset", "model", "scheduler", "request_id", F.md5("response").alias("response")
+    )
+
+
 @query(
     "resume_dump",
     f"""WITH {REQUESTS_SQL}, todo AS (SELECT r.* FROM requests r JOIN documents d ON d.doc_id = r.request_id
