@@ -91,6 +91,7 @@ def generate(
     messages: str = "messages",
     params: str | None = None,
     partitions: int | None = None,
+    render: Column | None = None,
 ) -> DataFrame:
     """Replace the messages by ``text, time, attempts, error, usage, finish_reason``.
 
@@ -100,10 +101,12 @@ def generate(
     the size of their rows tells and adaptive execution would merge them into
     few tasks; with ``rows_per_task`` the rows are counted first, without their
     messages, and tasks grow with them. A call that fails for good leaves a null text
-    and its error; it never fails the task. ``usage`` and ``finish_reason`` are null
+    and its error; it never fails the task. With ``render`` the messages are made from
+    the other columns where the call is, so only what they are made of is dealt. ``usage`` and ``finish_reason`` are null
     unless the call returns an :class:`Answer`.
     """
     if isinstance(backend, ExpressionBackend):
+        df = df if render is None else df.withColumn(messages, render)
         return df.withColumns(
             {
                 "text": backend.answer(F.col(messages)),
@@ -127,6 +130,8 @@ def generate(
     if backend.log:
         # the batches of a task are those of its earlier attempts
         dealt = dealt.sortWithinPartitions(*spread_by)
+    if render is not None:
+        dealt = dealt.withColumn(messages, render)
     kept = [f for f in df.schema.fields if f.name != messages]
     schema = T.StructType([*kept, *OUTPUT.fields])
     return dealt.mapInArrow(_runner(backend, messages, params, list(spread_by)), schema)

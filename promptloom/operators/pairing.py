@@ -176,7 +176,7 @@ def template_lookup(
     """Add the judge prompt and template of the question's category.
 
     A category without templates uses ``default``'s; a question without a
-    category fails the job. The category table grows with the questions and is
+    category, or with two, fails the job. The category table grows with the questions and is
     joined by shuffle, with hot texts spread; the templates are broadcast when
     a bounded count shows they are few.
     """
@@ -185,13 +185,20 @@ def template_lookup(
         F.first("prompt").alias("prompt"), F.first("prompt_template").alias("prompt_template")
     ).first()
     hot = find_hot_keys(questions, ["request"], rows_per_task)
-    with_category = join_spread(questions, categories, ["request"], "left", row_key, hot)
+    # a question listed twice with one category is listed once
+    single = categories.groupBy("request").agg(
+        F.min("category").alias("category"), F.max("category").alias("_other")
+    )
+    with_category = join_spread(questions, single, ["request"], "left", row_key, hot)
     checked = with_category.withColumn(
         "category",
-        F.when(F.col("category").isNotNull(), F.col("category")).otherwise(
-            F.raise_error(F.concat(F.lit("not in the prompt file: "), F.col("request")))
-        ),
-    )
+        F.when(F.col("category") == F.col("_other"), F.col("category"))
+        .when(
+            F.col("category").isNull(),
+            F.raise_error(F.concat(F.lit("not in the prompt file: "), F.col("request"))),
+        )
+        .otherwise(F.raise_error(F.concat(F.lit("two categories for: "), F.col("request")))),
+    ).drop("_other")
     missing = F.raise_error(F.concat(F.lit("no judge template for category "), F.col("category")))
     return checked.join(known, "category", "left").withColumns(
         {

@@ -50,9 +50,10 @@ def normalise(requests: DataFrame) -> DataFrame:
 def _ask(
     df: DataFrame, backend: Backend, asked: Column, layout: Layout | None, keys: list[str]
 ) -> DataFrame:
-    """Lay out and send ``asked``; written once if a Python worker answered."""
-    df = df.withColumn("asked", layout(asked) if layout else asked)
-    answered = generate(df, backend, keys, messages="asked")
+    """Lay out and send ``asked``, made after the rows are dealt; written once if a Python
+    worker answered."""
+    rendered = layout(asked) if layout else asked
+    answered = generate(df, backend, keys, messages="asked", render=rendered)
     answered = answered.drop("attempts", "usage", "finish_reason")
     return answered if isinstance(backend, ExpressionBackend) else materialise(answered)
 

@@ -662,3 +662,27 @@ def test_grid_goes_on_where_it_broke_off(spark, tmp_path):
     assert len(runs) == 5
     told = grid_answers(spark, path).groupBy("dataset", "scheduler").count().collect()
     assert sorted(map(tuple, told)) == [("d/1", "a", 3), ("d/1", "b", 3), ("d2", "a", 3), ("d2", "b", 3)]
+
+
+def test_prompts_are_made_where_the_call_is(spark):
+    backend = PythonBackend(lambda: lambda m, s: ["a"] * len(m))
+    asked = spark.createDataFrame([(1, "question")], "request_id long, request string")
+    answered = generate(
+        asked, backend, ["request_id"], render=F.array(F.concat(F.lit("a long prompt: "), "request"))
+    )
+    plan = answered._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("a long prompt") < plan.index("Exchange hashpartitioning")
+    assert answered.first()["text"] == "a"
+
+
+def test_a_question_with_two_categories_fails(spark):
+    questions = spark.createDataFrame([(1, "q"), (2, "r")], "request_id long, request string")
+    templates = spark.createDataFrame(
+        [("general", "p", "t"), ("x", "p2", "t2")], "category string, prompt string, prompt_template string"
+    )
+    twice = spark.createDataFrame([("q", "x"), ("q", "x"), ("r", "other")], "request string, category string")
+    told = template_lookup(questions, twice, templates).collect()
+    assert sorted((r["request_id"], r["prompt"]) for r in told) == [(1, "p2"), (2, "p")]
+    two = twice.union(spark.createDataFrame([("q", "general")], twice.schema))
+    with pytest.raises(Exception, match="two categories for: q"):
+        template_lookup(questions, two, templates).collect()
