@@ -242,3 +242,21 @@ def test_copies_of_a_conversation_meet_as_one_row(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
     assert {r.conv for r in collapse(df).collect()} == {99}
     assert {r.conv for r in collapse(df.where("conv_id < 99")).collect()} == {0}
+
+
+def test_pipeline_keeps_unrelated_texts_of_one_id(spark, sf_dir):
+    """Near-dedup by id and text, against the same done by hand."""
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join(f"v{i}" for i in range(60))
+    rows = [
+        (1, a), (2, a.upper()), (2, b), (3, b + " end"), (4, "short text"), (4, "another text"), (4, "short text"),
+        (None, a), (None, None), (7, None), (7, ""), (8, a + " more"),
+    ]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    df = made.withColumns({c: F.lit(1) for c in ("key", "digest", "kept", "lang")})
+    left = corpus_pipeline.drop_near_duplicates(spark, df, sf_dir)
+    assert left.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    assert got == Counter(
+        [(1, a), (2, b), (4, "short text"), (4, "another text"), (None, a), (None, None), (7, None), (7, "")]
+    )
