@@ -18,9 +18,7 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the limit, in all their columns."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    score = "score"
-    while score in {c.lower() for c in docs.columns}:
-        score += "_"
+    score = _fresh("score", docs.columns)
     return toxicity(docs, labels, out=score).where(F.col(score) < TOXIC).drop(score)
 
 
@@ -32,20 +30,42 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates.
 
-    Rows without an id stay. Of rows that repeat an id one stays.
+    Rows without an id stay. Of rows that repeat an id and text one stays; texts that
+    share an id without being near duplicates all stay, and of those that are the one
+    with the smallest digest.
     """
-    judged = near_duplicates(docs).where("doc_id IS NOT NULL")
-    away = materialise(judged.where("NOT kept").select("doc_id").distinct(), "away")
-    # the join renames nothing, so columns of any name pass
-    left = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    again = materialise(
-        docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"), "again"
-    )
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return left
-    once = left.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rest = left.join(again.select("doc_id"), "doc_id", "left_anti")
-    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+        # the joins rename nothing, so columns of any name pass
+        return docs.join(_away(docs, "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    digest, key = (_fresh(name, docs.columns) for name in ("digest", "key"))
+    told = docs.withColumn(digest, F.xxhash64("text"))
+    # numbers in the order of id and digest stand for the two
+    keys = (
+        told.where("doc_id IS NOT NULL")
+        .select("doc_id", digest)
+        .distinct()
+        .repartitionByRange("doc_id", digest)
+        .sortWithinPartitions("doc_id", digest)
+        .withColumn(key, F.monotonically_increasing_id())
+    )
+    told = told.join(materialise(keys, "keys"), ["doc_id", digest], "left")
+    told = materialise(told.select(*docs.columns, key), "keyed")
+    left = told.join(_away(told, key).withColumnRenamed("doc_id", key), key, "left_anti")
+    named = left.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return named.unionByName(left.where(F.col(key).isNull())).select(*docs.columns)
+
+
+def _away(docs: DataFrame, key: str) -> DataFrame:
+    """``doc_id``: the keys of documents that have a near duplicate of a smaller key."""
+    judged = near_duplicates(docs, doc_id=key).where("doc_id IS NOT NULL AND NOT kept")
+    return materialise(judged.select("doc_id").distinct(), "away")
+
+
+def _fresh(name: str, taken: list[str]) -> str:
+    while name in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
