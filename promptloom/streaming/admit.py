@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.operators.chat import admit_message
@@ -83,6 +83,11 @@ def admit_batch(
     return decisions, loads.where(F.col("slot") >= oldest)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def admit_stream(
     events: DataFrame,
     path: str,
@@ -97,7 +102,8 @@ def admit_stream(
     ``events`` has ``event_id, ip, ts, is_load, text, flagged, n_messages``. A
     batch is decided by plain joins. Its decisions and the loads it carries on
     belong to its number and are overwritten if it is tried again, so every
-    message is decided once.
+    message is decided once. Loads are kept for the last two batches only: one that is
+    tried again needs those of the batch before it.
     """
     spark = events.sparkSession
     state = f"{checkpoint}/loads"
@@ -112,6 +118,8 @@ def admit_stream(
         decisions.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         loads.write.mode("overwrite").parquet(f"{state}/{batch_id}")
         batch.unpersist()
+        if batch_id >= 2:
+            _remove(spark, f"{state}/{batch_id - 2}")
 
     (
         events.writeStream.foreachBatch(step)
