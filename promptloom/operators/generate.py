@@ -92,6 +92,8 @@ def generate(
     params: str | None = None,
     partitions: int | None = None,
     render: Column | None = None,
+    unfold: Callable[[DataFrame], DataFrame] | None = None,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Replace the messages by ``text, time, attempts, error, usage, finish_reason``.
 
@@ -102,10 +104,13 @@ def generate(
     few tasks; with ``rows_per_task`` the rows are counted first, without their
     messages, and tasks grow with them. A call that fails for good leaves a null text
     and its error; it never fails the task. With ``render`` the messages are made from
-    the other columns where the call is, so only what they are made of is dealt. ``usage`` and ``finish_reason`` are null
+    the other columns where the call is, so only what they are made of is dealt. ``unfold`` does the
+    same for rows that make several calls each: it gives the rows of the calls, which ``keys`` identify,
+    with their messages and the columns to keep. ``usage`` and ``finish_reason`` are null
     unless the call returns an :class:`Answer`.
     """
     if isinstance(backend, ExpressionBackend):
+        df = df if unfold is None else unfold(df)
         df = df if render is None else df.withColumn(messages, render)
         return df.withColumns(
             {
@@ -117,24 +122,31 @@ def generate(
                 "finish_reason": F.lit(None).cast("string"),
             }
         ).drop(messages)
-    if partitions is None and backend.rows_per_task:
-        # the messages are not made for the count
-        partitions = max(1, -(-df.select(*spread_by).count() // backend.rows_per_task))
+    keys = list(keys or spread_by)
     if partitions is None:
-        spark = df.sparkSession
-        partitions = max(
-            int(spark.conf.get("spark.sql.shuffle.partitions")),
-            spark.sparkContext.defaultParallelism,
-        )
+        partitions = call_tasks(df if unfold is None else unfold(df), backend, keys)
     dealt = df.repartition(partitions, *spread_by)
     if backend.log:
         # the batches of a task are those of its earlier attempts
         dealt = dealt.sortWithinPartitions(*spread_by)
     if render is not None:
         dealt = dealt.withColumn(messages, render)
-    kept = [f for f in df.schema.fields if f.name != messages]
+    if unfold is not None:
+        dealt = unfold(dealt)
+    kept = [f for f in dealt.schema.fields if f.name != messages]
     schema = T.StructType([*kept, *OUTPUT.fields])
-    return dealt.mapInArrow(_runner(backend, messages, params, list(spread_by)), schema)
+    return dealt.mapInArrow(_runner(backend, messages, params, keys), schema)
+
+
+def call_tasks(calls: DataFrame, backend: PythonBackend, keys: Sequence[str]) -> int:
+    """Over how many tasks these calls are dealt."""
+    if backend.rows_per_task:
+        # the messages are not made for the count
+        return max(1, -(-calls.select(*keys).count() // backend.rows_per_task))
+    spark = calls.sparkSession
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
 
 
 def _runner(backend: PythonBackend, messages: str, params: str | None, keys: list[str]):

@@ -27,7 +27,13 @@ from promptloom.functions.template import (
     render_template,
 )
 from promptloom.functions.text import strip
-from promptloom.operators.generate import Backend, ExpressionBackend, generate
+from promptloom.operators.generate import (
+    Backend,
+    ExpressionBackend,
+    PythonBackend,
+    call_tasks,
+    generate,
+)
 from promptloom.operators.pairing import split_route
 from promptloom.operators.points import assemble, explode_points
 from promptloom.session import materialise
@@ -37,6 +43,11 @@ Layout = Callable[[Column], Column]
 
 POINTS = "array<struct<point:string,point_outline:string>>"
 
+# points of an outline that are asked for in one task, unless there are few requests
+PIECE_POINTS = 256
+# an outline goes to no more tasks than this, so its text travels a bounded number of times
+MOST_PIECES = 8
+
 
 def normalise(requests: DataFrame) -> DataFrame:
     """``request_id, messages`` from a ``request`` text or a ``messages`` array."""
@@ -143,15 +154,7 @@ def _expanded(
         )
         return done.withColumn("response", F.array_join("contents", separator))
 
-    rows = explode_points(
-        plan.select("request_id", "messages", "outline", "points")
-    ).where(F.col("pos").isNotNull())
-    asked, partial = point_parts(
-        F.col("messages"), F.col("outline"), F.col("point"), F.col("point_outline"), prompts
-    )
-    # only what the call needs travels; question and outline are joined back by request
-    slim = rows.select("request_id", "pos", partial.alias("partial"), asked.alias("asked_for"))
-    answered = _ask(slim, backend, F.col("asked_for"), layout, ["request_id", "pos"]).drop("asked_for")
+    answered = _ask_points(plan, backend, prompts, layout)
     contents = assemble(answered, separator, stripped, extra=("time", "error"))
     failed = F.get(F.filter("error", lambda e: e.isNotNull()), F.lit(0))
     return plan.join(contents, "request_id", "left").withColumns(
@@ -164,6 +167,52 @@ def _expanded(
     )
 
 
+def _ask_points(
+    plan: DataFrame, backend: PythonBackend, prompts: OutlinePrompts, layout: Layout | None
+) -> DataFrame:
+    """``request_id, pos, partial, text, time, error`` of every point of the outlines.
+
+    Question and outline are dealt once per piece of an outline and its points unfold where
+    the calls are, so what travels and what is written grow with the texts and not
+    with texts times points. A piece is all points of an outline but of a very long one, or
+    where there are fewer requests than keep the tasks busy.
+    """
+
+    def unfold(pieces: DataFrame) -> DataFrame:
+        rows = pieces.select(
+            "request_id", "messages", "outline", "first", F.posexplode("points").alias("at", "p")
+        )
+        asked, partial = point_parts(
+            F.col("messages"), F.col("outline"), F.col("p.point"), F.col("p.point_outline"), prompts
+        )
+        return rows.select(
+            "request_id",
+            (F.col("first") + F.col("at")).alias("pos"),
+            partial.alias("partial"),
+            (layout(asked) if layout else asked).alias("asked"),
+        )
+
+    whole = plan.where(F.size("points") > 0).select("request_id", "messages", "outline", "points")
+    tasks = call_tasks(unfold(whole.withColumn("first", F.lit(0))), backend, ["request_id", "pos"])
+    n = F.size("points")
+    least = -(-4 * tasks // max(plan.count(), 1))
+    pieces = F.least(n, F.greatest(F.lit(least), F.least(F.ceil(n / PIECE_POINTS), F.lit(MOST_PIECES))))
+    step = F.ceil(n / pieces).cast("int")
+    cut = whole.withColumn("first", F.explode(F.sequence(F.lit(0), n - 1, step))).withColumn(
+        "points", F.slice("points", F.col("first") + 1, step)
+    )
+    answered = generate(
+        cut,
+        backend,
+        ["request_id", "first"],
+        messages="asked",
+        partitions=tasks,
+        unfold=unfold,
+        keys=["request_id", "pos"],
+    )
+    return materialise(answered.drop("attempts", "usage", "finish_reason"))
+
+
 def outline(
     requests: DataFrame,
     backend: Backend,

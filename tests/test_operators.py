@@ -686,3 +686,32 @@ def test_a_question_with_two_categories_fails(spark):
     two = twice.union(spark.createDataFrame([("q", "general")], twice.schema))
     with pytest.raises(Exception, match="two categories for: q"):
         template_lookup(questions, two, templates).collect()
+
+
+@pytest.mark.parametrize("requests", [1, 400])
+def test_an_outline_travels_a_bounded_number_of_times(spark, monkeypatch, requests):
+    """Not once per point: what is dealt are at most eight pieces of an outline, or in a
+    small table a few pieces per task."""
+    points = 300
+
+    def open_call():
+        def call(messages, settings):
+            outline = " p1\n" + "\n".join(f"{i}. p{i}" for i in range(2, points + 1))
+            return [outline if m[0].startswith("Outline") else " " + m[-1] for m in messages]
+
+        return call
+
+    dealt = []
+
+    def spied(df, *args, **kwargs):
+        dealt.append(df.count())
+        return generate(df, *args, **kwargs)
+
+    monkeypatch.setattr(schedulers, "generate", spied)
+    questions = spark.range(requests).selectExpr("id AS request_id", "'q' AS request")
+    backend = PythonBackend(open_call, batch=True)
+    rows = schedulers.batch_outline(questions, backend, PROMPTS).collect()
+    assert len(rows) == requests and dealt[0] == requests
+    assert dealt[1] == (16 if requests == 1 else 2 * requests)
+    want = [f"{i}. p{i} {i}. p{i}" for i in range(1, points + 1)]
+    assert all(r["response"].split("\n") == want for r in rows)
