@@ -205,3 +205,18 @@ def test_chat_log_of_a_stream(spark, tmp_path):
     stream_chat_log(spark.readStream.schema(SCHEMA).parquet(source), out, checkpoint).awaitTermination()
     got = read_chat_log(spark, out).first()
     assert str(got["date"]) == "1970-01-02" and got["state"]["messages"] == [["user", "hi"]]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_in_a_folder_is_streamed_as_one_in_a_file(spark, tmp_path, files):
+    rows = [(i, f"one {i}\ntwo") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    if files == 1:
+        part = next((tmp_path / "documents.parquet").glob("part-*"))
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "documents.parquet").write_bytes(part.read_bytes())
+        tmp_path = tmp_path / "one"
+    for query in (chatting.q_stream_generate, chatting.q_stream_generate_python):
+        told = query(spark, str(tmp_path)).collect()
+        assert sorted(r["request_id"] for r in told) == list(range(30))

@@ -129,11 +129,11 @@ def q_admit_stream(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name, key):
-    """A given table as a stream of files, its rows dealt over all tasks."""
+    """A given table, one file or a folder of files, as a stream of files, its rows dealt
+    over all tasks."""
     schema = table(spark, sf_dir, name).schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    # as a pattern, because the path of a stream that is no pattern has to be a folder
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
     return stream.repartition(key)
 
 
