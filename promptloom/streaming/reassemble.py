@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (
     ExpiredTimerInfo,
@@ -69,6 +69,8 @@ class Reassembler(StatefulProcessor):
 
     The timer stands at the latest point's time plus the patience. When it fires, an
     incomplete request is answered as it is, and whatever is left of it is forgotten.
+    Every access to the state is a message to the store, so points that complete a request
+    on arrival are not stored, and stored ones are read at once.
     """
 
     def __init__(self, millis: int, separator: str) -> None:
@@ -80,41 +82,43 @@ class Reassembler(StatefulProcessor):
         self.points = handle.getMapState("points", "pos INT", "content STRING")
 
     def handleInputRows(
-        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
-    ) -> Iterator[pd.DataFrame]:
-        known = self.about.exists()
-        n, deadline, answered = self.about.get() if known else (0, 0, False)
-        latest = deadline
-        for frame in rows:
-            n = int(frame["n_points"].iat[0])
-            at = int(frame["ts"].to_numpy("datetime64[ms]").max().astype(int)) + self.millis
-            latest = max(latest, at)
-            if answered:
-                continue
-            for pos, content in zip(frame["pos"].tolist(), frame["content"].tolist()):
-                # a row without point stands for a request without points
-                if not pd.isna(pos) and not self.points.containsKey((int(pos),)):
-                    self.points.updateValue((int(pos),), (content,))
+        self, key: tuple, rows: Iterator[Row], timerValues: TimerValues
+    ) -> Iterator[Row]:
+        known = self.about.get()
+        n, deadline, answered = known or (0, 0, False)
+        latest, came = deadline, {}
+        for row in rows:
+            n = row["n_points"]
+            latest = max(latest, row["millis"] + self.millis)
+            # a row without point stands for a request without points
+            if row["pos"] is not None:
+                came.setdefault(row["pos"], row["content"])
         if latest != deadline:
             if known:
                 self.handle.deleteTimer(deadline)
             self.handle.registerTimer(latest)
         if not answered:
-            seen = self._seen()
+            stored = self._seen() if known else {}
+            seen = came | stored
             answered = len(seen) >= n
             if answered:
                 # the request is remembered without its points until the timer fires
-                self.points.clear()
-                yield _response(int(key[0]), n, seen, self.separator)
-        self.about.update((n, latest, answered))
+                if stored:
+                    self.points.clear()
+                yield _response(key[0], n, seen, self.separator)
+            else:
+                for pos in came.keys() - stored.keys():
+                    self.points.updateValue((pos,), (came[pos],))
+        if (n, latest, answered) != known:
+            self.about.update((n, latest, answered))
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
-    ) -> Iterator[pd.DataFrame]:
+    ) -> Iterator[Row]:
         n, _, answered = self.about.get()
         if not answered:
-            yield _response(int(key[0]), n, self._seen(), self.separator)
-        self.points.clear()
+            yield _response(key[0], n, self._seen(), self.separator)
+            self.points.clear()
         self.about.clear()
 
     def _seen(self) -> dict[int, str]:
@@ -134,21 +138,17 @@ def reassemble_state(points: DataFrame, patience: str, delay: str, separator: st
     A row with a null ``pos`` and 0 as ``n_points`` is answered at once, with nothing.
     """
     millis = int(pd.Timedelta(patience).total_seconds() * 1000)
-    return (
-        points.withWatermark("ts", delay)
-        .groupBy("request_id")
-        .transformWithStateInPandas(Reassembler(millis, separator), RESPONSE, "append", "eventTime")
+    timed = points.withWatermark("ts", delay).withColumn("millis", F.unix_millis("ts"))
+    return timed.groupBy("request_id").transformWithState(
+        Reassembler(millis, separator), RESPONSE, "append", "eventTime"
     )
 
 
-def _response(request_id: int, n: int, seen: dict, separator: str) -> pd.DataFrame:
-    text = separator.join(seen[p] for p in sorted(seen))
-    return pd.DataFrame(
-        {
-            "request_id": [request_id],
-            "n_points": [n],
-            "n_seen": [len(seen)],
-            "response": [text],
-            "complete": [len(seen) >= n],
-        }
+def _response(request_id: int, n: int, seen: dict, separator: str) -> Row:
+    return Row(
+        request_id=request_id,
+        n_points=n,
+        n_seen=len(seen),
+        response=separator.join(seen[p] for p in sorted(seen)),
+        complete=len(seen) >= n,
     )

@@ -3,12 +3,14 @@
 import datetime
 
 import pytest
+from pyspark.sql import Row
 
 from promptloom.operators.generate import PythonBackend
 from promptloom.plans import schedulers
 from promptloom.sources.chat_log import SCHEMA, read_chat_log, stream_chat_log
 from promptloom.streaming.admit import admit_stream
 from promptloom.streaming.reassemble import (
+    Reassembler,
     reassemble_sessions,
     reassemble_state,
     reassemble_windows,
@@ -220,3 +222,60 @@ def test_a_table_in_a_folder_is_streamed_as_one_in_a_file(spark, tmp_path, files
     for query in (chatting.q_stream_generate, chatting.q_stream_generate_python):
         told = query(spark, str(tmp_path)).collect()
         assert sorted(r["request_id"] for r in told) == list(range(30))
+
+
+class State:
+    """A state store of one key that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers, self.asked = None, {}, [], 0
+
+    def getValueState(self, name, schema):
+        return self._part(get=lambda: self.value, exists=lambda: self.value is not None, update=self._set)
+
+    def getMapState(self, name, key, value):
+        return self._part(
+            containsKey=lambda k: k in self.entries,
+            updateValue=self.entries.__setitem__,
+            iterator=lambda: iter(self.entries.items()),
+            clear=self.entries.clear,
+        )
+
+    def _set(self, value):
+        self.value = value
+
+    def _part(self, **calls):
+        def counted(call):
+            def ask(*args):
+                self.asked += 1
+                return call(*args)
+
+            return staticmethod(ask)
+
+        return type("Part", (), {k: counted(v) for k, v in calls.items()})()
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.asked += 1
+        self.timers.remove(at)
+
+
+def test_a_request_that_is_complete_on_arrival_asks_the_state_a_few_times():
+    state, tool = State(), Reassembler(1000, " ")
+    tool.init(state)
+    rows = [Row(pos=i, n_points=50, content=f"c{i}", millis=i) for i in range(50)]
+    told = list(tool.handleInputRows((7,), iter(rows), None))
+    assert [(r["request_id"], r["n_seen"], r["complete"]) for r in told] == [(7, 50, True)]
+    assert told[0]["response"] == " ".join(f"c{i}" for i in range(50))
+    assert state.asked <= 3 and state.timers == [1049] and not state.entries
+    # in two parts: the first is kept, the second completes it
+    state = State()
+    tool.init(state)
+    assert not list(tool.handleInputRows((8,), iter(rows[:20]), None))
+    assert len(state.entries) == 20
+    told = list(tool.handleInputRows((8,), iter(rows[10:]), None))
+    assert told[0]["n_seen"] == 50 and not state.entries and state.timers == [1049]
+    assert not list(tool.handleInputRows((8,), iter(rows[:1]), None))
