@@ -64,6 +64,9 @@ class PythonBackend:
 
 Backend = ExpressionBackend | PythonBackend
 
+# marks an error column that is null by construction
+NEVER = "never"
+
 OUTPUT = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -117,7 +120,7 @@ def generate(
                 "text": backend.answer(F.col(messages)),
                 "time": F.lit(None).cast("double"),
                 "attempts": F.lit(1),
-                "error": F.lit(None).cast("string"),
+                "error": F.lit(None).cast("string").alias("error", metadata={NEVER: True}),
                 "usage": F.lit(None).cast(OUTPUT["usage"].dataType),
                 "finish_reason": F.lit(None).cast("string"),
             }
@@ -138,6 +141,11 @@ def generate(
     return dealt.mapInArrow(_runner(backend, messages, params, keys), schema)
 
 
+def never_fails(answered: DataFrame) -> bool:
+    """Whether ``error`` comes from an :class:`ExpressionBackend` and is null everywhere."""
+    return answered.schema["error"].metadata.get(NEVER, False)
+
+
 def call_tasks(calls: DataFrame, backend: PythonBackend, keys: Sequence[str]) -> int:
     """Over how many tasks these calls are dealt."""
     if backend.rows_per_task:

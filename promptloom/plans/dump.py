@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.messages import last_message
+from promptloom.operators.generate import never_fails
 from promptloom.operators.resume import skip_done
 from promptloom.session import materialise
 from promptloom.sources.results import write_results
@@ -42,7 +43,8 @@ def dump(
             part = skip_done(part, done.where(own) if same else done)
         answered = run(part).withColumn("request", last_message(F.col("request")))
         if "error" in answered.columns:
-            answered = materialise(answered, "answered")
+            if not never_fails(answered):
+                answered = materialise(answered, "answered")
             bad = answered.where("error IS NOT NULL")
             bad.write.mode("overwrite" if number == 0 else "append").parquet(failures)
             answered = answered.where("error IS NULL")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from promptloom.operators.generate import Backend
 from promptloom.plans.dump import dump
+from promptloom.session import materialise
 
 CELL = "dataset string, model string, scheduler string"
 
@@ -54,9 +55,15 @@ def run_grid(
     its own and then noted as finished in ``<path>-cells``. A run that broke off goes
     on with the cell it was in, after the slices which that cell has committed;
     finished cells are not looked at again. The loop is over the grid, never over rows.
+    What ``requests`` is made of is worked out once, for the datasets with cells to do.
     """
     spark = requests.sparkSession
     finished = {tuple(row) for row in finished_cells(spark, path).collect()}
+    cells = [(d, m, s) for d in datasets for m in models for s in schedulers]
+    open_ = sorted({cell[0] for cell in cells if cell not in finished})
+    if not open_:
+        return
+    requests = materialise(requests.where(F.col("dataset").isin(open_)), "requests")
     for dataset in datasets:
         own = requests.where(F.col("dataset") == dataset).drop("dataset")
         for model, backend in models.items():

@@ -715,3 +715,41 @@ def test_an_outline_travels_a_bounded_number_of_times(spark, monkeypatch, reques
     assert dealt[1] == (16 if requests == 1 else 2 * requests)
     want = [f"{i}. p{i} {i}. p{i}" for i in range(1, points + 1)]
     assert all(r["response"].split("\n") == want for r in rows)
+
+
+def test_answers_of_an_expression_are_written_once(spark, tmp_path, monkeypatch):
+    """Their error is null by construction; a model's answers are written before they are split."""
+    written = []
+    monkeypatch.setattr(
+        "promptloom.plans.dump.materialise", lambda df, label: written.append(label) or materialise(df)
+    )
+    questions = spark.createDataFrame([(1, "q"), (2, "r")], "request_id long, request string")
+    upper = ExpressionBackend(lambda m: F.upper(F.get(m, F.lit(0))))
+    for name in ("naive", "outline", "batch_outline"):
+        path = str(tmp_path / name)
+        way = schedulers.get_scheduler(name)
+        more = [] if name == "naive" else [PROMPTS]
+        dump(questions, lambda part: way(part, upper, *more), path)
+        assert written == [] and spark.read.parquet(path).count() == 2
+        assert spark.read.parquet(path + "-failed").count() == 0
+    python = PythonBackend(lambda: lambda m, s: [x[0] for x in m])
+    dump(questions, lambda part: schedulers.naive(part, python), str(tmp_path / "python"))
+    assert written == ["answered"]
+
+
+def test_the_requests_of_a_grid_are_worked_out_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = [(i, f"q{i}", "d1" if i % 2 else "d2") for i in range(6)]
+    asked = spark.createDataFrame(rows, "request_id long, request string, dataset string")
+    asked = asked.withColumn("request", counted("request"))
+    upper = ExpressionBackend(lambda m: F.upper(F.get(m, F.lit(0))))
+    ways = {"a": schedulers.naive, "b": schedulers.naive}
+    path = str(tmp_path / "grid")
+    run_grid(asked, ["d1", "d2"], {"m": upper}, ways, path, slices=2)
+    assert grid_answers(spark, path).count() == 12 and made.value == 6
