@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptloom.operators.backends import get_backend
-from promptloom.operators.chat import chunk_delta, chunk_sample, side_by_side
+from promptloom.operators.chat import chunk_delta, chunk_final, chunk_sample, side_by_side
 from promptloom.operators.embeddings import mean_pool
 from promptloom.operators.generate import Answer, ExpressionBackend, PythonBackend, generate
 from promptloom.operators.metrics import confusion_matrix, multilabel_pairs, router_loss
@@ -43,6 +43,7 @@ from promptloom.sources.answers import read_answers_csv, read_judge_templates
 from promptloom.sources.prompts import OutlinePrompts, naive_template, outline_templates
 from promptloom.sources.requests import number_rows, read_requests_csv, read_router_csv
 from promptloom.sources.results import export_csv, write_predictions, write_results
+from workload import fixtures
 
 
 def asked(spark, texts):
@@ -753,3 +754,18 @@ def test_the_requests_of_a_grid_are_worked_out_once(spark, tmp_path):
     path = str(tmp_path / "grid")
     run_grid(asked, ["d1", "d2"], {"m": upper}, ways, path, slices=2)
     assert grid_answers(spark, path).count() == 12 and made.value == 6
+
+
+def test_snapshots_are_made_by_tasks_of_bounded_text(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(200))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(fixtures, "CHUNK_TASK_BYTES", 10_000)
+    made = fixtures.chunks(spark, str(tmp_path))
+    size = sum(len(text) for _, text in rows)
+    assert made.rdd.getNumPartitions() == -(-size // 10_000) > 10
+    final = chunk_final(made.select("request_id", "seq", "text"))
+    plan = final._jdf.queryExecution().executedPlan().toString()
+    # the snapshots themselves are not shuffled
+    assert plan.count("Exchange") == 1
+    assert sorted((r["request_id"], r["text"]) for r in final.collect()) == rows

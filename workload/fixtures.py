@@ -354,6 +354,8 @@ def list_prompt_sql(question: str, shown: list[str], num: int, word: str) -> str
 # ---- chunk streams ----------------------------------------------------------
 
 N_CHUNKS = 12
+# bytes of text whose snapshots, several times as much, one task makes
+CHUNK_TASK_BYTES = 16 << 20
 
 CHUNKS_SQL = f"""
 words AS (SELECT doc_id AS request_id, string_split(text, ' ') AS w FROM documents),
@@ -377,8 +379,12 @@ def chunks(spark: SparkSession, sf_dir: str, uneven: bool = False) -> DataFrame:
     n_chunks = (5 + n_words % 13).cast("int") if uneven else F.lit(N_CHUNKS)
     at = F.explode(F.sequence(F.lit(0), n_chunks - 1))
     cut = "int(ceil(n * (seq + 1) / c))"
+    texts = documents(spark, sf_dir)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(-(-size // CHUNK_TASK_BYTES), spark.sparkContext.defaultParallelism)
+    # by request, so that a request's snapshots are where they are put together
     return (
-        documents(spark, sf_dir)
+        texts.repartition(tasks, "doc_id")
         .select(F.col("doc_id").alias("request_id"), "text", n_words.alias("n"), n_chunks.alias("c"), at.alias("seq"))
         .select("request_id", "seq", F.expr(f"substring_index(text, ' ', {cut})").alias("text"))
     )
