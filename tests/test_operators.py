@@ -37,13 +37,13 @@ from promptloom.plans.router import (
     predict,
     train_router,
 )
-from promptloom.session import materialise, shared_dir
+from promptloom.session import materialise, scratch_path, shared_dir
 from promptloom.functions.template import list_judge_prompt
 from promptloom.sources.answers import read_answers_csv, read_judge_templates
 from promptloom.sources.prompts import OutlinePrompts, naive_template, outline_templates
 from promptloom.sources.requests import number_rows, read_requests_csv, read_router_csv
 from promptloom.sources.results import export_csv, write_predictions, write_results
-from workload import fixtures
+from workload import fixtures, sources
 
 
 def asked(spark, texts):
@@ -769,3 +769,13 @@ def test_snapshots_are_made_by_tasks_of_bounded_text(spark, tmp_path, monkeypatc
     # the snapshots themselves are not shuffled
     assert plan.count("Exchange") == 1
     assert sorted((r["request_id"], r["text"]) for r in final.collect()) == rows
+
+
+def test_answer_tables_are_written_compressed(spark, sf_dir, monkeypatch):
+    paths = []
+    monkeypatch.setattr(
+        sources, "scratch_path", lambda s, label: paths.append(scratch_path(s, label)) or paths[-1]
+    )
+    told = sources.q_read_answers(spark, sf_dir)
+    assert told.count() == 3 * spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert all(".zstd." in f for f in told.inputFiles()) and len(paths) == 3

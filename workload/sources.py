@@ -121,7 +121,9 @@ def q_read_answers(spark, sf_dir):
     paths = []
     for i in range(3):
         paths.append(scratch_path(spark, "answers"))
-        answers(spark, sf_dir, i).withColumn("stage", F.lit("summarize")).write.parquet(paths[-1])
+        answered = answers(spark, sf_dir, i).withColumn("stage", F.lit("summarize"))
+        # tables that hold every text twice, for one reading
+        answered.write.option("compression", "zstd").parquet(paths[-1])
     return read_answers(spark, paths)
 
 
