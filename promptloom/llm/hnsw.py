@@ -345,19 +345,18 @@ def nearest(
     # vectors share a shard only if their lengths differ by a factor of two at most
     # (the shift keeps lengths around 1 together)
     band = F.floor(F.log2(square) / 2 + 0.25)
-    dealt = materialise(
-        nodes.select("node", "vector", F.size("vector").alias("dim"), band.alias("band"))
-        .repartitionByRange(shards, "band", F.xxhash64("node", F.lit(3)))
-        .withColumn("part", F.spark_partition_id()),
-        "dealt",
-    )
-    # as many rows as shards and bands
-    parts = sorted(map(tuple, dealt.select("part", "band").distinct().collect()))
-    numbers = dealt.sparkSession.createDataFrame(
-        [(*p, i) for i, p in enumerate(parts)], "part int, band long, shard long"
-    )
-    dealt = dealt.join(F.broadcast(numbers), ["part", "band"]).drop("part", "band")
-    shards = max(len(parts), 1)
+    dealt = nodes.select("node", "vector", F.size("vector").alias("dim"), band.alias("band"))
+    # a row per band: doubles have about a thousand; its shards follow its rows alone
+    bands = sorted(map(tuple, dealt.groupBy("band").count().collect()))
+    numbers, count = [], 0
+    for number, rows in bands:
+        numbers.append((number, count, share := -(-rows * shards // n)))
+        count += share
+    numbers = dealt.sparkSession.createDataFrame(numbers, "band long, first long, share long")
+    shard = F.col("first") + F.pmod(F.xxhash64("node", F.lit(3)), F.col("share"))
+    dealt = dealt.join(F.broadcast(numbers), "band").withColumn("shard", shard)
+    dealt = dealt.drop("band", "first", "share")
+    shards = max(count, 1)
     graphs = materialise(build_shards(dealt, shards), "graphs")
     asked = materialise(
         cleaned(queries)

@@ -1,5 +1,6 @@
 """Corpus operators on small tables: nulls, empty texts, repeats, empty tables, odd columns."""
 
+import math
 import random
 import time
 from collections import Counter
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
+from promptloom.llm import hnsw
 from promptloom.llm.bitpack import read_ids, write_ids
 from promptloom.llm.bpe import encode_decode
 from promptloom.llm.chat import collapse, render
@@ -260,3 +262,21 @@ def test_pipeline_keeps_unrelated_texts_of_one_id(spark, sf_dir):
     assert got == Counter(
         [(1, a), (2, b), (4, "short text"), (4, "another text"), (None, a), (None, None), (7, None), (7, "")]
     )
+
+
+def test_shards_follow_the_rows_not_the_partitions(spark, monkeypatch):
+    """As many shards however many tasks a range partitioning is given."""
+    draw = random.Random(3)
+    rows = [(i, [draw.gauss(0, 1 + 20 * (i % 2)) for _ in range(4)]) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(hnsw, "LEAST_ROWS", 200)
+    plain, counts = type(table).repartitionByRange, []
+    monkeypatch.setattr(
+        type(table), "repartitionByRange", lambda df, n, *by: plain(df, max(n, 40), *by)
+    )
+    built = hnsw.build_shards
+    monkeypatch.setattr(hnsw, "build_shards", lambda df, n: counts.append(n) or built(df, n))
+    got = nearest(table, table.where("vec_id % 100 = 0"), k=5).collect()
+    assert len(got) == 30
+    bands = len({math.floor(math.log2(sum(x * x for x in v)) / 2 + 0.25) for _, v in rows})
+    assert counts[0] <= 3 + bands
