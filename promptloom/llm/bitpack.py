@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from promptloom.llm.common import slices
+from promptloom.llm.common import forget, give_back, slices, small_batches
 from promptloom.llm.files import Output, place
 from promptloom.llm.tokens import worker_encoder
 from promptloom.session import materialise, scratch_path
@@ -139,6 +139,7 @@ def write_ids(
     folder = folder or scratch_path(spark, "ids")
     end = np.array([end_id], np.uint32)
     bits = id_bits(path)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -167,6 +168,7 @@ def write_ids(
                         flush()
         if names:
             flush()
+        give_back()
         if files:
             columns = [pa.array(c, t) for c, t in zip(zip(*files), _FILE_TYPES)]
             yield pa.RecordBatch.from_arrays(columns, names=_FILE_NAMES)
@@ -198,10 +200,12 @@ def id_bits(path: str) -> int:
 def read_ids(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document in the listed files.
 
-    ``ids`` are little-endian 32-bit bytes. One task reads one file at a time.
+    ``ids`` are little-endian 32-bit bytes. One task reads one file at a time. What the
+    encoder has remembered on a worker is of no use here and goes first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for uri, start in zip(*(batch.column(c).to_pylist() for c in ("uri", "start"))):
                 system, path = place(uri)
@@ -216,6 +220,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                         rows = []
                 if rows:
                     yield _rows(rows)
+        give_back()
 
     # as many tasks as files, so that no task holds several
     dealt = files.select("uri", "start").repartition(max(1, files.count()), "uri")

@@ -280,3 +280,11 @@ def test_shards_follow_the_rows_not_the_partitions(spark, monkeypatch):
     assert len(got) == 30
     bands = len({math.floor(math.log2(sum(x * x for x in v)) / 2 + 0.25) for _, v in rows})
     assert counts[0] <= 3 + bands
+
+
+def test_reading_files_forgets_the_encoder(spark, docs, monkeypatch):
+    files = write_ids(docs, BYTES, end_id=0)
+    asked = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr("promptloom.llm.bitpack.forget", lambda: asked.add(1))
+    assert read_ids(files).count() == len(ROWS) and asked.value > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
