@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,10 +213,23 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * 10 >= F.greatest(n, m) * 9
 
 
+def _sets_of(sets: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """The rows of ``sets`` whose node is in the column ``name`` of ``nodes``, and few others,
+    picked where they are read, so that only these are shuffled by a join."""
+    keys = nodes.select(F.xxhash64(name).alias("key")).distinct()
+    known = sets.sparkSession.sparkContext.broadcast(KeyFilter.of(keys).words)
+
+    @F.pandas_udf("boolean")
+    def asked(key: pd.Series) -> pd.Series:
+        return pd.Series(KeyFilter(known.value)(key.to_numpy(np.int64).view(np.uint64)))
+
+    return sets.where(asked(F.xxhash64("node")))
+
+
 def _with_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` and ``n_a, n_b, common`` of their sets ``a`` and ``b``."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    one = _sets_of(sets, pairs, "a").select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = _sets_of(sets, pairs, "b").select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return (
         pairs.join(one, "a")
         .join(two, "b")
@@ -362,8 +376,8 @@ def _heads(label: DataFrame, links: DataFrame) -> DataFrame:
 
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` of ``node`` and ``head`` with ``delta``, what the set has more, then what it lacks."""
-    one = sets.select("node", F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("head"), F.col("shingles").alias("y"))
+    one = _sets_of(sets, pairs, "node").select("node", F.col("shingles").alias("x"))
+    two = _sets_of(sets, pairs, "head").select(F.col("node").alias("head"), F.col("shingles").alias("y"))
     more, lacks = F.array_except("x", "y"), F.array_except("y", "x")
     return (
         pairs.join(one, "node")

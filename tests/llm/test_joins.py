@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import promptloom.llm.collocations as collocating
+import promptloom.llm.setjoin as setjoin
 from promptloom.llm.collocations import collocations
 from promptloom.llm.common import KeyFilter
 from promptloom.llm.negatives import SAFE, hard_negatives
@@ -260,3 +261,14 @@ def test_negatives_of_long_vectors(spark):
     got = Counter(map(tuple, hard_negatives(df, F.col("vec_id") % 10 == 0).collect()))
     exact = [(i, [float(np.float32(x)) for x in v], c) for i, v, c in rows]
     assert got == negatives_by_hand(exact, lambda i: i % 10 == 0)
+
+
+def test_only_sets_in_pairs_are_read_for_a_join(spark):
+    sets = spark.range(5000).selectExpr("id AS node", "array(id, id + 1) AS shingles")
+    pairs = spark.createDataFrame([(1, 2), (7, 8), (7, 4000)], "a long, b long")
+    for name, nodes in (("a", {1, 7}), ("b", {2, 8, 4000})):
+        got = {r["node"] for r in setjoin._sets_of(sets, pairs, name).collect()}
+        assert nodes <= got and len(got) < 20
+    got = {(r["a"], r["b"]): r["common"] for r in setjoin._with_overlap(pairs, sets).collect()}
+    assert got == {(1, 2): 1, (7, 8): 1, (7, 4000): 0}
+    assert setjoin._with_overlap(pairs.limit(0), sets).count() == 0
