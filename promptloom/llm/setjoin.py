@@ -17,7 +17,7 @@ so only members whose differences share enough with those of x are looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -132,11 +132,20 @@ def prints(df: DataFrame, doc_id: str, text: str, level: np.ndarray) -> DataFram
     return map_texts(source, "text", ["id"], open_, fields)
 
 
-def whole_sets(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """``node, shingles, n, counts`` of the wanted nodes ``id, hi, lo, node``.
+def _remade(
+    df: DataFrame,
+    doc_id: str,
+    text: str,
+    wanted: DataFrame,
+    once: bool,
+    make: Callable[[np.ndarray, np.ndarray], list[pa.Array]],
+    fields: dict[str, str],
+) -> DataFrame:
+    """``node`` and what ``make`` tells of the sets of the wanted nodes ``id, hi, lo, node``.
 
     The rows are picked by a filter of ids where the texts are read, so no text is
-    shuffled; what the filter lets through by mistake has another digest.
+    shuffled; what the filter lets through by mistake has another digest. ``once`` says
+    that no id is on two rows.
     """
     ids = KeyFilter.of(wanted.select(F.xxhash64("id").alias("key"))).words
     known = df.sparkSession.sparkContext.broadcast(ids)
@@ -150,23 +159,39 @@ def whole_sets(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Data
             for start, stop in slices(picked.column("text")):
                 texts = picked.column("text").slice(start, stop - start).to_pylist()
                 shingles, first = shingle_sets(*hashes(texts), WORDS)
-                lists = pa.ListArray.from_arrays(
-                    first.astype(np.int32), pa.array(shingles.view(np.int64))
-                )
-                sets = zip(first, first[1:])
-                counts = pa.array([_slot_counts(shingles[a:b]) for a, b in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*_digests(shingles, first), lists, pa.array(np.diff(first)), counts],
-                    names=["hi", "lo", "shingles", "n", "counts"],
+                    [*_digests(shingles, first), *make(shingles, first)],
+                    names=["hi", "lo", *fields],
                 )
 
     source = df.where(F.col(doc_id).isNotNull()).select(
         F.xxhash64(F.col(doc_id).cast("long")).alias("key"), F.col(text).alias("text")
     )
-    told = source.mapInArrow(
-        run, "hi long, lo long, shingles array<long>, n long, counts binary"
-    )
-    return told.join(wanted.select("hi", "lo", "node"), ["hi", "lo"]).drop("hi", "lo")
+    schema = "hi long, lo long, " + ", ".join(f"{c} {kind}" for c, kind in fields.items())
+    told = source.mapInArrow(run, schema).join(wanted.select("hi", "lo", "node"), ["hi", "lo"])
+    told = told.drop("hi", "lo")
+    if not once:
+        told = told.groupBy("node").agg(*[F.any_value(c).alias(c) for c in fields])
+    return told
+
+
+def whole_sets(df: DataFrame, doc_id: str, text: str, wanted: DataFrame, once: bool) -> DataFrame:
+    """``node, shingles`` of the wanted nodes."""
+
+    def make(shingles: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(first.astype(np.int32), pa.array(shingles.view(np.int64)))]
+
+    return _remade(df, doc_id, text, wanted, once, make, {"shingles": "array<long>"})
+
+
+def slot_counts(df: DataFrame, doc_id: str, text: str, wanted: DataFrame, once: bool) -> DataFrame:
+    """``node, n, counts`` of the wanted nodes: a byte or less for each shingle."""
+
+    def make(shingles: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+        counts = [_slot_counts(shingles[a:b]) for a, b in zip(first, first[1:])]
+        return [pa.array(np.diff(first), pa.int64()), pa.array(counts, pa.binary())]
+
+    return _remade(df, doc_id, text, wanted, once, make, {"n": "long", "counts": "binary"})
 
 
 def _slot_counts(shingles: np.ndarray) -> bytes:
@@ -189,10 +214,14 @@ def _may_link(one: bytes, two: bytes, n: int, m: int) -> bool:
     return 19 * int(np.minimum(x, y).sum()) >= 9 * (n + m)
 
 
-def _unrefuted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _unrefuted(pairs: DataFrame, counted: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose slot counts do not rule out a link; other columns stay."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_1"), F.col("counts").alias("c_1"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_2"), F.col("counts").alias("c_2"))
+    one, two = (
+        counted.select(
+            F.col("node").alias(end), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"c_{k}")
+        )
+        for k, end in ((1, "a"), (2, "b"))
+    )
     both = pairs.join(one, "a").join(two, "b").select(*pairs.columns, "n_1", "n_2", "c_1", "c_2")
     names = pairs.columns
 
@@ -269,11 +298,16 @@ def _in_company(postings: DataFrame) -> DataFrame:
     return celled.join(near, ["token", "cell"]).where(enough).drop("left")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``node``: the ends of the pairs ``a, b``, each once."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 _LINKED = "(19 * common >= 9 * (n_a + n_b))"
 
 
-def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the sets of a list and the list's hub, the set with most company."""
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of the sets of a list and the list's hub, the set with most company."""
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = materialise(
         members.join(materialise(weight, "weights"), "node")
@@ -298,8 +332,7 @@ def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         .distinct()
     )
-    pairs = _unrefuted(materialise(pairs, "stars"), sets)
-    return materialise(_with_overlap(pairs, sets).where(_LINKED).select("a", "b"), "links")
+    return materialise(pairs, "stars")
 
 
 def _probes(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -506,15 +539,20 @@ def _linked(
     df: DataFrame, doc_id: str, text: str, found: DataFrame, nodes: DataFrame, members: DataFrame
 ) -> DataFrame:
     """``node, component`` of all nodes that have a link."""
+    once = found.groupBy("id").count().where("count > 1").isEmpty()
     met = materialise(members.select("node").distinct(), "met")
     wanted = nodes.select("id", "node", "hi", "lo").join(met, "node")
-    sets = whole_sets(df, doc_id, text, materialise(wanted, "wanted"))
-    if not found.groupBy("id").count().where("count > 1").isEmpty():
-        sets = sets.groupBy("node").agg(
-            *[F.any_value(c).alias(c) for c in ("shingles", "n", "counts")]
-        )
-    sets = materialise(sets, "sets")
-    links = _star_links(members, sets)
+    wanted = materialise(wanted, "wanted")
+    counted = materialise(slot_counts(df, doc_id, text, wanted, once), "counted")
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        picked = materialise(wanted.join(ends, "node"), "picked")
+        return materialise(whole_sets(df, doc_id, text, picked, once), "sets")
+
+    # most pairs are ruled out by their counts, so whole sets are made of the others only
+    pairs = _unrefuted(_star_pairs(members), counted)
+    sets = sets_of(_ends(pairs))
+    links = materialise(_with_overlap(pairs, sets).where(_LINKED).select("a", "b"), "links")
     label = components(links)
     probes = _probes(members, label)
     if probes.isEmpty():
@@ -530,8 +568,10 @@ def _linked(
         "asked",
     )
     # a component of one set has no members to go on to
-    alone = _unrefuted(asked.where("alone"), sets)
+    alone = _unrefuted(asked.where("alone"), counted)
     asked = asked.where("NOT alone").unionByName(alone).drop("alone")
+    fresh = _ends(asked).join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(sets_of(fresh))
     tested = materialise(_with_overlap(asked, sets), "tested")
     more = tested.where(_LINKED).select("a", "b")
     gap = F.expr("1 - common / (n_a + n_b - common)").alias("gap")

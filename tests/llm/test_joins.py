@@ -272,3 +272,23 @@ def test_only_sets_in_pairs_are_read_for_a_join(spark):
     got = {(r["a"], r["b"]): r["common"] for r in setjoin._with_overlap(pairs, sets).collect()}
     assert got == {(1, 2): 1, (7, 8): 1, (7, 4000): 0}
     assert setjoin._with_overlap(pairs.limit(0), sets).count() == 0
+
+
+def test_whole_sets_are_made_only_of_pairs_that_counts_leave(spark, monkeypatch):
+    made = Counter()
+
+    def noted(df, label="stage"):
+        out = materialise(df, label)
+        made[label] += out.count()
+        return out
+
+    monkeypatch.setattr(setjoin, "materialise", noted)
+    # texts of two passages: any two that share one are in company, and far from linked
+    passages = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(12)]
+    rows = [(a, b) for a in range(12) for b in range(a)]
+    rows = [(k, f"{passages[a]} {passages[b]}") for k, (a, b) in enumerate(rows)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[0][1] + " end"), (100, "others " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in jaccard_components(df).collect()]
+    assert sorted(got) == sorted([(k, 0 if k in (0, 101) else k) for k, _ in rows[:-3]] + [(100, 0), (101, 0), (100, 100)])
+    assert made["met"] > 50 and 2 <= made["sets"] < 15
