@@ -24,6 +24,8 @@ LONGEST_KEPT = 32  # characters of a segment that is remembered
 
 # plain letters, then nothing or something that starts with ASCII punctuation
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)((?:[!-/:-@\[-`{-~].*)?)", re.S)
+# plain letters and ASCII punctuation
+_ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 # segments that no pre-token of a byte-level vocabulary crosses
 _SEGMENTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # white space for Python only, so segments could differ from the library's
@@ -75,6 +77,10 @@ class SegmentIds(dict):
                     made = self.core(word)
             else:
                 made = self.whole(segment)
+        self.keep(segment, made)
+        return made
+
+    def keep(self, segment: str, made: bytes) -> None:
         if len(segment) <= LONGEST_KEPT:
             self.held += 150 + len(segment) + len(made)
             if self.held > self.half:
@@ -82,7 +88,6 @@ class SegmentIds(dict):
                 self.clear()
                 self.held = 0
             self[segment] = made
-        return made
 
     def encode(self, text: str, cut: Callable[[str], list[str]] = _SEGMENTS.findall) -> bytes:
         if _ODD.search(text):
@@ -90,6 +95,49 @@ class SegmentIds(dict):
         return b"".join(map(self.__getitem__, cut(text)))
 
 
+class Apart(Exception):
+    """A text that can't be cut at its spaces alone."""
+
+
+class SpacedIds(SegmentIds):
+    """Ids of a space and what follows it up to the next space, by the latter alone.
+
+    Cutting at single spaces gives the segments, as white space before one never joins
+    it, unless the space is followed by white space or a text holds what Python alone
+    takes for white space: then ``Apart`` is raised. ``others`` has the segments without a space.
+    """
+
+    def __init__(
+        self, core: Callable[[str], bytes], others: SegmentIds, memo_bytes: int = MEMO_BYTES
+    ) -> None:
+        super().__init__(core, others.whole, memo_bytes=memo_bytes)
+        self.others = others
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.before.get(word)
+        if made is None:
+            if word.isascii() and word.isalpha():
+                made = self.core(word)
+            elif ended := _ENDED.fullmatch(word):
+                head, rest = ended.groups()
+                made = self.get(head)
+                if made is None:
+                    # a new word is kept, what it first stood in is not
+                    return self[head] + self.others[rest]
+                made += self.others[rest]
+            elif not word or word[0].isspace() or _ODD.search(word):
+                raise Apart
+            elif len(word.split()) > 1 or word[-1].isspace():
+                first, *after = _SEGMENTS.findall(word)
+                return self[first] + b"".join(map(self.others.__getitem__, after))
+            elif plain := _PLAIN.fullmatch(word):
+                made = self[plain[1]] + self.others[plain[2]] if plain[2] else self.core(word)
+            else:
+                made = self.whole(" " + word)
+        self.keep(word, made)
+        return made
+
+
 def packed(ids: list[int]) -> bytes:
     made = array("I", ids)
     if sys.byteorder == "big":
@@ -107,7 +155,8 @@ def encoder(
     a text that holds one then goes through the library whole.
 
     For a vocabulary that drops white space and lowers case (its model marks word
-    ends) segments are words; for a byte-level one a word keeps the space before it.
+    ends) segments are words; for a byte-level one a word keeps the space before it, and
+    most texts can be cut at their spaces.
     """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not added
@@ -125,9 +174,32 @@ def encoder(
     def whole(text: str) -> bytes:
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    known = SegmentIds(core, whole, by_words, memo_bytes)
-    cut = str.split if by_words else _SEGMENTS.findall
-    return lambda text: whole(text) if holds(text) else known.encode(text, cut)
+    if by_words:
+        known = SegmentIds(core, whole, True, memo_bytes)
+        return lambda text: whole(text) if holds(text) else known.encode(text, str.split)
+
+    blank = letters[32]
+
+    def spaced(word: str) -> bytes:
+        if not word.isascii():
+            return core(" " + word)
+        return packed([t.id for t in model.tokenize(blank + word)])
+
+    others = SegmentIds(core, whole, memo_bytes=memo_bytes // 8)
+    words = SpacedIds(spaced, others, memo_bytes)
+
+    def encode(text: str) -> bytes:
+        if holds(text):
+            return whole(text)
+        first, *rest = text.split(" ")
+        if _ODD.search(first):
+            return whole(text)
+        try:
+            return others.encode(first) + b"".join(map(words.__getitem__, rest))
+        except Apart:
+            return others.encode(text)
+
+    return encode
 
 
 def worker_encoder(path: str, memo_bytes: int = MEMO_BYTES) -> Callable[[str], bytes]:

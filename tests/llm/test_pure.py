@@ -271,3 +271,31 @@ print(sorted(r.n_tokens for r in encode_decode_digests(docs, path, public_tokeni
         [sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
     )
     assert ran.stdout.strip().endswith("[0, 2]"), ran.stderr[-2000:]
+
+
+def test_texts_are_cut_at_single_spaces(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, cut = Tokenizer.from_file(path), []
+
+    class Segments:
+        @staticmethod
+        def findall(text):
+            cut.append(text)
+            return segments(text)
+
+    segments = tokens._SEGMENTS.findall
+    monkeypatch.setattr(tokens, "_SEGMENTS", Segments)
+    encode = encoder(path, added=True, memo_bytes=20_000)
+
+    def right(text):
+        found = np.frombuffer(encode(text), "<u4").tolist()
+        return found == library.encode(text, add_special_tokens=False).ids
+
+    assert right("Plain words, for instance; and été (too), of w0rds and I'm.")
+    assert all(" " not in text for text in cut)
+    draw = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\n ", "\t", "\x1c", "\xa0", "\u2003", "word", "Été", "I'm"]
+    parts += ["end.", "12", "中", "x" * 40, "", "a,b", "<|endoftext|>", "!?"]
+    for _ in range(5000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 12)))
+        assert right(text), text
