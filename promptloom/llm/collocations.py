@@ -1,13 +1,9 @@
-"""Phrases whose words keep company, from counts of the longest windows alone.
+"""Phrases whose words keep company, counted by length, each only where its parts are frequent.
 
-Every word starts one window of up to five words, padded with nulls where its piece
-ends: the word and four columns that lead it. Only these windows are counted. The
-count of a shorter phrase is the sum over the windows that begin with it, so one
-ROLLUP over the columns gives phrases of every length, and the number of words.
-
-A phrase is at most as frequent as its parts, so a window is also padded from the first
-word, pair or triple of neighbours on that is too rare to be in any result;
-these runs are counted beforehand by hash, only to know where to cut.
+A phrase is at most as frequent as its parts. So words are counted first, then runs of
+two frequent words, then runs of three whose pairs are frequent, then runs of four and
+five whose triples are. Every count is taken from its own pass; filters of the frequent
+runs tell the next pass what can still be in a result.
 """
 
 from __future__ import annotations
@@ -28,7 +24,8 @@ from promptloom.session import materialise
 LONGEST = 5
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 WORD_ENDS = PIECE_ENDS + b" \t"
-PRUNED = (2, 3)  # sizes of runs that are counted beforehand
+STEPS = ((2,), (3,), (4, 5))  # sizes of runs that are counted in one pass
+COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 HELD = 1 << 20
 SALTS = 64
 
@@ -38,6 +35,18 @@ _LOWER[65:91] += 32
 _TURN = np.uint64(0xD1342543DE82EF95)
 
 
+def _turn(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+
+
+def _key(words: list[np.ndarray], turn: np.uint64 | np.ndarray) -> np.ndarray:
+    """A key of each run of word hashes, first words first, in a language."""
+    key = words[0]
+    for other in words[1:]:
+        key = mix(key * _TURN + other)
+    return mix(key ^ turn)
+
+
 class Words:
     """The words of texts of one language: hashes, pieces and bytes."""
 
@@ -48,15 +57,12 @@ class Words:
         ends = np.zeros(256, bool)
         ends[list(PIECE_ENDS)] = True
         self.piece = np.cumsum(ends[self.data])[self.begin]
-        self.turn = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+        self.turn = _turn(lang)
 
     def keys_of(self, size: int) -> np.ndarray:
         """A key of the ``size`` words that begin at each word."""
         n = max(len(self.hash) - size + 1, 0)
-        key = self.hash[:n]
-        for k in range(1, size):
-            key = mix(key * _TURN + self.hash[k : n + k])
-        return mix(key ^ self.turn)
+        return _key([self.hash[k : n + k] for k in range(size)], self.turn)
 
     def frequent(self, filters: list[np.ndarray]) -> list[np.ndarray]:
         """For 1, 2, ... words: where such a run begins that is within a piece and in its
@@ -144,20 +150,22 @@ def _counted(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _totals(
     docs: DataFrame,
     hashes: Callable[[], WordHashes],
-    columns: list[str],
     find: Callable[[Words], np.ndarray],
 ) -> DataFrame:
-    """``lang``, the columns that ``find`` makes and how often each row of them occurs, ``n``.
+    """``lang``, the words ``w1`` to ``w5`` of the runs that ``find`` makes and how often each
+    of them occurs, ``n``.
 
-    0 stands for null. A task adds up about a million rows before it hands them on.
+    0 stands for null, as do columns that ``find`` leaves out. A task adds up about a
+    million rows before it hands them on.
     """
 
     def batch_of(lang: str, rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         made = [pa.array(np.full(len(n), 0, np.int32)), pa.array([lang], pa.string())]
         langs = pa.DictionaryArray.from_arrays(*made).cast(pa.string())
         values = [pa.array(c.view(np.int64), mask=c == 0) for c in rows]
+        values += [pa.nulls(len(n), pa.int64())] * (LONGEST - len(values))
         return pa.RecordBatch.from_arrays(
-            [langs, *values, pa.array(n)], names=["lang", *columns, "n"]
+            [langs, *values, pa.array(n)], names=["lang", *COLUMNS, "n"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +185,8 @@ def _totals(
         for name, parts in held.items():
             yield batch_of(name, *_merged(parts))
 
-    schema = "lang string, " + ", ".join(f"{c} long" for c in columns) + ", n long"
-    return docs.mapInArrow(run, schema).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
+    schema = "lang string, " + ", ".join(f"{c} long" for c in COLUMNS) + ", n long"
+    return docs.mapInArrow(run, schema).groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -218,56 +226,58 @@ def word_counts(docs: DataFrame, hashes: Callable[[], WordHashes]) -> DataFrame:
     return made.groupBy("lang", "hash", "word", "key").agg(F.sum("n").alias("n"))
 
 
-def _runs(size: int, filters: list) -> Callable[[Words], np.ndarray]:
-    """Keys of the runs of ``size`` words whose parts pass the filters."""
+def _runs(sizes: tuple[int, ...], filters: list) -> Callable[[Words], np.ndarray]:
+    """The runs of these numbers of words whose parts pass the filters, padded with 0."""
 
     def find(own: Words) -> np.ndarray:
-        ok = own.frequent([f.value for f in filters])[size - 1]
-        return own.keys_of(size)[ok][None]
+        ok = own.frequent([f.value for f in filters])
+        parts = []
+        for size in sizes:
+            on = np.flatnonzero(ok[size - 1])
+            part = np.zeros((max(sizes), len(on)), np.uint64)
+            for k in range(size):
+                part[k] = own.hash[on + k]
+            parts.append(part)
+        return np.hstack(parts)
 
     return find
 
 
+def _keys(runs: DataFrame, size: int) -> DataFrame:
+    """``key`` of the runs, as the workers make it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            turns = np.array([_turn(x) for x in langs.dictionary.to_pylist()], np.uint64)
+            words = [batch.column(c).to_numpy().view(np.uint64) for c in COLUMNS[:size]]
+            key = _key(words, turns[langs.indices.to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return runs.select("lang", *COLUMNS[:size]).mapInArrow(run, "key long")
+
+
 def phrase_counts(
     docs: DataFrame, hashes: Callable[[], WordHashes], words: DataFrame, least: int
 ) -> DataFrame:
     """``lang, size, phrase, f`` of all phrases of 1 to 5 word hashes found ``least`` times
     or more, and per ``lang`` a row of size 0 that counts all words."""
     context = docs.sparkSession.sparkContext
-    common = words.where(F.col("n") >= least).select("key")
-    filters = [context.broadcast(KeyFilter.of(common).words)]
-    for size in PRUNED:
-        found = _totals(docs, hashes, ["key"], _runs(size, list(filters)))
-        found = materialise(found.where(F.col("n") >= least).select("key"), "runs")
-        filters.append(context.broadcast(KeyFilter.of(found).words))
-
-    def windows(own: Words) -> np.ndarray:
-        out = np.zeros((LONGEST, len(own.hash)), np.uint64)
-        for k, ok in enumerate(own.frequent([f.value for f in filters])):
-            on = np.flatnonzero(ok)
-            out[k, on] = own.hash[on + k]
-        return out
-
-    columns = [f"w{k}" for k in range(1, LONGEST + 1)]
-    counted = _totals(docs, hashes, columns, windows)
-    rolled = counted.rollup("lang", *columns).agg(
-        F.sum("n").alias("f"), F.grouping_id().alias("rest")
-    )
-    # the grouping id has a bit for every column that is summed over
-    size = F.lit(LONGEST) - F.bit_count(F.col("rest"))
-    whole = [(F.lit(2**LONGEST - 1) == F.col("rest"))] + [
-        (F.lit(2 ** (LONGEST - k) - 1) == F.col("rest")) & F.col(f"w{k}").isNotNull()
-        for k in range(1, LONGEST + 1)
-    ]
-    real = whole[0]
-    for other in whole[1:]:
-        real = real | (other & (F.col("f") >= least))
-    return rolled.where(real).select(
-        "lang",
-        size.cast("int").alias("size"),
-        F.slice(F.array(*columns), F.lit(1), size.cast("int")).alias("phrase"),
-        "f",
+    common = words.where(F.col("n") >= least)
+    filters = [context.broadcast(KeyFilter.of(common.select("key")).words)]
+    nothing = F.array().cast("array<long>")
+    every = words.groupBy("lang").agg(F.sum("n").alias("f"))
+    out = every.select("lang", nothing.alias("phrase"), "f").unionAll(
+        common.select("lang", F.array("hash"), "n")
     )
+    for sizes in STEPS:
+        found = _totals(docs, hashes, _runs(sizes, list(filters))).where(F.col("n") >= least)
+        found = materialise(found, "runs")
+        out = out.unionAll(found.select("lang", F.array_compact(F.array(*COLUMNS)), "n"))
+        if sizes != STEPS[-1]:
+            known = KeyFilter.of(_keys(found, max(sizes)))
+            filters.append(context.broadcast(known.words))
+    return out.select("lang", F.size("phrase").alias("size"), "phrase", "f")
 
 
 def collocations(

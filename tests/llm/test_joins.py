@@ -98,6 +98,20 @@ def test_collocations_repeat_with_other_hashes_when_two_words_collide(spark, mon
     assert seeds == [0, 1]
 
 
+def test_words_and_pairs_are_not_counted_again_with_longer_runs(spark, monkeypatch):
+    # frequent words in ever other company, one frequent pair, no frequent run of three
+    rows = [("en", f"x{i} {i % 7}a {i % 5}b y{i}, red fox z{i} red fox") for i in range(70)]
+    steps, plain = [], collocating._totals
+    monkeypatch.setattr(
+        collocating, "_totals", lambda *given: steps.append(given[-1]) or plain(*given)
+    )
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = sorted(map(tuple, collocations(df, least=20).collect()))
+    assert got == phrases_by_hand(rows, 20, 2000) and [r[2] for r in got] == ["red fox"]
+    own = collocating.Words([text for _, text in rows], "en", collocating._opener(0)())
+    assert steps[-1](own).shape[1] == 0
+
+
 def test_scores_of_large_counts_are_exact(spark):
     """Counts whose product passes 64 bits, through the expression that the operator uses."""
     a, n, left, right = 3_000_000_019, 9_000_000_000_037, 4_000_000_007, 5_000_000_029
