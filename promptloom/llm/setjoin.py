@@ -273,17 +273,46 @@ def _with_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _postings(nodes: DataFrame) -> DataFrame:
+    """``node, n, pos, token`` of the first shingles that several sets have, and few others.
+
+    Most shingles are in one set only; a filter drops these where the sets are read, so
+    that only the rest, which is small, is shuffled.
+    """
+    tokens = nodes.select(F.explode("head").alias("key")).groupBy("key")
+    shared = tokens.agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+    words = KeyFilter.of(materialise(shared, "shared")).words
+    known = nodes.sparkSession.sparkContext.broadcast(words)
+    small_batches(nodes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = KeyFilter(known.value)
+        for batch in batches:
+            token = batch.column("head").flatten()
+            many = batch.column("head").value_lengths().to_numpy()
+            first = np.cumsum(many) - many
+            on = np.flatnonzero(passes(token.to_numpy().view(np.uint64)))
+            owner = np.repeat(np.arange(len(many)), many)[on]
+            columns = [
+                batch.column("node").take(pa.array(owner)),
+                batch.column("n").take(pa.array(owner)),
+                pa.array((on - first[owner]).astype(np.int32)),
+                token.take(pa.array(on)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "pos", "token"])
+
+    return nodes.select("node", "n", "head").mapInArrow(
+        run, "node long, n long, pos int, token long"
+    )
+
+
 def _in_company(postings: DataFrame) -> DataFrame:
     """Postings that may link within their list, by summaries of its blocks of like size.
 
     Linked sets lie in one block or in neighbouring ones.
     """
-    shared = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     cell = F.floor(F.log(CELL, F.col("n"))).alias("cell")
-    # most shingles are in one set only: the rest of the lists is small
-    celled = materialise(
-        postings.join(shared.select("token"), "token").select("*", cell), "lists"
-    )
+    celled = materialise(postings.select("*", cell), "lists")
     blocks = celled.groupBy("token", "cell").agg(
         F.count("*").alias("sets"), F.max(F.col("n") - F.col("pos")).alias("left")
     )
@@ -426,6 +455,21 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _first_shingles(differing: DataFrame, needed: Column, end: str) -> DataFrame:
+    """Of each set, as ``end``, the shingles of its difference that have ``needed`` or more
+    left, themselves included; how many is ``left``."""
+    many = F.size("delta")
+    return differing.select(
+        "component",
+        "n_head",
+        F.col("node").alias(end),
+        F.col("n_x").alias(f"n_{end}"),
+        F.col("lacking").alias(f"l_{end}"),
+        many.alias("many"),
+        F.posexplode(F.slice("delta", F.lit(1), (many - needed + 1).cast("int"))).alias("pos", "token"),
+    ).withColumn(f"left_{end}", F.col("many") - F.col("pos")).drop("many", "pos")
+
+
 def _derived_links(unlinked: DataFrame, label: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of sets with members of a component whose head they do not link to.
 
@@ -433,7 +477,9 @@ def _derived_links(unlinked: DataFrame, label: DataFrame, heads: DataFrame, sets
     and z link exactly if their differences share s = ceil(9 (n_x + n_z) / 19) - h + l_x
     + l_z shingles. As x does not link to the head, 19 s > 9 |more of z| + 10 l_z, and
     19 s >= 9 n_x - 10 h + 19 l_x: each side needs to look up only so many shingles of
-    its difference that, with fewer left, s cannot be reached.
+    its difference that, with fewer left, s cannot be reached. Differences are in one
+    order, so a shingle may be the first that x and z share only if from there on both
+    have s left; other meetings are not handed on.
     """
     wanted = unlinked.select("component").distinct()
     members = materialise(
@@ -450,22 +496,14 @@ def _derived_links(unlinked: DataFrame, label: DataFrame, heads: DataFrame, sets
         _differences(near.select("node", "component", "head"), sets), "strays"
     )
     needed = F.greatest(F.expr("ceil((9 * n_x - 10 * n_head + 19 * lacking) / 19)"), F.lit(1))
-    probes = strays.select(
-        "component",
-        F.col("node").alias("a"),
-        F.col("n_x").alias("n_a"),
-        F.explode(F.slice("delta", F.lit(1), (F.size("delta") - needed + 1).cast("int"))).alias("token"),
-    )
+    probes = _first_shingles(strays, needed, "a")
     needed = F.expr("(9 * (size(delta) - lacking) + 10 * lacking) div 19") + 1
-    index = members.select(
-        "component",
-        F.col("node").alias("b"),
-        F.col("n_x").alias("n_b"),
-        F.explode(F.slice("delta", F.lit(1), (F.size("delta") - needed + 1).cast("int"))).alias("token"),
-    )
+    index = _first_shingles(members, needed, "b").drop("n_head")
+    shared = _least_overlap(F.col("n_a"), F.col("n_b")) - F.col("n_head") + F.expr("l_a + l_b")
     pairs = materialise(
         probes.join(index, ["component", "token"])
         .where(_sizes_fit(F.col("n_a"), F.col("n_b")))
+        .where(F.least("left_a", "left_b") >= shared)
         .select("component", "a", "b")
         .distinct(),
         "derived",
@@ -514,8 +552,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    postings = nodes.select("node", "n", F.posexplode("head").alias("pos", "token"))
-    members = materialise(_in_company(postings), "members")
+    members = materialise(_in_company(_postings(nodes)), "members")
     label = _linked(df, doc_id, text, found, nodes, members)
     named = nodes.join(label, "node", "left").withColumn(
         "component", F.coalesce("component", "node")

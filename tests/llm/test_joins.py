@@ -306,3 +306,39 @@ def test_whole_sets_are_made_only_of_pairs_that_counts_leave(spark, monkeypatch)
     got = [(r.doc_id, r.component_id) for r in jaccard_components(df).collect()]
     assert sorted(got) == sorted([(k, 0 if k in (0, 101) else k) for k, _ in rows[:-3]] + [(100, 0), (101, 0), (100, 100)])
     assert made["met"] > 50 and 2 <= made["sets"] < 15
+
+
+def test_members_that_cannot_link_are_not_compared(spark, monkeypatch):
+    # set 9 and member 1 share shingles, but too late in order for a link; with 10 it links
+    handed, plain = {}, setjoin.materialise
+    monkeypatch.setattr(
+        setjoin, "materialise", lambda df, label: handed.setdefault(label, plain(df, label))
+    )
+    head, own = list(range(600)), iter(range(10_000, 10**6))
+    sets = {0: head}
+    for i in range(1, 9):
+        sets[i] = head[:570] + [next(own) for _ in range(30)]
+    sets[9] = head[:560] + sets[1][-12:] + [next(own) for _ in range(60)]
+    sets[10] = sets[9][:-30] + [next(own) for _ in range(5)]
+    table = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    label = spark.createDataFrame(
+        [(k, 0) for k in sets if k != 9], "node long, component long"
+    )
+    heads = spark.createDataFrame([(0, 0)], "component long, head long")
+    stray = spark.createDataFrame(
+        [(9, 0, 0, 1 - 560 / 672)], "node long, head long, component long, gap double"
+    )
+    got = setjoin._derived_links(stray, label, heads, table).collect()
+    assert [tuple(r) for r in got] == [(9, 10)]
+    assert [(r["a"], r["b"]) for r in handed["derived"].collect()] == [(9, 10)]
+
+
+def test_only_shingles_of_several_sets_become_postings(spark):
+    rows = [(i, 20, [1000 * i + k for k in range(20)] + ([7] if i < 3 else [])) for i in range(1, 50)]
+    rows.append((50, 0, []))
+    nodes = spark.createDataFrame(rows, "node long, n long, head array<long>")
+    got = {tuple(r) for r in setjoin._postings(nodes).collect()}
+    assert {(1, 20, 20, 7), (2, 20, 20, 7)} <= got
+    full = {(r[0], r[1], p, t) for r in rows for p, t in enumerate(r[2])}
+    assert got <= full and len(got) < len(full) / 2
+    assert setjoin._postings(nodes.limit(0)).count() == 0
